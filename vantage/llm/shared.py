@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII space and \t \n \v \f \r.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
+BATCH_ROWS = 2000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -31,6 +32,8 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; batches to Python are held to BATCH_ROWS texts, so that one of long texts fits a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
