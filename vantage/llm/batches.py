@@ -54,8 +54,8 @@ def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, UTF-8 bytes, row offsets into them); null is empty; at most SLICE_BYTES unless one text is longer."""
+def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, UTF-8 bytes, row offsets into them); null is empty; at most so many bytes unless one text is longer."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
     _, offsets, data = column.buffers()
@@ -63,7 +63,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield at, end - at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
 

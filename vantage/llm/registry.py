@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .chat import OP10_SQL, op10_preference_format
+from .langid import op6_language_id
 from .mixing import OP4_SQL, op4_pareto_mix
 from .packing import op2_best_fit_packing
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_pareto_mix": op4_pareto_mix,
+    "op6_language_id": op6_language_id,
     "op10_preference_format": op10_preference_format,
 }
 ORACLES = {
