@@ -6,8 +6,10 @@ from .chat import OP10_SQL, op10_preference_format
 from .langid import op6_language_id
 from .mixing import OP4_SQL, op4_pareto_mix
 from .packing import op2_best_fit_packing
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_pareto_mix": op4_pareto_mix,
     "op6_language_id": op6_language_id,
