@@ -6,6 +6,7 @@ from .chat import OP10_SQL, op10_preference_format
 from .langid import op6_language_id
 from .mixing import OP4_SQL, op4_pareto_mix
 from .packing import op2_best_fit_packing
+from .quality_crf import op7_quality_crf
 from .toxicity import op1_toxicity
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_pareto_mix": op4_pareto_mix,
     "op6_language_id": op6_language_id,
+    "op7_quality_crf": op7_quality_crf,
     "op10_preference_format": op10_preference_format,
 }
 ORACLES = {
