@@ -7,6 +7,7 @@ from .langid import op6_language_id
 from .mixing import OP4_SQL, op4_pareto_mix
 from .packing import op2_best_fit_packing
 from .quality_crf import op7_quality_crf
+from .topk import OP8_SQL, op8_pivot_topk
 from .toxicity import op1_toxicity
 
 QUERIES = {
@@ -15,9 +16,11 @@ QUERIES = {
     "op4_pareto_mix": op4_pareto_mix,
     "op6_language_id": op6_language_id,
     "op7_quality_crf": op7_quality_crf,
+    "op8_pivot_topk": op8_pivot_topk,
     "op10_preference_format": op10_preference_format,
 }
 ORACLES = {
     "op4_pareto_mix": OP4_SQL,
+    "op8_pivot_topk": OP8_SQL,
     "op10_preference_format": OP10_SQL,
 }
