@@ -7,6 +7,7 @@ from .langid import op6_language_id
 from .mixing import OP4_SQL, op4_pareto_mix
 from .packing import op2_best_fit_packing
 from .quality_crf import op7_quality_crf
+from .quality_rules import OP5_SQL, op5_line_rules
 from .topk import OP8_SQL, op8_pivot_topk
 from .toxicity import op1_toxicity
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_pareto_mix": op4_pareto_mix,
+    "op5_line_rules": op5_line_rules,
     "op6_language_id": op6_language_id,
     "op7_quality_crf": op7_quality_crf,
     "op8_pivot_topk": op8_pivot_topk,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 ORACLES = {
     "op4_pareto_mix": OP4_SQL,
+    "op5_line_rules": OP5_SQL,
     "op8_pivot_topk": OP8_SQL,
     "op10_preference_format": OP10_SQL,
 }
