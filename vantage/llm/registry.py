@@ -8,6 +8,7 @@ from .mixing import OP4_SQL, op4_pareto_mix
 from .packing import op2_best_fit_packing
 from .quality_crf import op7_quality_crf
 from .quality_rules import OP5_SQL, op5_line_rules
+from .secrets import op9_secret_scan
 from .topk import OP8_SQL, op8_pivot_topk
 from .toxicity import op1_toxicity
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_quality_crf": op7_quality_crf,
     "op8_pivot_topk": op8_pivot_topk,
+    "op9_secret_scan": op9_secret_scan,
     "op10_preference_format": op10_preference_format,
 }
 ORACLES = {
