@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,15 @@ SHARD_ROWS = 16_384
 CACHE_UNITS = 400_000
 
 
+#: Cut before these where a letter precedes: they belong to no pre-token of letters, and begin their own.
+_STOPS = np.zeros(256, bool)
+_STOPS[[ord(c) for c in ".,;:!?|)"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
 class UnitTokenizer:
-    """Ids by a byte-level BPE file, whose pre-tokens never reach across a white space that follows a visible character.
+    """Ids by a byte-level BPE file, whose pre-tokens never reach from a visible character to white space, or from a letter to a stop.
 
     A text is cut there into units; equal units have equal ids, so each is tokenized once.
     """
@@ -46,15 +54,30 @@ class UnitTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(0, np.uint32)
+        self.first = np.zeros(1, np.int64)
+
+    def learn(self, names: list[str]) -> None:
+        """Numbers new units and appends their ids."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))))
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names))))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(lengths)))
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Starts of the units. Cuts only where the byte before is visible ASCII or ends a letter of U+00C0 to U+00FF, which can't be white space."""
+        """Starts of the units. Letters here are ASCII's and those of U+00C0 to U+00FF; before white space any visible ASCII will do."""
         mark = np.zeros(len(data) + 1, bool)
         if len(data) > 1:
-            seen = (data > 0x20) & (data < 0x7F)
-            seen[1:] |= (data[1:] >= 0x80) & (data[:-1] == 0xC3)
-            mark[1:-1] = SPACE[data[1:]] & seen[:-1]
+            wide = np.zeros(len(data), bool)
+            wide[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+            letter = _LETTER[data] | wide
+            seen = (data > 0x20) & (data < 0x7F) | wide
+            mark[1:-1] = SPACE[data[1:]] & seen[:-1] | _STOPS[data[1:]] & letter[:-1]
         mark[offsets] = True
         mark[len(data)] = False
         return np.flatnonzero(mark)
@@ -67,17 +90,16 @@ class UnitTokenizer:
         coded = as_strings(data, np.append(starts, len(data))).dictionary_encode()
         names = coded.dictionary.to_pylist()
         if len(self.known) > CACHE_UNITS:
-            self.known.clear()
-        new = [x for x in names if x not in self.known]
-        self.known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False))))
-        ids = [self.known[x] for x in names]
-        n_of = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(n_of.sum()))
-        index = coded.indices.to_numpy()
-        counts = n_of[index]
+            self.forget()
+        if new := [x for x in names if x not in self.known]:
+            self.learn(new)
+        number = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy()]
+        begin = self.first[number]
+        counts = self.first[number + 1] - begin
         upto = np.concatenate(([0], np.cumsum(counts)))
-        source = np.repeat((np.cumsum(n_of) - n_of)[index] - upto[:-1], counts) + np.arange(upto[-1])
-        return flat[source], upto[np.searchsorted(starts, offsets)]
+        source = np.repeat(begin - upto[:-1], counts)
+        source += np.arange(len(source))
+        return self.flat[source], upto[np.searchsorted(starts, offsets)]
 
 
 _TOKENIZERS: dict[str, UnitTokenizer] = {}
