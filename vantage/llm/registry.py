@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import OP10_SQL, op10_preference_format
 from .langid import op6_language_id
 from .mixing import OP4_SQL, op4_pareto_mix
+from .ngram_join import op3_ngram_join
 from .packing import op2_best_fit_packing
 from .quality_crf import op7_quality_crf
 from .quality_rules import OP5_SQL, op5_line_rules
@@ -15,6 +16,7 @@ from .toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_ngram_join": op3_ngram_join,
     "op4_pareto_mix": op4_pareto_mix,
     "op5_line_rules": op5_line_rules,
     "op6_language_id": op6_language_id,
