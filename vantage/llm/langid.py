@@ -38,6 +38,8 @@ SCRIPTS = "Latin Greek Cyrillic Armenian Hebrew Arabic Devanagari Bengali Tamil
 #: A script counts as a language's own from this share of its words on.
 SCRIPT_SHARE = 0.02
 OUT = -60.0
+#: A text is rejected if no language has so much of its letters.
+MIN_SCORE = 0.4
 
 
 def prepared(words: pa.Array) -> pa.Array:
@@ -179,32 +181,38 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     return Model(langs, np.log(grams / grams.sum(0)), used >= SCRIPT_SHARE * np.maximum(used.sum(0), 1))
 
 
+def labelled(column: pa.Array, model: Model, with_spans: bool = False) -> tuple[list[str], np.ndarray, list]:
+    """Language and score of each text, and its spans if asked for."""
+    langs, scores, spans = [], [np.zeros(0)], []
+    for _, n, data, offsets in text_slices(column, 1 << 26):
+        starts, _, firsts = words_of(data, offsets)
+        share = np.zeros((n, max(1, len(model.langs))))
+        labels = np.zeros(len(starts), np.int64)
+        if len(starts) and model.langs:
+            coded = as_strings(data[starts[0] :], np.append(starts, len(data)) - starts[0]).dictionary_encode()
+            by_word, letters = model.score(coded.dictionary)
+            index = coded.indices.to_numpy()
+            labels = viterbi(by_word[index], firsts)
+            text = np.repeat(np.arange(n), np.diff(firsts))
+            share = np.bincount(text * len(model.langs) + labels, letters[index], n * len(model.langs)).reshape(n, -1)
+        total = share.sum(1)
+        langs += [model.langs[k] if t else "und" for k, t in zip(share.argmax(1), total)]
+        scores.append(share.max(1) / np.maximum(total, 1))
+        if with_spans:
+            for k in range(n):
+                own = labels[firsts[k] : firsts[k + 1]] if total[k] else labels[:0]
+                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)] if len(own) else [0]
+                spans.append([{"start": int(a), "end": int(b), "lang": model.langs[own[a]]} for a, b in zip(cuts, cuts[1:])])
+    return langs, np.concatenate(scores), spans
+
+
 def predict(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score (and spans: first word, word after the last, language)."""
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores, spans = [], [], []
-            for _, n, data, offsets in text_slices(batch.column("text"), 1 << 26):
-                starts, _, firsts = words_of(data, offsets)
-                share = np.zeros((n, max(1, len(model.langs))))
-                labels = np.zeros(len(starts), np.int64)
-                if len(starts) and model.langs:
-                    coded = as_strings(data[starts[0] :], np.append(starts, len(data)) - starts[0]).dictionary_encode()
-                    by_word, letters = model.score(coded.dictionary)
-                    index = coded.indices.to_numpy()
-                    labels = viterbi(by_word[index], firsts)
-                    text = np.repeat(np.arange(n), np.diff(firsts))
-                    share = np.bincount(text * len(model.langs) + labels, letters[index], n * len(model.langs)).reshape(n, -1)
-                total = share.sum(1)
-                langs += [model.langs[k] if t else "und" for k, t in zip(share.argmax(1), total)]
-                scores += (share.max(1) / np.maximum(total, 1)).tolist()
-                if with_spans:
-                    for k in range(n):
-                        own = labels[firsts[k] : firsts[k + 1]] if total[k] else labels[:0]
-                        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)] if len(own) else [0]
-                        spans.append([{"start": int(a), "end": int(b), "lang": model.langs[own[a]]} for a, b in zip(cuts, cuts[1:])])
-            columns = [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            langs, scores, spans = labelled(batch.column("text"), model, with_spans)
+            columns = [batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)]
             names = ["doc_id", "lang_pred", "score"]
             if with_spans:
                 columns.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
@@ -216,6 +224,20 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(label, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
+    """docs, all columns, without those that are 'und' or whose language has less than min_score of the letters; lang is the predicted one."""
+    at = docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, scores, _ = labelled(batch.column("text"), model)
+            fine = pa.array([x != "und" and s >= min_score for x, s in zip(langs, scores)], pa.bool_())
+            columns = [pa.array(langs, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(fine)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id):
     return crc_rest(doc_id, 4) == 2
 

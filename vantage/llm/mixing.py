@@ -19,7 +19,7 @@ shuffle, lead to the one bin in which a source's cut lies, and only that bin is
 
 Cases: null text has size 0; null doc_id is hashed as the empty text; rows that repeat a
 doc_id within a source are taken or left together; an empty table, or one without
-words, gives targets 0; other columns are ignored by mix_plan() and kept by mix().
+words, gives targets 0; other columns are kept by mix().
 """
 
 from __future__ import annotations
@@ -63,23 +63,25 @@ def uniform52(doc_id):
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def mix_plan(sized: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies. sized: doc_id, source, size, read more than once."""
+def ranked(rows: DataFrame, per: DataFrame) -> DataFrame:
+    """rows (doc_id, source, ...) with their source's numbers and their place in its order. per is small, and Spark sees its size."""
+    out = rows.alias("d").join(per.drop("source_size", "target").alias("s"), F.expr("d.source <=> s.source")).select("d.*", "s.certain", "s.rest", "s.p")
+    r = uniform52(F.col("doc_id"))
+    u = (r + 0.5) / F.lit(float(2**52))
+    odds = F.col("p") / (1 - F.col("p"))
+    out = out.withColumns({"r": r, "rank": F.when(F.col("p") > 0, (u / (1 - u)) / odds)})
+    place = F.floor(F.col("rank") / (1 + F.col("rank")) * (BINS * BINS))
+    return out.withColumn("bin", F.least(place, F.lit(BINS * BINS - 1)))
+
+
+def sampling(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per, ends): each source's numbers, and where its sample ends. sized: doc_id, source, size, read more than once."""
     per = source_targets(sized)
     has = F.col("source_size") > 0
     per = per.withColumn("certain", F.when(has, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     per = per.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
-    per = per.withColumn("p", F.when(has, F.col("rest") / F.col("source_size")).otherwise(0.0))
-    per = keep(per, "mix-sources")
-
-    rows = sized.alias("d").join(per.alias("s"), F.expr("d.source <=> s.source")).select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", "s.certain", "s.rest", "s.p")
-    rows = rows.withColumn("r", uniform52(F.col("doc_id")))
-    u = (F.col("r") + 0.5) / F.lit(float(2**52))
-    rank = F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p"))))
-    rows = rows.withColumn("rank", rank)
-    at = F.least(F.floor(F.col("rank") / (1 + F.col("rank")) * (BINS * BINS)), F.lit(BINS * BINS - 1))
-    rows = rows.withColumn("bin", at).withColumn("bin1", F.floor(F.col("bin") / BINS))
-    drawn = rows.where("rank IS NOT NULL")
+    per = keep(per.withColumn("p", F.when(has, F.col("rest") / F.col("source_size")).otherwise(0.0)), "mix-sources")
+    drawn = ranked(sized, per).where("rank IS NOT NULL").withColumn("bin1", F.floor(F.col("bin") / BINS))
 
     def cut(sums: DataFrame, key: str, start: str | None) -> DataFrame:
         """Of each source the first bin with which the words reach rest, and the words before it."""
@@ -87,25 +89,27 @@ def mix_plan(sized: DataFrame) -> DataFrame:
         sums = sums.withColumn("upto", F.sum("words").over(order) + (F.col(start) if start else F.lit(0)))
         return sums.where("upto >= rest").groupBy("source").agg(F.min(F.struct(key, (F.col("upto") - F.col("words")).alias("before"))).alias("c")).select("source", F.col(f"c.{key}").alias(key), F.col("c.before").alias("before"))
 
-    cut1 = cut(drawn.groupBy("source", "bin1", "rest").agg(F.sum("size").alias("words")), "bin1", None)
-    cut1 = keep(cut1, "mix-cut1")
+    cut1 = keep(cut(drawn.groupBy("source", "bin1", "rest").agg(F.sum("size").alias("words")), "bin1", None), "mix-cut1")
     inside = drawn.alias("d").join(cut1.alias("c"), F.expr("d.source <=> c.source AND d.bin1 = c.bin1")).select("d.*", "c.before")
-    cut2 = cut(inside.groupBy("source", "bin", "rest", "before").agg(F.sum("size").alias("words")), "bin", "before")
-    cut2 = keep(cut2, "mix-cut2")
+    cut2 = keep(cut(inside.groupBy("source", "bin", "rest", "before").agg(F.sum("size").alias("words")), "bin", "before"), "mix-cut2")
     last = drawn.alias("d").join(cut2.alias("c"), F.expr("d.source <=> c.source AND d.bin = c.bin")).select("d.*", "c.before")
     last = last.groupBy("source", "bin", "rest", "before", "rank", "r", "doc_id").agg(F.sum("size").alias("words"))
-    key = F.struct("rank", "r", "doc_id")
     order = W.partitionBy("source").orderBy("rank", "r", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     last = last.withColumn("upto", F.sum("words").over(order) + F.col("before"))
     short = F.col("rest") - (F.col("upto") - F.col("words"))
     taken = (F.col("upto") <= F.col("rest")) | ((short > 0) & (F.col("upto") - F.col("rest") < short))
-    ends = last.groupBy("source", "bin").agg(F.max(F.when(taken, key)).alias("end"))
-    ends = keep(ends, "mix-ends")
+    ends = last.groupBy("source", "bin").agg(F.max(F.when(taken, F.struct("rank", "r", "doc_id"))).alias("end"))
+    return per, keep(ends, "mix-ends")
+
 
-    end_key = F.struct(F.col("d.rank").alias("rank"), F.col("d.r").alias("r"), F.col("d.doc_id").alias("doc_id"))
-    more = F.when(F.col("d.rank").isNull(), False).when(F.col("e.bin").isNull(), True).otherwise((F.col("d.bin") < F.col("e.bin")) | ((F.col("d.bin") == F.col("e.bin")) & F.coalesce(end_key <= F.col("e.end"), F.lit(False))))
-    out = rows.alias("d").join(ends.alias("e"), F.expr("d.source <=> e.source"), "left")
-    return out.select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", (F.col("d.certain") + more.cast("long")).alias("copies"))
+def with_copies(rows: DataFrame, per: DataFrame, ends: DataFrame) -> DataFrame:
+    """rows (doc_id, source, ...) with copies. It depends on the row and its source alone, so nothing large is joined."""
+    names = rows.columns
+    out = ranked(rows, per).alias("d").join(ends.select("source", F.col("bin").alias("end_bin"), "end").alias("e"), F.expr("d.source <=> e.source"), "left")
+    own = F.struct(F.col("rank"), F.col("r"), F.col("d.doc_id"))
+    first = (F.col("bin") < F.col("end_bin")) | ((F.col("bin") == F.col("end_bin")) & F.coalesce(own <= F.col("end"), F.lit(False)))
+    more = F.when(F.col("rank").isNull(), False).when(F.col("end_bin").isNull(), True).otherwise(first)
+    return out.select(*(F.col(f"d.`{c}`") for c in names), (F.col("certain") + more.cast("long")).alias("copies"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -115,14 +119,18 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs, all its columns, as often as it is taken."""
-    plan = mix_plan(sizes(docs)).where("copies > 0").select("doc_id", "source", "copies").distinct()
-    taken = docs.alias("d").join(plan.alias("p"), F.expr("d.doc_id <=> p.doc_id AND d.source <=> p.source"))
-    return taken.select("d.*", F.explode(F.sequence(F.lit(1), F.col("p.copies").cast("int"))).alias("__copy")).drop("__copy")
+    per, ends = sampling(sizes(docs))
+    whole = docs.select("doc_id", "source", F.struct(*docs.columns).alias("row"))
+    taken = with_copies(whole, per, ends).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mix_plan(sizes(documents(spark, sf_dir)))
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    sized = sizes(documents(spark, sf_dir))
+    per, ends = sampling(sized)
+    totals = per.select("source", "source_size", "target")
+    out = with_copies(sized, per, ends).alias("d").join(totals.alias("s"), F.expr("d.source <=> s.source"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP4_SQL = r"""

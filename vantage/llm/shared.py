@@ -31,9 +31,13 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; batches to Python are held to BATCH_ROWS texts, so that one of long texts fits a worker."""
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python are held to BATCH_ROWS texts, so that one of long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
