@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import views
+
 FLAGSHIP = "viewshed_count"
-QUERIES: dict = {}
-ORACLES: dict = {}
+MODULES = (views,)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
