@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import views
+from . import records, views
 
 FLAGSHIP = "viewshed_count"
-MODULES = (views,)
+MODULES = (views, records)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
