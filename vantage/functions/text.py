@@ -45,9 +45,8 @@ def first_count(text: Column, noun: str) -> Column:
 
 def is_title(line: Column, most_words: int = 9) -> Column:
     """A short line, half of whose words begin with a capital."""
-    words = F.filter(F.split(line, " "), lambda w: w != "")
-    capital = F.size(F.filter(words, lambda w: w.rlike("^[A-Z]")))
-    return (F.size(words) > 0) & (F.size(words) <= most_words) & (2 * capital >= F.size(words))
+    words, capital = F.regexp_count(line, F.lit("[^ ]+")), F.regexp_count(line, F.lit("(^| )[A-Z]"))
+    return (words > 0) & (words <= most_words) & (2 * capital >= words)
 
 
 def shorten(values: Column, most: int = 8) -> Column:

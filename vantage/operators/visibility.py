@@ -25,8 +25,8 @@ def line_of_sight(rays: DataFrame, four: DataFrame, grid: Grid, keys: list[str],
     rays = rays.withColumn("dist", F.sqrt(dx * dx + dy * dy))
     first = max(1, -(-int(d_min * 1_000_000) // int(step * 1_000_000)))
     last = F.floor((F.col("dist") - d_min) / step).cast("int")
-    samples = rays.where(last >= first).withColumn("k", F.explode(F.sequence(F.lit(first), last)))
-    at = F.col("k") * step
+    samples = rays.where(last >= first).withColumn("_k", F.explode(F.sequence(F.lit(first), last)))
+    at = F.col("_k") * step
     samples = samples.select(*keys, "ez", at.alias("d"), (F.col("ex") + dx / F.col("dist") * at).alias("x"), (F.col("ey") + dy / F.col("dist") * at).alias("y"))
     angles = bilinear(samples, four, grid).where("z IS NOT NULL").groupBy(*keys).agg(F.max((F.col("z") - F.col("ez")) / F.col("d")).alias("horizon"))
     seen = (F.col("dist") < d_min) | F.col("horizon").isNull() | ((F.col("tz") - F.col("ez")) / F.col("dist") >= F.col("horizon") - EPS)
@@ -83,15 +83,15 @@ def first_hit(rays: DataFrame, four: DataFrame, grid: Grid, keys: list[str], max
     f0 is the surface minus the eye at the start, -1 where that is unknown. The hit is put between the step before and
     the first step at or under the surface, by the clearances at that step and at the last one with data.
     """
-    samples = rays.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(int(max_range / step)))))
-    d = F.col("k") * step
-    samples = samples.select(*keys, "ez", "slope", "f0", "k", d.alias("d"), (F.col("ex") + F.col("ux") * d).alias("x"), (F.col("ey") + F.col("uy") * d).alias("y"))
+    samples = rays.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(int(max_range / step)))))
+    d = F.col("_k") * step
+    samples = samples.select(*keys, "ez", "slope", "f0", "_k", d.alias("d"), (F.col("ex") + F.col("ux") * d).alias("x"), (F.col("ey") + F.col("uy") * d).alias("y"))
     f = bilinear(samples, four, grid).where("z IS NOT NULL").withColumn("f", F.col("z") - (F.col("ez") + F.col("slope") * F.col("d")))
-    hit = f.where("f >= 0").groupBy(*keys).agg(F.min(F.struct("k", "d", "f")).alias("h"))
-    before = f.alias("s").join(hit, keys).where("s.k < h.k").groupBy(*keys).agg(F.max(F.struct("k", F.col("s.f").alias("f"))).alias("p"))
+    hit = f.where("f >= 0").groupBy(*keys).agg(F.min(F.struct("_k", "d", "f")).alias("h"))
+    before = f.alias("s").join(hit, keys).where("s._k < h._k").groupBy(*keys).agg(F.max(F.struct("_k", F.col("s.f").alias("f"))).alias("p"))
     out = rays.join(hit, keys, "left").join(before, keys, "left")
     p = F.coalesce("p.f", "f0")
-    q = (F.col("h.k") - 1) * step
+    q = (F.col("h._k") - 1) * step
     gap = p - F.col("h.f")
     t = F.when(F.abs(gap) > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), p / gap))).otherwise(1.0)
     return out.withColumn("hit", F.when(F.col("h").isNotNull(), q + t * (F.col("h.d") - q))).drop("h", "p")

@@ -195,7 +195,7 @@ def carry_over(spark, sf_dir):
 def sentence_features(spark, sf_dir):
     """Sentences of each document: how many, the longest, how many are titles."""
     d = table(spark, sf_dir, "documents").select("doc_id", t.sentences(F.coalesce("text", F.lit("")), 2).alias("s"))
-    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.coalesce(F.array_max(F.transform("s", lambda x: F.length(x))), F.lit(0)).cast("long").alias("longest"), F.size(F.filter("s", t.is_title)).cast("long").alias("n_titles"))
+    return d.select("doc_id", F.size("s").cast("long").alias("n"), F.coalesce(F.array_max(F.transform("s", lambda x: F.length(x))), F.lit(0)).cast("long").alias("longest"), F.size(F.filter("s", lambda x: t.is_title(x))).cast("long").alias("n_titles"))
 
 
 def direction_extract(spark, sf_dir):
