@@ -35,6 +35,8 @@ RIDGE = 0.02
 ROUNDS = 300
 #: Share of the learned weights, against their mean.
 BETA = 0.75
+#: Bytes of text whose n-grams are listed at once.
+SLICE = 1 << 20
 
 
 def gram_buckets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[np.n
         for batch in batches:
             y = batch.column("y").to_numpy(zero_copy_only=False)
             total = np.zeros((2, DIMS), np.int64)
-            for at, n, data, offsets in text_slices(batch.column("text")):
+            for at, n, data, offsets in text_slices(batch.column("text"), SLICE):
                 row, bucket = present(data, offsets, None)
                 for k in (0, 1):
                     total[k] += np.bincount(bucket[y[at + row] == k], minlength=DIMS)
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[np.n
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for _, rows, data, offsets in text_slices(batch.column("text")):
+            for _, rows, data, offsets in text_slices(batch.column("text"), SLICE):
                 row, bucket = present(data, offsets, number >= 0)
                 cuts = np.searchsorted(row, np.arange(rows + 1))
                 found += [number[bucket[a:b]].astype(np.int32) for a, b in zip(cuts, cuts[1:])]
@@ -143,7 +145,7 @@ def score(docs: DataFrame, table: np.ndarray, bias: float) -> DataFrame:
         wanted = weights != 0
         for batch in batches:
             z = np.full(batch.num_rows, bias)
-            for at, n, data, offsets in text_slices(batch.column("text")):
+            for at, n, data, offsets in text_slices(batch.column("text"), SLICE):
                 row, bucket = present(data, offsets, wanted)
                 z[at : at + n] += np.bincount(row, weights[bucket], n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], ["doc_id", "score"])
