@@ -1,0 +1,228 @@
+"""Defined results on odd and on empty tables."""
+
+from __future__ import annotations
+
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from vantage.llm import chat, langid, mixing, ngram_join, packing, quality_crf, quality_rules, secrets, topk, toxicity
+from vantage.llm.registry import QUERIES
+from vantage.llm.shared import keep
+
+ON_DOCUMENTS = [n for n in QUERIES if not n.startswith(("op8", "op10"))]
+
+
+@pytest.mark.parametrize("name", ON_DOCUMENTS)
+def test_empty_tables_give_no_rows(name, spark, no_docs, labels, as_tables):
+    assert QUERIES[name](spark, as_tables(no_docs, labels.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("name", ON_DOCUMENTS)
+def test_odd_rows_get_a_row_each(name, spark, odd_docs, labels, as_tables):
+    got = QUERIES[name](spark, as_tables(odd_docs, labels)).toPandas()
+    if name.startswith("op2"):
+        assert got.groupby(["sequence_id"])["length"].sum().max() <= packing.WINDOW
+        got = got[got["start"] == 0]
+    assert len(got) == 17
+    assert got["doc_id"].isna().sum() == 2
+
+
+def test_scores_stay_in_range(spark, odd_docs, labels, as_tables):
+    at = as_tables(odd_docs, labels)
+    for name in ("op1_toxicity", "op6_language_id", "op7_quality_crf"):
+        low, high = QUERIES[name](spark, at).agg(F.min("score"), F.max("score")).first()
+        assert 0 <= low <= high <= 1
+
+
+def test_language_of_nothing_is_undefined(spark, odd_docs):
+    got = langid.predict(odd_docs, langid.fit(odd_docs), True).toPandas().set_index("doc_id")
+    assert {got.loc[k, "lang_pred"] for k in (4, 5, 6, 11)} == {"und"}
+    assert got.loc[7, "lang_pred"] == "de" and got.loc[1, "lang_pred"] == "en"
+    assert list(got.loc[4, "spans"]) == []
+    kept = langid.keep_identified(odd_docs, langid.fit(odd_docs))
+    assert kept.columns == odd_docs.columns and kept.count() == 17 - 5
+
+
+def test_groups_of_odd_rows(odd_docs):
+    got = {(r["doc_id"], r["component_id"], r["n_shingles"] > 0) for r in ngram_join.similar_groups(odd_docs).collect()}
+    assert {(1, 1, True), (2, 1, True), (3, 1, True), (14, 1, True), (7, 7, True), (8, 7, True), (4, 4, False), (5, 5, False), (6, 6, False), (None, None, False)} <= got
+
+
+def test_one_of_each_group_stays(odd_docs):
+    left = ngram_join.first_of_groups(keep(odd_docs, "test"))
+    assert left.columns == odd_docs.columns and left.count() == 17 - 5
+
+
+def test_mix_takes_what_the_plan_says(odd_docs):
+    sized = mixing.sizes(odd_docs)
+    per, ends = mixing.sampling(sized)
+    plan = mixing.with_copies(sized, per, ends).toPandas()
+    assert plan["copies"].between(0, 3).all()
+    assert abs(per.agg(F.sum("target")).first()[0] - plan["size"].sum()) < 1e-6
+    mixed = mixing.mix(odd_docs)
+    assert mixed.columns == odd_docs.columns and mixed.count() == plan["copies"].sum()
+
+
+def test_secrets_are_masked(odd_docs):
+    ratios = secrets.train(odd_docs)
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(odd_docs, ratios).collect()}
+    assert masked[13] == f'{secrets.MASK}" and {secrets.MASK} {secrets.MASK}, TOKEN:short'
+    assert masked[4] is None and masked[1] == odd_docs.where("doc_id = 1").first()["text"]
+
+
+def test_random_runs_are_told_from_words(spark):
+    rows = [(k, "ordinary_identifier another-long-identifier some/path/of/words hyphenated-compound-word " * 3 + f"key: {'%016x' % (k * 0x9E3779B97F4A7C15 % 2**64)}") for k in range(200)]
+    rows += [(900, "see qX7pZ9kLw2VbT4mRy8Jd and hyphenated-compound-word"), (901, "ordinary_identifier zzzzzzzzzzzzzzzzzzzzzzzz ----------------------")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs, secrets.train(docs)).select("doc_id", secrets.listed(F.col("spans")).alias("spans")).collect()}
+    assert got[900] == "random:4:24" and got[901] == "" and got[5].startswith("hex:")
+
+
+def test_cleaned_text_is_kept_with_all_columns(odd_docs):
+    kept = quality_rules.clean(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert {r["doc_id"] for r in kept.collect()} <= {1, 2, 3, 9, 13, 14, None}
+
+
+def test_pieces_round_trip(odd_docs):
+    from tokenizers import Tokenizer
+
+    path = packing.default_path()
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    texts = {r["doc_id"]: r["text"] or "" for r in odd_docs.where("doc_id IS NOT NULL").collect()}
+    packed = packing.pack(keep(packing.pieces(odd_docs, path, with_ids=True), "test"), shard_rows=4)
+    for r in packed.where("doc_id IS NOT NULL").collect():
+        ids = [*own.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 1][r["start"] : r["start"] + r["length"]]
+        assert list(r["ids"]) == ids and r["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+    for s in packing.sequences(packed).collect():
+        assert len(s["ids"]) <= packing.WINDOW and s["pieces"][0]["offset"] == 0
+
+
+def test_best_fit_is_tightest(spark):
+    assert packing.best_fit([70, 60, 40, 30], 100) == ([0, 1, 1, 0], [0, 0, 60, 70])
+    lengths = sorted(((k * 7919) % 99 + 1 for k in range(500)), reverse=True)
+    bins, offsets = packing.best_fit(lengths, 100)
+    room: list[int] = []
+    for n, b, o in zip(lengths, bins, offsets):
+        fits = [r for r in room if r >= n]
+        if b == len(room):
+            assert not fits
+            room.append(100)
+        else:
+            assert room[b] == min(fits)
+        assert o == 100 - room[b]
+        room[b] -= n
+
+
+def test_units_give_the_same_ids():
+    import random
+
+    import numpy as np
+
+    from vantage.llm.packing import tokenizer
+
+    own = tokenizer(packing.default_path())
+    rng = random.Random(1)
+    alphabet = ["a", "B", "é", "ß", "×", " ", "  ", "\n", "\t", " ", "　", ".", ",", "'s", "'", "7", "東", "|", "!!", "<|endoftext|>", " ", "à", "\x1c"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60))) for _ in range(400)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+    flat, bounds = own.encode(data, offsets)
+    for k, text in enumerate(texts):
+        assert flat[bounds[k] : bounds[k + 1]].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_preferences(spark):
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, None, None), (2, 0, None, None), (3, 0, None, None), (5, None, "user", "alone"), (None, 1, "user", "lost")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("x"))
+    got = sorted((r["pair_id"], r["part"], r["n"], r["segment"], r["trained"]) for r in chat.preference_segments(df).collect())
+    assert got == [(0, "chosen", 1, "<|assistant|>\nyes\n", True), (0, "prompt", 1, "<|user|>\nhi\n", False), (0, "rejected", 1, "<|assistant|>\nno\n", True), (1, "chosen", 1, "<||>\n\n", False), (1, "prompt", 1, "<||>\n\n", False), (2, "rejected", 1, "<|user|>\nalone\n", False)]
+    one = chat.assemble(chat.preference_segments(df)).where("pair_id = 0").first()
+    assert one["prompt"] == "<|user|>\nhi\n" and [tuple(s) for s in one["chosen_spans"]] == [(0, 18)]
+    assert chat.preference_segments(df.limit(0)).count() == 0
+
+
+def test_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(k, [((k * 37 + j * 11) % 17 - 8) / 8.0 for j in range(5)]) for k in range(60)] + [(61, None), (62, [None, 1.0]), (63, [nan]), (64, [inf, 0.0]), (65, []), (66, [1.0]), (60, [0.5] * 5), (60, [0.5] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))
+    vectors = topk.whole_vectors(df)
+    got = topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 7).collect()
+    import math
+
+    own = [(i, [math.floor(64 * x) for x in v] + [0] * (5 - len(v))) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    expected = []
+    for a, (i, q) in enumerate(own):
+        if i % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(q, v)), j) for b, (j, v) in enumerate(own) if a != b)[:7]
+            expected += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert topk.top_k(vectors.limit(0), vectors.limit(0), 3).count() == 0
+
+
+def test_weights_catch_one_word_in_a_long_text(spark):
+    rows = [(k, ("calm river stones under trees " * 40) + ("vileword " if k % 2 else "") + "calm river " * 40, k % 2) for k in range(300)]
+    docs = spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, c) for a, _, c in rows if a < 200], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, *toxicity.fit(docs, labels)).collect()}
+    assert all((got[k] >= 0.5) == bool(k % 2) for k in got)
+
+
+def test_chain_sums_match_enumeration():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    unary, pair = rng.normal(size=(5, 2)), rng.normal(size=(2, 2))
+    first = np.array([0, 3, 5])
+    line, bases = quality_crf.side_by_side(first)
+    marginal = np.empty((5, 2))
+    marginal[line] = quality_crf.chain_sums(unary[line], pair, bases)[0]
+    for a, b in zip(first, first[1:]):
+        total = np.zeros((b - a, 2))
+        for y in itertools.product((0, 1), repeat=b - a):
+            w = np.exp(sum(unary[a + k, s] for k, s in enumerate(y)) + sum(pair[y[k], y[k + 1]] for k in range(b - a - 1)))
+            for k, s in enumerate(y):
+                total[k, s] += w
+        assert np.allclose(marginal[a:b], total / total.sum(1, keepdims=True))
+
+
+def test_viterbi_matches_enumeration():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    firsts = np.array([0, 4, 4, 9])
+    scores = (rng.normal(size=(9, 3)) * 5).astype(np.float32)
+    got = langid.viterbi(scores, firsts, 3.0)
+    for a, b in zip(firsts, firsts[1:]):
+        worth = lambda y: sum(scores[a + k, s] for k, s in enumerate(y)) - 3.0 * sum(p != q for p, q in zip(y, y[1:]))
+        if b > a:
+            assert worth(got[a:b]) == pytest.approx(max(map(worth, itertools.product(range(3), repeat=b - a))), abs=1e-4)
+
+
+def test_similar_sets_share_a_signature():
+    """Whatever the frequency levels are, and small and large sets alike."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for trial in range(300):
+        n = int(rng.integers(1, 160))
+        pool = rng.integers(0, 2**63, n + 60, dtype=np.uint64)
+        level_of = {int(t): int(v) for t, v in zip(pool, rng.integers(0, 4, len(pool)) * (trial % 3))}
+        x = np.unique(pool[:n])
+        swap = int(rng.integers(0, max(1, n // 4)))
+        y = np.unique(np.concatenate((pool[swap:n], pool[n : n + int(rng.integers(0, swap + 1))])))
+        both, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+        if 100 * both < 80 * union:
+            continue
+        (a, pa_), (b, pb_) = (ngram_join.signatures(s, np.array([level_of[int(t)] for t in s], np.uint8)) for s in (x, y))
+        common, ia, ib = np.intersect1d(a, b, return_indices=True)
+        room = [180 * min(len(x) - pa_[i], len(y) - pb_[j]) >= 80 * (len(x) + len(y)) for i, j in zip(ia, ib)]
+        assert any(room), (n, swap)
+        assert ngram_join.may_share(ngram_join.bucket_counts(x), ngram_join.bucket_counts(y), len(x), len(y))

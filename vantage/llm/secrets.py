@@ -41,6 +41,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ("assign", "access", "hex", "random")
 SAMPLE_DOCS = 4000
 MIN_RATIO, MIN_DISTINCT = 25.0, 8
+#: How many transitions the ordinary chain's fall-back is worth: single runs, secrets perhaps, teach it little.
+BACKOFF = 1000
 MASK = "[SECRET]"
 _NONE = "array<struct<start:int,kind:int,end:int>>"
 
@@ -94,11 +96,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
         c[r["y"]][r["a"] - 1][r["b"] - 1] = r["count"]
     if not counts:
         return [0.0] * (size * size)
+    # ordinary transitions fall back on how common the character is in ordinary tokens
+    seen = [sum(c[0][a][b] for a in range(size)) for b in range(size)]
+    common = [(n + 0.5) / (sum(seen) + 0.5 * size) for n in seen]
     out = []
     for a in range(size):
         n0, n1 = sum(c[0][a]), sum(c[1][a])
         for b in range(size):
-            ordinary = (c[0][a][b] + 0.5) / (n0 + 0.5 * size)
+            ordinary = (c[0][a][b] + BACKOFF * common[b]) / (n0 + BACKOFF)
             random = 0.5 * (c[1][a][b] / n1 if n1 else 1 / size) + 0.5 / size
             out.append(round(math.log(random / ordinary), 6))
     return out
