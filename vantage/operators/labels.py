@@ -2,24 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir (one of our own where that is unset) and read again."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="vantage-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from .scratch import kept
 
 def label_cells(cells: DataFrame, width: int) -> DataFrame:
     """cells (r, c) with label, the smallest r * width + c of their four-connected blob.
@@ -27,17 +13,17 @@ def label_cells(cells: DataFrame, width: int) -> DataFrame:
     Each round, a label takes the smallest label beside its cells, and labels then follow one another to the end.
     """
     at = (F.col("r") * width + F.col("c")).cast("long")
-    labelled = _kept(cells.select("r", "c", at.alias("label")).distinct())
+    labelled = kept(cells.select("r", "c", at.alias("label")).distinct())
     steps = F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))))
     while True:
         spread = labelled.withColumn("s", F.explode(steps)).select((F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c"), F.col("label").alias("beside"))
-        hooks = _kept(labelled.join(spread, ["r", "c"]).where("beside < label").groupBy("label").agg(F.min("beside").alias("to")))
+        hooks = kept(labelled.join(spread, ["r", "c"]).where("beside < label").groupBy("label").agg(F.min("beside").alias("to")))
         if hooks.isEmpty():
             return labelled
         while True:
             ahead = hooks.select(F.col("label").alias("to"), F.col("to").alias("next"))
-            hooks = _kept(hooks.join(ahead, "to", "left").select("label", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+            hooks = kept(hooks.join(ahead, "to", "left").select("label", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
             if hooks.where("moved").isEmpty():
                 break
             hooks = hooks.drop("moved")
-        labelled = _kept(labelled.join(hooks.select("label", "to"), "label", "left").select("r", "c", F.coalesce("to", "label").alias("label")))
+        labelled = kept(labelled.join(hooks.select("label", "to"), "label", "left").select("r", "c", F.coalesce("to", "label").alias("label")))

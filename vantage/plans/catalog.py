@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import meshes, records, views
+from . import meshes, records, sights, views
 
 FLAGSHIP = "viewshed_count"
-MODULES = (views, records, meshes)
+MODULES = (views, records, meshes, sights)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
