@@ -1 +1 @@
-
+"""Dataflow operators over grids, rays, walls and records."""

@@ -1 +1 @@
-
+"""Streaming counterparts of the registry and tally operators."""
