@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Odd multipliers and table seeds of the hashes: any fixed values do, as long as all tasks use the same.
 WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
@@ -66,6 +66,7 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield at, end - at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -38,6 +38,8 @@ SCRIPTS = "Latin Greek Cyrillic Armenian Hebrew Arabic Devanagari Bengali Tamil
 #: A script counts as a language's own from this share of its words on.
 SCRIPT_SHARE = 0.02
 OUT = -60.0
+#: Bytes of text that go through a Viterbi pass together.
+SLICE = 3 << 20
 #: A text is rejected if no language has so much of its letters.
 MIN_SCORE = 0.4
 
@@ -99,7 +101,7 @@ class Model:
         out += np.where(allowed | ~allowed.any(1, keepdims=True), 0.0, OUT)
         out -= out.max(1, keepdims=True)
         out[letters == 0] = 0.0
-        return out, letters
+        return out.astype(np.float32), letters
 
 
 def viterbi(scores: np.ndarray, firsts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -117,7 +119,7 @@ def viterbi(scores: np.ndarray, firsts: np.ndarray, switch: float = SWITCH) -> n
     place = bases[step] + text
     source = np.empty(len(text), np.int64)
     source[place] = begins[text] + step
-    s = np.ascontiguousarray(scores[source])
+    s = scores.astype(np.float32)[source]
     stays, bests = np.ones(s.shape, bool), np.zeros(len(s), np.int8)
     value = s[: active[0]].copy()
     for t in range(1, steps):
@@ -184,7 +186,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 def labelled(column: pa.Array, model: Model, with_spans: bool = False) -> tuple[list[str], np.ndarray, list]:
     """Language and score of each text, and its spans if asked for."""
     langs, scores, spans = [], [np.zeros(0)], []
-    for _, n, data, offsets in text_slices(column, 1 << 26):
+    for _, n, data, offsets in text_slices(column, SLICE):
         starts, _, firsts = words_of(data, offsets)
         share = np.zeros((n, max(1, len(model.langs))))
         labels = np.zeros(len(starts), np.int64)
