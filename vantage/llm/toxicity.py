@@ -30,7 +30,7 @@ from .shared import bounded_labels, crc_rest, documents, keep
 GRAMS = (4, 5, 6)
 DIMS = 1 << 20
 SAMPLE_TOXIC, SAMPLE_OTHER = 3000, 6000
-Z = 6.0
+Z = 4.0
 RIDGE = 0.02
 ROUNDS = 300
 #: Share of the learned weights, against their mean.
