@@ -112,3 +112,19 @@ def test_empty_tables(spark):
     eyes = spark.createDataFrame([], "eye long, ex double, ey double, ez double")
     assert v.viewshed(eyes, cells, g.corners(cells), g.Grid(), 5.0).count() == 0
     assert q.merge_intervals(spark.createDataFrame([], "k int, lo double, hi double"), ["k"]).count() == 0
+
+
+def test_rings():
+    from vantage.functions.angles import arc_shares, sunrise_arcs
+    from vantage.operators import polygons as pg
+
+    rough = [(0.0, 0.0), (0.02, 2.0), (0.0, 4.0), (3.0, 4.05), (6.0, 4.0), (6.0, 0.1), (5.9, 0.0)]
+    assert pg.wall_ring(rough) == [(0.0, 0.0), (5.9, 0.0), (6.0, 4.0), (0.0, 4.0)]
+    shape = [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]
+    cut = pg.ears(shape)
+    assert len(cut) == 3 and sum(abs(pg._signed([shape[i] for i in t])) for t in cut) == pytest.approx(abs(pg._signed(shape)))
+    assert pg.clear_places(6.0, 2, 0.6, None) == [2.0, 4.0]
+    assert pg.clear_places(6.0, 1, 0.6, (3.0, 1.0)) == pytest.approx([1.85])
+    assert pg.clear_places(1.5, 1, 0.6, (0.75, 1.0)) == []
+    shares = arc_shares(sunrise_arcs(25.5))
+    assert sum(shares) == pytest.approx(1) and shares[0] == 0 and shares[2] == pytest.approx(shares[6])
