@@ -124,7 +124,7 @@ def test_rings():
     cut = pg.ears(shape)
     assert len(cut) == 3 and sum(abs(pg._signed([shape[i] for i in t])) for t in cut) == pytest.approx(abs(pg._signed(shape)))
     assert pg.clear_places(6.0, 2, 0.6, None) == [2.0, 4.0]
-    assert pg.clear_places(6.0, 1, 0.6, (3.0, 1.0)) == pytest.approx([1.85])
+    assert pg.clear_places(6.0, 1, 0.6, (3.1, 1.0)) == pytest.approx([1.95])
     assert pg.clear_places(1.5, 1, 0.6, (0.75, 1.0)) == []
     shares = arc_shares(sunrise_arcs(25.5))
     assert sum(shares) == pytest.approx(1) and shares[0] == 0 and shares[2] == pytest.approx(shares[6])
