@@ -16,11 +16,15 @@ Classes come from counts of all shingles in a sketch of SKETCH counters: a token
 frequent if its counter stands FREQUENT standard deviations above the mean. Any classes
 give right results; good ones keep the lists short.
 
-Lists of the index are worked through in rounds. First each class is verified against
-one leader, the smallest it shares a list with; then, in lists that still hold several
-components, each against that list's leader; last, only the pairs of a list that are
-still in different components. Verification compares whole sets. So a large group of near copies
-costs one comparison a copy, and no link that matters to a component is lost.
+Lists of the index are worked through in three rounds. First each class is held against
+one leader, the smallest class that it shares a list with; then, in lists that still hold
+several components, against that list's leader; last, only those pairs of a list that are
+still in different components and whose places in the order leave room for enough common
+tokens.
+So a large group of near copies costs a few comparisons a copy, and no link that matters to
+a component is lost. A pair is dropped early if its sizes, or the counts of its tokens by
+hash bucket, show that it can't be similar; whole sets are fetched, and compared, for the
+rest alone.
 
 Tokens are 64-bit hashes of 5-word sequences, and classes 64-bit hashes of sets.
 
@@ -48,14 +52,16 @@ from .shared import documents, keep
 
 SHINGLE = 5
 PERCENT = 80
-SKETCH = 1 << 20
-CHUNKS = 16
+SKETCH = 1 << 22
+CHUNKS = 64
 FREQUENT = 4.0
 CLASSES = 32
 #: Sets of up to so many tokens have all tokens indexed alone: above, CLASSES classes cover enough even without a rare token.
 SMALL = (CLASSES + 2) * 100 // PERCENT
 #: Bits of the filter on sets to fetch; a full filter only fetches more.
 FILTER_BITS = 1 << 23
+#: Tokens of a set to each bucket of its counts, at most.
+BUCKET = 8
 _STEP = powers(SHINGLE + 1, np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -89,17 +95,35 @@ def may_miss(n: int) -> int:
     return n - -(-PERCENT * n // 100)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """What a set is indexed under. frequent: each token's level, 0 for rare."""
+def bucket_counts(tokens: np.ndarray) -> bytes:
+    """Counts of a set's tokens by hash bucket, as many buckets as a power of two needs for BUCKET tokens each; empty if one passes a byte."""
+    size = 1 << max(0, (len(tokens) - 1) // BUCKET).bit_length()
+    counts = np.bincount((tokens >> np.uint64(24)).astype(np.int64) & (size - 1), minlength=size)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_share(x: bytes, y: bytes, nx: int, ny: int) -> bool:
+    """Whether two sets' bucket counts allow the similarity."""
+    if not x or not y:
+        return True
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in ((x, y) if len(x) <= len(y) else (y, x)))
+    both = int(np.minimum(a, b.reshape(-1, len(a)).sum(0)).sum())
+    return 100 * both >= PERCENT * (nx + ny - both)
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a set is indexed under, and each one's place in the order (0 for combinations). frequent: each token's level, 0 for rare."""
     need = may_miss(len(tokens)) + 1
     order = np.argsort(frequent, kind="stable")  # tokens are sorted by hash already
     ranked, level = tokens[order], frequent[order]
-    out = []
+    out, places = [], []
     if len(tokens) <= SMALL * 100 // PERCENT + 1:
         out.append(mix64(ranked[:need] ^ np.uint64(0xA0761D6478BD642F)))
+        places.append(np.arange(len(out[-1])))
     if len(tokens) > SMALL:
         rare = int(np.searchsorted(level, 1))
         out.append(ranked[: min(rare, need)])
+        places.append(np.arange(len(out[-1])))
         if rare < need:
             rest = ranked[rare:]
             group = (rest >> np.uint64(40)).astype(np.int64) % CLASSES
@@ -113,53 +137,57 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
                 own = rest[:taken][group[:taken] == g]
                 i, j = np.triu_indices(len(own), 1)
                 out.append(mix64(np.minimum(own[i], own[j]) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(own[i], own[j])))
-    return np.unique(np.concatenate(out))
+                places.append(np.zeros(len(i), np.int64))
+    return np.concatenate(out), np.concatenate(places)
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """Of each document doc_id, n and class; and of each task its sketch in chunks (chunk, counts)."""
+    """Of each document doc_id, n, class and bucket counts; and of each task its sketch in chunks (chunk, counts)."""
     kind = docs.schema["doc_id"].dataType
-    schema = f"doc_id {kind.simpleString()}, n long, class long, chunk int, counts binary"
+    names = ["doc_id", "n", "class", "buckets", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen, id_type = np.zeros(SKETCH, np.int64), set(), None
         for batch in batches:
-            n, own = [], []
+            n, own, buckets = [], [], []
             id_type = batch.column("doc_id").type
             for _, _, data, offsets in text_slices(batch.column("text")):
                 new = []
                 for tokens in shingle_sets(data, offsets):
                     n.append(len(tokens))
                     own.append(class_of(tokens))
+                    buckets.append(bucket_counts(tokens) if len(tokens) else b"")
                     if own[-1] not in seen:
                         seen.add(own[-1])
                         new.append(tokens)
                 if new:
                     total += np.bincount((np.concatenate(new) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], ["doc_id", "n", "class", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(buckets, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if id_type is not None:
-            parts = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in np.split(total, CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, id_type), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "class", "chunk", "counts"])
+            whole = total.astype("<u2" if total.max() < 1 << 16 else "<u8")
+            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(whole, CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, id_type), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, n long, class long, buckets binary, chunk int, counts binary")
 
 
 def levels(sketches: DataFrame) -> np.ndarray:
     """Each counter's level: 0 for rare, then by powers of two of its excess. The tasks' sketches are added up chunk by chunk."""
+    size = SKETCH // CHUNKS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-                own = np.frombuffer(zlib.decompress(counts.as_py()), "<u4").astype(np.int64)
-                total[chunk] = total.get(chunk, 0) + own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+                raw = zlib.decompress(counts.as_py())
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(raw, "<u2" if len(raw) == 2 * size else "<u8").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["chunk", "counts"])
 
     rows = sketches.repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    total = np.zeros((CHUNKS, SKETCH // CHUNKS), np.int64)
+    total = np.zeros((CHUNKS, size), np.int64)
     for r in rows:
-        total[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+        total[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     total = total.reshape(-1)
     mean = total.mean()
     excess = (total - mean) / max(1.0, np.sqrt(mean)) / FREQUENT
@@ -167,23 +195,25 @@ def levels(sketches: DataFrame) -> np.ndarray:
 
 
 def index(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """(sig, class) rows; a class once a task."""
+    """(sig, class, at) rows, a class once a task; at is the set's size and, in the low half, the place in its order."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, seen = shared.value, set()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
-                sigs, owner = [], []
+                sigs, owner, at = [], [], []
                 for tokens in shingle_sets(data, offsets):
                     if len(tokens) and (own := class_of(tokens)) not in seen:
                         seen.add(own)
-                        sigs.append(signatures(tokens, of[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]))
+                        sig, place = signatures(tokens, of[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)])
+                        sigs.append(sig)
+                        at.append((len(tokens) << 32) + place)
                         owner.append(own)
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(owner, np.int64), [len(s) for s in sigs]))], ["sig", "class"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(owner, np.int64), [len(s) for s in sigs])), pa.array(np.concatenate(at))], ["sig", "class", "at"])
 
-    return docs.select("text").mapInArrow(run, "sig long, class long")
+    return docs.select("text").mapInArrow(run, "sig long, class long, at long")
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -232,37 +262,57 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return keep(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
+def possible(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Pairs (a, b) that sizes and bucket counts allow, written down. listed: class, n, buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, na, nb = (batch.column(c).to_pylist() for c in ("x", "y", "na", "nb"))
+            good = pa.array([may_share(*v) for v in zip(x, y, na, nb)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+
+    a = listed.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("buckets").alias("x"))
+    b = listed.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("buckets").alias("y"))
+    near = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    return keep(near.select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long"), "possible")
+
+
+def links_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar enough, by their whole sets."""
+    if pairs.isEmpty():
+        return pairs
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
+    return verified(pairs, fetch_sets(docs, wanted).dropDuplicates(["class"]))
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id. docs: doc_id, text; read three times."""
+    """doc_id, n_shingles, component_id. docs: doc_id, text; read two to five times."""
     measured = keep(profiles(docs), "profiles")
-    members = measured.where("chunk IS NULL").select("doc_id", "n", "class")
+    members = measured.where("chunk IS NULL").select("doc_id", "n", "class", "buckets")
     by_sig = W.partitionBy("sig")
     lists = index(docs, levels(measured.where("chunk IS NOT NULL").select("chunk", "counts")))
-    lists = lists.withColumns({"leader": F.min("class").over(by_sig), "last": F.max("class").over(by_sig)}).where("leader <> last").select("sig", "class", "leader")
+    lists = lists.withColumns({"leader": F.min("class").over(by_sig), "last": F.max("class").over(by_sig)}).where("leader <> last").select("sig", "class", "at", "leader")
     lists = keep(lists, "lists")
-    sizes = members.where("n > 0").groupBy("class").agg(F.max("n").alias("n"))
-    in_lists = keep(lists.select("class").distinct().join(sizes, "class"), "listed")
-    sets = keep(fetch_sets(docs, in_lists).join(in_lists.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the similarity."""
-        a, b = in_lists.select(F.col("class").alias("a"), F.col("n").alias("na")), in_lists.select(F.col("class").alias("b"), F.col("n").alias("nb"))
-        return pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b")
-
-    first = lists.groupBy("class").agg(F.min("leader").alias("a")).select("a", F.col("class").alias("b")).where("a <> b")
-    labels = components(verified(sized(first), sets))
-    open_lists = lists
-    for last in (False, True):
-        known = open_lists.select("sig", "class").join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").select("sig", "class", F.coalesce("comp", "class").alias("comp"))
-        known = known.join(in_lists, "class").withColumns({"leader": F.min(F.struct("comp", "class")).over(by_sig), "low": F.min("comp").over(by_sig), "high": F.max("comp").over(by_sig)}).where("low <> high")
-        open_lists = keep(known.select("sig", "class", "comp", "n", "leader"), "open-lists")
-        if last:
-            x = open_lists.select("sig", F.col("class").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-            y = open_lists.select("sig", F.col("class").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-            pairs = x.join(y, "sig").where(f"a < b AND ca <> cb AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b").distinct()
-        else:
-            pairs = sized(open_lists.where("leader.comp <> comp").select(F.col("leader.class").alias("a"), F.col("class").alias("b")).distinct())
-        labels = components(verified(pairs, sets), labels)
+    listed = members.where("n > 0").join(lists.select("class").distinct(), "class", "left_semi").select("class", "n", "buckets")
+    listed = keep(listed.groupBy("class").agg(F.max("n").alias("n"), F.max("buckets").alias("buckets")), "listed")
+
+    def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows of lists that hold several components, with each one's component and the list's leader of the smallest."""
+        known = rows.select("sig", "class", "at").join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+        known = known.withColumns({"leader": F.min(F.struct("comp", "class")).over(by_sig), "high": F.max("comp").over(by_sig)}).where("leader.comp <> high").drop("high")
+        return keep(known, "open-lists")
+
+    one = lists.groupBy("class").agg(F.min("leader").alias("a")).where("a <> class").select("a", F.col("class").alias("b"))
+    labels = components(links_of(possible(one, listed), docs))
+    open_lists = still_open(lists, labels)
+    led = open_lists.where("leader.comp <> comp").select(F.col("leader.class").alias("a"), F.col("class").alias("b")).distinct()
+    labels = components(links_of(possible(led, listed), docs), labels)
+    open_lists = still_open(open_lists, labels).select("sig", "class", "comp", F.shiftright("at", 32).alias("n"), (F.col("at") % (1 << 32)).alias("place"))
+    x, y = (open_lists.select("sig", F.col("class").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("comp", "n", "place"))) for k in "ab")
+    # what is left after the place of the first common token, in either set, has to hold the other common ones
+    room = f"(100 + {PERCENT}) * least(n_a - place_a, n_b - place_b) >= {PERCENT} * (n_a + n_b)"
+    across = x.join(y, "sig").where(f"a < b AND comp_a <> comp_b AND 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b) AND {room}").select("a", "b").distinct()
+    labels = components(links_of(possible(across, listed), docs), labels)
 
     labels = labels.select(F.col("node").alias("class"), "comp")
     grouped = members.where("n > 0").join(labels, "class", "left").select("doc_id", "n", F.coalesce("comp", "class").alias("comp"))
