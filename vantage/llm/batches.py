@@ -6,6 +6,8 @@ texts needs no more memory for its temporaries than one of short texts.
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+_LIBC = ctypes.CDLL(None) if os.name == "posix" else None
 #: Odd multipliers and table seeds of the hashes: any fixed values do, as long as all tasks use the same.
 WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
@@ -21,6 +24,13 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system: a worker that is used again then starts small."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None and hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers."""
     x = x.astype(np.uint64, copy=True)
@@ -66,7 +76,7 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield at, end - at, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -17,6 +17,7 @@ are ignored. Special tokens' strings in a text are ordinary text.
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -34,6 +35,8 @@ END_ID = 1
 SHARD_ROWS = 16_384
 #: Units of text that a worker remembers the ids of; beyond, it starts afresh. Results don't depend on it.
 CACHE_UNITS = 400_000
+#: Bytes of text whose units are told apart together.
+SLICE = 4 << 20
 
 
 #: Cut before these where a letter precedes: they belong to no pre-token of letters, and begin their own.
@@ -50,6 +53,7 @@ class UnitTokenizer:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -118,7 +122,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         for batch in batches:
-            for at, n, data, offsets in text_slices(batch.column("text")):
+            for at, n, data, offsets in text_slices(batch.column("text"), SLICE):
                 flat, bounds = own.encode(data, offsets)
                 row, start, length, crc, total, kept = [], [], [], [], [], []
                 for k in range(n):
