@@ -2,7 +2,7 @@
 
 Features are hashed n-grams of the lower-case text, present or not. An n-gram's ratio is
 the log of how much more often toxic documents of the sample hold it than others, with
-add-one counts. Kept are the n-grams whose ratio is at least Z standard errors from 0.
+add-one counts. Kept are the FEATURES n-grams whose ratios are the most standard errors, Z at least, from 0.
 A logistic regression on the ratios of a document's n-grams then weighs them; its
 weights are drawn towards their mean, as is usual for this pair of models.
 
@@ -31,6 +31,7 @@ GRAMS = (4, 5, 6)
 DIMS = 1 << 20
 SAMPLE_TOXIC, SAMPLE_OTHER = 3000, 6000
 Z = 4.0
+FEATURES = 6000
 RIDGE = 0.02
 ROUNDS = 300
 #: Share of the learned weights, against their mean.
@@ -73,9 +74,9 @@ def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None) ->
 
 def logistic(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridge: float = RIDGE, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights of the features and the intercept; x: each document's feature numbers. Full gradient steps with momentum."""
-    row = np.repeat(np.arange(len(x)), [len(a) for a in x])
-    col = np.concatenate(x) if len(x) else np.zeros(0, np.int64)
-    value = ratio[col]
+    row = np.repeat(np.arange(len(x), dtype=np.int32), [len(a) for a in x])
+    col = np.concatenate(x) if len(x) else np.zeros(0, np.int16)
+    value = ratio.astype(np.float32)[col]
     w, bias = np.ones(len(ratio)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, rounds + 1):
@@ -115,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[np.n
     # both standard errors count: add-one keeps a rare n-gram's ratio small
     kept = (
         sample.mapInArrow(count, "bucket long, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        .select("bucket", ratio.alias("ratio")).where(F.abs(ratio) >= Z * error).orderBy("bucket").toPandas()
+        .select("bucket", ratio.alias("ratio"), (F.abs(ratio) / error).alias("z")).where(F.col("z") >= Z).orderBy(F.desc("z"), "bucket").limit(FEATURES).toPandas().sort_values("bucket")
     )
     ratio_of, number = kept["ratio"].to_numpy(), np.full(DIMS, -1)
     number[kept["bucket"]] = np.arange(len(kept))
@@ -126,11 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[np.n
             for _, rows, data, offsets in text_slices(batch.column("text"), SLICE):
                 row, bucket = present(data, offsets, number >= 0)
                 cuts = np.searchsorted(row, np.arange(rows + 1))
-                found += [number[bucket[a:b]].astype(np.int32) for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column("y")], ["x", "y"])
+                found += [number[bucket[a:b]].astype(np.int16).tobytes() for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("y")], ["x", "y"])
 
-    rows = sample.mapInArrow(features, "x array<int>, y int").toPandas()
-    w, bias = logistic([np.asarray(a, np.int64) for a in rows["x"]], rows["y"].to_numpy(np.float64), ratio_of)
+    rows = sample.mapInArrow(features, "x binary, y int").toPandas()
+    w, bias = logistic([np.frombuffer(a, np.int16) for a in rows["x"]], rows["y"].to_numpy(np.float64), ratio_of)
     w = BETA * w + (1 - BETA) * np.abs(w).mean() if len(w) else w
     table[kept["bucket"]] = w * ratio_of
     return table, bias
