@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import pytest
@@ -226,3 +227,19 @@ def test_similar_sets_share_a_signature():
         room = [180 * min(len(x) - pa_[i], len(y) - pb_[j]) >= 80 * (len(x) + len(y)) for i, j in zip(ia, ib)]
         assert any(room), (n, swap)
         assert ngram_join.may_share(ngram_join.bucket_counts(x), ngram_join.bucket_counts(y), len(x), len(y))
+
+
+def test_toxic_share_of_a_bounded_sample(spark, monkeypatch):
+    """A word that all toxic and 40 % of the other texts hold, at 10 % toxic: a chance of 0.22, whatever part of the labels is taken."""
+    rng = random.Random(8)
+    rows = [(k, k % 10 == 0, " ".join(rng.choice("calm river stone under tree field".split()) for _ in range(12))) for k in range(2000)]
+    docs = spark.createDataFrame([(k, t + " vileword" * (y or k % 5 in (1, 3))) for k, y, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(y)) for k, y, _ in rows], "doc_id long, toxic int")
+    scores = []
+    for most in (2000, 100):
+        monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", most)
+        monkeypatch.setattr(toxicity, "SAMPLE_OTHER", most)
+        got = [r["score"] for r in toxicity.score(docs, *toxicity.fit(docs, labels)).collect()]
+        assert max(got) < 0.5
+        scores.append(sum(got) / len(got))
+    assert abs(scores[0] - scores[1]) < 0.03

@@ -57,12 +57,14 @@ def pick_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def bounded_labels(labels: DataFrame, column: str, positive: int, negative: int) -> DataFrame:
-    """doc_id and y of at most so many labelled ids of each kind, by a hash of the id; an id is 1 if any of its rows says so."""
+    """doc_id, y and rate, the share of its kind that is taken, of at most so many labelled ids of each kind, by a hash of the id; an id is 1 if any of its rows says so."""
     ids = labels.select("doc_id", F.col(column).alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in ids.groupBy("y").agg(F.count("*").alias("n")).collect()}
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     own = []
     for y, most in ((1, positive), (0, negative)):
-        near = ids.where(f"y = {y}").where(part < min(1.0, 1.1 * most / max(1, counts.get(y, 0))))
-        own.append(near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+        total = counts.get(y, 0)
+        near = ids.where(f"y = {y}").where(part < min(1.0, 1.1 * most / max(1, total)))
+        rate = min(most, near.count()) / total if total > most else 1.0
+        own.append(near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("rate", F.lit(rate)))
     return own[0].unionByName(own[1])

@@ -6,8 +6,10 @@ add-one counts. Kept are the FEATURES n-grams whose ratios are the most standard
 A logistic regression on the ratios of a document's n-grams then weighs them; its
 weights are drawn towards their mean, as is usual for this pair of models.
 
-The model is fitted on at most SAMPLE_TOXIC toxic and SAMPLE_OTHER other labelled rows;
-the weights are one table of fixed size, whatever the corpus.
+The model is fitted on at most SAMPLE_TOXIC toxic and SAMPLE_OTHER other labelled rows.
+In the regression a row stands for as many as its kind's sampling left out, so that the
+share of toxic rows is that of all labels, whatever their number. The weights are one
+table of fixed size, whatever the corpus.
 
 Cases: null and empty texts score what the intercept alone gives; a text counts as
 labelled if any of its label rows is not null, and as toxic if any says so; null ids
@@ -72,16 +74,18 @@ def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None) ->
     return pair // DIMS, pair % DIMS
 
 
-def logistic(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridge: float = RIDGE, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Weights of the features and the intercept; x: each document's feature numbers. Full gradient steps with momentum."""
+def logistic(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Weights of the features and the intercept; x: each document's feature numbers, weight: how many rows it stands for. Full gradient steps with momentum."""
     row = np.repeat(np.arange(len(x), dtype=np.int32), [len(a) for a in x])
     col = np.concatenate(x) if len(x) else np.zeros(0, np.int16)
     value = ratio.astype(np.float32)[col]
-    w, bias = np.ones(len(ratio)), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    weight = weight / weight.mean()
+    toxic = (weight * y).sum()
+    w, bias = np.ones(len(ratio)), float(np.log((toxic + 1) / (len(y) - toxic + 1)))
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, rounds + 1):
         z = np.bincount(row, value * w[col], len(x)) + bias
-        g = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
+        g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         grad = np.append(np.bincount(col, value * g[row], len(ratio)) / len(x) + ridge * w / max(1, len(ratio)), g.mean())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -92,7 +96,7 @@ def logistic(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, ridge: float
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[np.ndarray, float]:
     """A weight for each bucket, and the intercept. docs: doc_id, text; labels: doc_id and a 0/1 column."""
     ids = bounded_labels(labels, column, SAMPLE_TOXIC, SAMPLE_OTHER)
-    sample = keep(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").repartition(8), "toxicity-sample")
+    sample = keep(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y", "rate").repartition(8), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,10 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[np.n
                 row, bucket = present(data, offsets, number >= 0)
                 cuts = np.searchsorted(row, np.arange(rows + 1))
                 found += [number[bucket[a:b]].astype(np.int16).tobytes() for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("y")], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("y"), batch.column("rate")], ["x", "y", "rate"])
 
-    rows = sample.mapInArrow(features, "x binary, y int").toPandas()
-    w, bias = logistic([np.frombuffer(a, np.int16) for a in rows["x"]], rows["y"].to_numpy(np.float64), ratio_of)
+    rows = sample.mapInArrow(features, "x binary, y int, rate double").toPandas()
+    w, bias = logistic([np.frombuffer(a, np.int16) for a in rows["x"]], rows["y"].to_numpy(np.float64), ratio_of, 1 / rows["rate"].to_numpy())
     w = BETA * w + (1 - BETA) * np.abs(w).mean() if len(w) else w
     table[kept["bucket"]] = w * ratio_of
     return table, bias
