@@ -243,3 +243,39 @@ def test_toxic_share_of_a_bounded_sample(spark, monkeypatch):
         assert max(got) < 0.5
         scores.append(sum(got) / len(got))
     assert abs(scores[0] - scores[1]) < 0.03
+
+
+@pytest.fixture
+def split_files(spark):
+    """Sets into how many parts files are read at least; more parts give their rows other numbers."""
+    name = "spark.sql.files.minPartitionNum"
+    yield lambda n: spark.conf.set(name, str(n))
+    spark.conf.unset(name)
+
+
+def test_firsts_of_groups_when_files_are_split_otherwise(spark, monkeypatch, split_files, tmp_path):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10000)}" for _ in range(40)) for _ in range(20)]
+    spark.createDataFrame([(k, texts[k % 20]) for k in range(80)], "doc_id long, text string").repartition(4, "doc_id").write.parquet(f"{tmp_path}/docs")
+    groups = ngram_join.similar_groups
+
+    def then_split(docs):
+        found = keep(groups(docs), "test-groups")
+        split_files(8)
+        return found
+
+    monkeypatch.setattr(ngram_join, "similar_groups", then_split)
+    split_files(1)
+    got = [r["text"] for r in ngram_join.first_of_groups(spark.read.parquet(f"{tmp_path}/docs")).collect()]
+    assert sorted(got) == sorted(texts)
+
+
+def test_vectors_keep_their_numbers_when_files_are_split_otherwise(spark, split_files):
+    split_files(8)
+    rows = spark.createDataFrame([(k, [float(k)]) for k in range(40)], "vec_id long, embedding array<double>").repartition(4, "vec_id")
+    vectors = topk.whole_vectors(rows)
+    seen = []
+    for n in (1, 8):
+        split_files(n)
+        seen.append({r["vec_id"]: r["rid"] for r in vectors.select("rid", "vec_id").collect()})
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == 40

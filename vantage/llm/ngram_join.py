@@ -322,10 +322,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one row of each group of similar ones: the first in the order of its files. docs is a table that is read, so its rows have steady numbers."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.struct(*docs.columns).alias("row"))
-    firsts = similar_groups(numbered.select("doc_id", "text")).where("doc_id = component_id").select("doc_id")
-    return numbered.select("doc_id", "row").join(firsts, "doc_id", "left_semi").select("row.*")
+    """docs, all columns, with one row of each group of similar ones: the first in the order of its files. Numbers are written down with the rows, as another reading could split the files otherwise."""
+    numbered = keep(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.struct(*docs.columns).alias("row")), "numbered")
+    firsts = similar_groups(numbered.select("doc_id", F.col("row.text").alias("text"))).where("doc_id = component_id").select("doc_id")
+    return numbered.join(firsts, "doc_id", "left_semi").select("row.*")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

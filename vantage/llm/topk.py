@@ -42,10 +42,10 @@ HIT = "query_rid long, query_id long, vec_id long, score long"
 
 
 def whole_vectors(table: DataFrame, scale: int = SCALE) -> DataFrame:
-    """rid, vec_id, v: floor(scale * component) of the vectors that take part, with a number for each row."""
+    """rid, vec_id, v: floor(scale * component) of the vectors that take part, with a number for each row, written down with it."""
     v = F.transform("embedding", lambda x: x.cast("double") * scale)
     fine = table.select("vec_id", v.alias("x")).where("x IS NOT NULL AND size(x) > 0").where(F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e15)))
-    return keep(fine.select("vec_id", F.transform("x", lambda x: F.floor(x)).alias("v")), "vectors").withColumn("rid", F.monotonically_increasing_id())
+    return keep(fine.select(F.monotonically_increasing_id().alias("rid"), "vec_id", F.transform("x", lambda x: F.floor(x)).alias("v")), "vectors")
 
 
 def matrix(column: pa.Array | pd.Series, dim: int) -> np.ndarray:
