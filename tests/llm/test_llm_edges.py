@@ -279,3 +279,12 @@ def test_vectors_keep_their_numbers_when_files_are_split_otherwise(spark, split_
         split_files(n)
         seen.append({r["vec_id"]: r["rid"] for r in vectors.select("rid", "vec_id").collect()})
     assert seen[0] == seen[1] and len(set(seen[0].values())) == 40
+
+
+def test_all_telling_ngrams_are_kept(spark):
+    rng = random.Random(10)
+    own = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(700)]
+    rows = [(k, k % 2, " ".join(own) if k % 2 else "calm river stones") for k in range(120)]
+    docs = spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, text string")
+    table, _ = toxicity.fit(docs, spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, toxic int"))
+    assert (table != 0).sum() > 10000

@@ -2,7 +2,7 @@
 
 Features are hashed n-grams of the lower-case text, present or not. An n-gram's ratio is
 the log of how much more often toxic documents of the sample hold it than others, with
-add-one counts. Kept are the FEATURES n-grams whose ratios are the most standard errors, Z at least, from 0.
+add-one counts. Kept are the n-grams whose ratio is at least Z standard errors from 0.
 A logistic regression on the ratios of a document's n-grams then weighs them; its
 weights are drawn towards their mean, as is usual for this pair of models.
 
@@ -33,13 +33,14 @@ GRAMS = (4, 5, 6)
 DIMS = 1 << 20
 SAMPLE_TOXIC, SAMPLE_OTHER = 3000, 6000
 Z = 4.0
-FEATURES = 6000
 RIDGE = 0.02
 ROUNDS = 300
 #: Share of the learned weights, against their mean.
 BETA = 0.75
 #: Bytes of text whose n-grams are listed at once.
 SLICE = 1 << 20
+#: Features of the sample that a gradient step takes at once.
+STEP = 1 << 20
 
 
 def gram_buckets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,16 +78,20 @@ def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None) ->
 def logistic(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights of the features and the intercept; x: each document's feature numbers, weight: how many rows it stands for. Full gradient steps with momentum."""
     row = np.repeat(np.arange(len(x), dtype=np.int32), [len(a) for a in x])
-    col = np.concatenate(x) if len(x) else np.zeros(0, np.int16)
-    value = ratio.astype(np.float32)[col]
+    col = np.concatenate(x) if len(x) else np.zeros(0, np.int32)
+    parts = [(row[k : k + STEP], col[k : k + STEP]) for k in range(0, len(col), STEP)]
     weight = weight / weight.mean()
     toxic = (weight * y).sum()
     w, bias = np.ones(len(ratio)), float(np.log((toxic + 1) / (len(y) - toxic + 1)))
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, value * w[col], len(x)) + bias
+        own, z, slope = ratio * w, np.full(len(x), bias), np.zeros(len(ratio))
+        for a, b in parts:
+            z += np.bincount(a, own[b], len(x))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        grad = np.append(np.bincount(col, value * g[row], len(ratio)) / len(x) + ridge * w / max(1, len(ratio)), g.mean())
+        for a, b in parts:
+            slope += np.bincount(b, g[a], len(ratio))
+        grad = np.append(ratio * slope / len(x) + ridge * w / max(1, len(ratio)), g.mean())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
@@ -120,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[np.n
     # both standard errors count: add-one keeps a rare n-gram's ratio small
     kept = (
         sample.mapInArrow(count, "bucket long, toxic long, other long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        .select("bucket", ratio.alias("ratio"), (F.abs(ratio) / error).alias("z")).where(F.col("z") >= Z).orderBy(F.desc("z"), "bucket").limit(FEATURES).toPandas().sort_values("bucket")
+        .select("bucket", ratio.alias("ratio"), (F.abs(ratio) / error).alias("z")).where(F.col("z") >= Z).orderBy("bucket").toPandas()
     )
     ratio_of, number = kept["ratio"].to_numpy(), np.full(DIMS, -1)
     number[kept["bucket"]] = np.arange(len(kept))
@@ -131,11 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[np.n
             for _, rows, data, offsets in text_slices(batch.column("text"), SLICE):
                 row, bucket = present(data, offsets, number >= 0)
                 cuts = np.searchsorted(row, np.arange(rows + 1))
-                found += [number[bucket[a:b]].astype(np.int16).tobytes() for a, b in zip(cuts, cuts[1:])]
+                found += [number[bucket[a:b]].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("y"), batch.column("rate")], ["x", "y", "rate"])
 
     rows = sample.mapInArrow(features, "x binary, y int, rate double").toPandas()
-    w, bias = logistic([np.frombuffer(a, np.int16) for a in rows["x"]], rows["y"].to_numpy(np.float64), ratio_of, 1 / rows["rate"].to_numpy())
+    w, bias = logistic([np.frombuffer(a, np.int32) for a in rows["x"]], rows["y"].to_numpy(np.float64), ratio_of, 1 / rows["rate"].to_numpy())
     w = BETA * w + (1 - BETA) * np.abs(w).mean() if len(w) else w
     table[kept["bucket"]] = w * ratio_of
     return table, bias
