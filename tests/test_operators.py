@@ -128,3 +128,9 @@ def test_rings():
     assert pg.clear_places(1.5, 1, 0.6, (0.75, 1.0)) == []
     shares = arc_shares(sunrise_arcs(25.5))
     assert sum(shares) == pytest.approx(1) and shares[0] == 0 and shares[2] == pytest.approx(shares[6])
+
+
+def test_observers_see_each_other_unless_a_peak_stands_between(spark, flat):
+    eyes = spark.createDataFrame([(1, 8.5, -10.5, 1.5), (2, 16.5, -10.5, 1.5), (3, 8.5, -14.5, 1.5)], "eye int, ex double, ey double, ez double")
+    got = {(r["eye"], r["other"]): (r["visible"], round(r["distance"], 3)) for r in v.observer_edges(eyes, g.corners(flat), g.Grid(h=24, w=24), 8.0).collect()}
+    assert got == {(1, 1): (True, 0), (2, 2): (True, 0), (3, 3): (True, 0), (1, 2): (False, 8), (2, 1): (False, 8), (1, 3): (True, 4), (3, 1): (True, 4)}
