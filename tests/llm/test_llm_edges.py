@@ -215,13 +215,15 @@ def test_similar_sets_share_a_signature():
     for trial in range(300):
         n = int(rng.integers(1, 160))
         pool = rng.integers(0, 2**63, n + 60, dtype=np.uint64)
-        level_of = {int(t): int(v) for t, v in zip(pool, rng.integers(0, 4, len(pool)) * (trial % 3))}
+        level_of = {int(t): int(v) for t, v in zip(pool, rng.integers(0, 9, len(pool)) * (trial % 3) * (rng.random(len(pool)) < 0.9))}
         x = np.unique(pool[:n])
         swap = int(rng.integers(0, max(1, n // 4)))
         y = np.unique(np.concatenate((pool[swap:n], pool[n : n + int(rng.integers(0, swap + 1))])))
         both, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
         if 100 * both < 80 * union:
             continue
+        if len(x) < 4 and len(x) == len(y) and both == len(x):
+            continue  # equal sets are one class
         (a, pa_), (b, pb_) = (ngram_join.signatures(s, np.array([level_of[int(t)] for t in s], np.uint8)) for s in (x, y))
         common, ia, ib = np.intersect1d(a, b, return_indices=True)
         room = [180 * min(len(x) - pa_[i], len(y) - pb_[j]) >= 80 * (len(x) + len(y)) for i, j in zip(ia, ib)]
@@ -288,3 +290,45 @@ def test_all_telling_ngrams_are_kept(spark):
     docs = spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, text string")
     table, _ = toxicity.fit(docs, spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, toxic int"))
     assert (table != 0).sum() > 10000
+
+
+def sets_of_edits(n_texts: int, edits: int, words: int, seed: int) -> list[str]:
+    """Edits of one base: some words changed, from none to so many."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    texts = []
+    for k in range(n_texts):
+        own = list(base)
+        for _ in range(rng.randrange(edits + 1)):
+            own[rng.randrange(words)] = rng.choice(("x", "y", f"v{k}", f"v{rng.randrange(9)}"))
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_a_large_group_of_edits(spark, monkeypatch):
+    """As by brute force over all pairs, and with few pairs looked at."""
+    texts = sets_of_edits(1500, 9, 90, 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    looked = []
+    orig = ngram_join.possible
+    monkeypatch.setattr(ngram_join, "possible", lambda pairs, listed: (looked.append(pairs.count()), orig(pairs, listed))[1])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_groups(docs).collect()}
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if 100 * both >= 80 * (len(x) + len(sets[j]) - both):
+                links += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert len(set(got.values())) > 300 and links > 40000
+    assert sum(looked) < 60000  # of 1.1 million pairs

@@ -6,33 +6,41 @@ Here the order is by frequency class, rare first, and within a class by hash. Th
 is extended until it covers one token more than may be missed, where
 
 - a token of the rare class covers one, and is indexed alone;
-- tokens of the frequent classes, which come last, are indexed in combinations of two of
-  the same class, so a class with m of them in the prefix covers m - 1.
+- tokens of frequent classes are dealt into groups by hash and indexed in combinations of
+  k of a group (two, and three for the most frequent ones), so a group with m of them in
+  the prefix covers m - k + 1.
 
-Then similar sets share a token or a combination. For small sets, in which combinations
-could not cover enough, all tokens are indexed alone; sets near the limit do both.
+Then similar sets share a token or a combination. The number of groups follows the band
+of sizes that a set belongs to, whatever its size; a set whose smaller partners may belong
+to the band below is indexed in both. Sets of less than four tokens are similar to equal
+ones only.
 
 Classes come from counts of all shingles in a sketch of SKETCH counters: a token is
 frequent if its counter stands FREQUENT standard deviations above the mean. Any classes
 give right results; good ones keep the lists short.
 
-Lists of the index are worked through in three rounds. First each class is held against
-one leader, the smallest class that it shares a list with; then, in lists that still hold
-several components, against that list's leader; last, only those pairs of a list that are
-still in different components and whose places in the order leave room for enough common
-tokens.
-So a large group of near copies costs a few comparisons a copy, and no link that matters to
-a component is lost. A pair is dropped early if its sizes, or the counts of its tokens by
-hash bucket, show that it can't be similar; whole sets are fetched, and compared, for the
-rest alone.
+Lists of the index are worked through in rounds. First each class is held against one
+leader, the smallest class that it shares a list with; then, in lists that still hold
+several components, against the list's member with the fewest rare tokens, as a base has
+fewer of them than its edits. A list of more than LONG classes that is
+still open is not paired but indexed once more, by what its sets have different from the
+leader's: X and Y are similar if 9 |X ^ Y| <= |X| + |Y|, and X ^ Y is also the difference
+of their differences from the leader. If neither shares enough of these, both are similar
+to the leader or they are not similar. So edits of one base, which have nearly all tokens
+in common, are told apart by their edits. Only in short lists, and in those that ROUNDS
+such steps could not make shorter, pairs of different components are looked at, as far as
+their places in the order leave room for enough common tokens; sizes and counts by hash
+bucket drop most of these before whole sets are compared.
 
 Tokens are 64-bit hashes of 5-word sequences, and classes 64-bit hashes of sets.
 
 Cases: null text and text without words have an empty set and are linked to nothing;
-with one to four words the whole sequence is the one shingle; rows that repeat a doc_id
-are documents of their own; the component of a document with a null id is that of the
+with one to four words the whole sequence is the one shingle; a very long text is hashed
+in parts of bounded size, but its set is held whole; rows that repeat a doc_id are
+documents of their own; the component of a document with a null id is that of the
 group's smallest other id, null if there is none; an empty table gives no rows; other
-columns are ignored by similar_groups() and kept by first_of_groups().
+columns, whatever their names, are ignored by similar_groups() and kept by
+first_of_groups(), where of equal rows the first in the order of the files stays.
 """
 
 from __future__ import annotations
@@ -48,16 +56,17 @@ from pyspark.sql import functions as F
 
 from .batches import lower_ascii, mix64, powers, text_slices, word_hashes, words_of
 from .components import components
-from .shared import documents, keep
+from .shared import documents, keep, quoted
 
 SHINGLE = 5
 PERCENT = 80
 SKETCH = 1 << 22
 CHUNKS = 64
 FREQUENT = 4.0
-CLASSES = 32
-#: Sets of up to so many tokens have all tokens indexed alone: above, CLASSES classes cover enough even without a rare token.
-SMALL = (CLASSES + 2) * 100 // PERCENT
+#: Levels of frequency from which combinations are of two and of three tokens.
+PAIRS, TRIPLES = 1, 6
+#: Open lists of more classes are indexed by differences, at most so many times over.
+LONG, ROUNDS = 64, 2
 #: Bits of the filter on sets to fetch; a full filter only fetches more.
 FILTER_BITS = 1 << 23
 #: Tokens of a set to each bucket of its counts, at most.
@@ -111,33 +120,60 @@ def may_share(x: bytes, y: bytes, nx: int, ny: int) -> bool:
     return 100 * both >= PERCENT * (nx + ny - both)
 
 
+def band(n: int) -> int:
+    return n.bit_length() - 1
+
+
+def combinations(tokens: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k tokens of one group. tokens keep their order within a group."""
+    by = np.argsort(group, kind="stable")
+    tokens, group = tokens[by], group[by]
+    found = []
+
+    def extend(last: np.ndarray, hashed: np.ndarray, left: int) -> None:
+        if left == 0:
+            found.append(hashed)
+            return
+        step = 1
+        while True:
+            on = last + step
+            fits = on < len(tokens)
+            fits[fits] = group[on[fits]] == group[last[fits]]
+            if not fits.any():
+                return
+            extend(on[fits], mix64(hashed[fits]) * np.uint64(0x9E3779B97F4A7C15) + tokens[on[fits]], left - 1)
+            last, hashed, step = last[fits], hashed[fits], step + 1
+
+    extend(np.arange(len(tokens)), tokens + np.uint64(k), k - 1)
+    return mix64(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
 def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What a set is indexed under, and each one's place in the order (0 for combinations). frequent: each token's level, 0 for rare."""
-    need = may_miss(len(tokens)) + 1
+    n = len(tokens)
+    if n < 4:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    need = may_miss(n) + 1
     order = np.argsort(frequent, kind="stable")  # tokens are sorted by hash already
     ranked, level = tokens[order], frequent[order]
-    out, places = [], []
-    if len(tokens) <= SMALL * 100 // PERCENT + 1:
-        out.append(mix64(ranked[:need] ^ np.uint64(0xA0761D6478BD642F)))
-        places.append(np.arange(len(out[-1])))
-    if len(tokens) > SMALL:
-        rare = int(np.searchsorted(level, 1))
-        out.append(ranked[: min(rare, need)])
-        places.append(np.arange(len(out[-1])))
-        if rare < need:
-            rest = ranked[rare:]
-            group = (rest >> np.uint64(40)).astype(np.int64) % CLASSES
+    rare = min(int(np.searchsorted(level, PAIRS)), need)
+    out, places = [ranked[:rare]], [np.arange(rare)]
+    if rare < need:
+        ranked, level = ranked[rare:], level[rare:]
+        three = level >= TRIPLES
+        for b in {band(n), band(-(-PERCENT * n // 100))}:
+            twos, threes = max(1, (1 << b) // 8), max(1, (1 << b) // 16)
+            group = np.where(three, twos + ((ranked >> np.uint64(40)) % np.uint64(threes)).astype(np.int64), ((ranked >> np.uint64(40)) % np.uint64(twos)).astype(np.int64))
             by = np.argsort(group, kind="stable")
-            place = np.empty(len(rest), np.int64)
-            sizes = np.bincount(group, minlength=CLASSES)
-            place[by] = np.arange(len(rest)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            covered = rare + np.cumsum(place >= 1)
+            sizes = np.bincount(group, minlength=twos + threes)
+            nth = np.empty(len(ranked), np.int64)
+            nth[by] = np.arange(len(ranked)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            covered = rare + np.cumsum(nth >= np.where(three, 2, 1))
             taken = int(np.searchsorted(covered, need)) + 1
-            for g in range(CLASSES):
-                own = rest[:taken][group[:taken] == g]
-                i, j = np.triu_indices(len(own), 1)
-                out.append(mix64(np.minimum(own[i], own[j]) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(own[i], own[j])))
-                places.append(np.zeros(len(i), np.int64))
+            for k, own in ((2, ~three[:taken]), (3, three[:taken])):
+                found = combinations(ranked[:taken][own], group[:taken][own], k) ^ np.uint64(b)
+                out.append(found)
+                places.append(np.zeros(len(found), np.int64))
     return np.concatenate(out), np.concatenate(places)
 
 
@@ -216,20 +252,20 @@ def index(docs: DataFrame, level: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, class long, at long")
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, tokens of the classes in wanted, and of some others that pass its filter."""
+def fetch_sets(docs: DataFrame, wanted: DataFrame, level: np.ndarray) -> DataFrame:
+    """class, tokens and number of rare tokens of the classes in wanted, and of some others that pass its filter."""
     bit = F.pmod("class", F.lit(FILTER_BITS))
     rows = wanted.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()
     words = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
     for r in rows:
         words[r["k"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared, levels_of = docs.sparkSession.sparkContext.broadcast(words), docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
+        bits, of, seen = shared.value, levels_of.value, set()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
-                owner, kept = [], []
+                owner, kept, rare = [], [], []
                 for tokens in shingle_sets(data, offsets):
                     if not len(tokens):
                         continue
@@ -241,9 +277,10 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         seen.add(own)
                         owner.append(own)
                         kept.append(tokens.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(kept, pa.binary())], ["class", "tokens"])
+                        rare.append(int((of[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)] < PAIRS).sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(kept, pa.binary()), pa.array(rare, pa.int64())], ["class", "tokens", "rare"])
 
-    return docs.select("text").mapInArrow(run, "class long, tokens binary")
+    return docs.select("text").mapInArrow(run, "class long, tokens binary, rare long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -277,42 +314,105 @@ def possible(pairs: DataFrame, listed: DataFrame) -> DataFrame:
     return keep(near.select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long"), "possible")
 
 
-def links_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def links_of(pairs: DataFrame, docs: DataFrame, level: np.ndarray) -> DataFrame:
     """The pairs (a, b) that are similar enough, by their whole sets."""
     if pairs.isEmpty():
         return pairs
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
-    return verified(pairs, fetch_sets(docs, wanted).dropDuplicates(["class"]))
+    return verified(pairs, fetch_sets(docs, wanted, level).dropDuplicates(["class"]))
+
+
+def differences(x: np.ndarray, y: np.ndarray, level_x: np.ndarray, level_y: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of a set x and its leader's y: the tokens of only one, those first that few sets of the leader's lists should differ in, as far as a partner can need them; and their number."""
+    new, gone = ~np.isin(x, y, assume_unique=True), ~np.isin(y, x, assume_unique=True)
+    tokens = np.concatenate((x[new], y[gone] ^ np.uint64(0x8000000000000000)))
+    # few sets have a new token that is rare; few sets lack a token of the leader's that is frequent
+    most = 2.0 ** (level_y.max() if len(y) else 0)
+    cost = np.concatenate((2.0 ** level_x[new], np.maximum(most - 2.0 ** level_y[gone], max(most / 8, 1.5))))
+    d, linked = len(tokens), 9 * len(tokens) <= len(x) + len(y)
+    until = -(-(9 * d + len(x) - len(y)) // 18) if linked else len(x) // 4 + 1
+    return tokens[np.lexsort((tokens, cost))][: max(0, until)], d
+
+
+def narrowed(led: DataFrame, sets: DataFrame, level: np.ndarray) -> DataFrame:
+    """Lists by differences. led: leader, class. Rows sig, class, n, d, place, late, or those with a null sig for classes similar to their leader.
+
+    late: the place is of use only together with a set that is similar to the leader. Places of those go to half their differences only, as a partner is none.
+    """
+    shared = led.sparkSession.sparkContext.broadcast(level)
+    names = ["sig", "leader", "class", "n", "d", "place", "late"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for batch in batches:
+            rows = []
+            for leader, own, x, y in zip(batch.column("leader").to_pylist(), batch.column("class").to_pylist(), batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                tokens, d = differences(x, y, *(of[(v & np.uint64(SKETCH - 1)).astype(np.int64)] for v in (x, y)))
+                places = np.arange(len(tokens))
+                sigs = mix64(tokens ^ mix64(np.array([leader], np.int64).view(np.uint64)))
+                linked = 9 * d <= len(x) + len(y)
+                rows.append((sigs.view(np.int64), own, leader, len(x), d, places, (18 * places >= 9 * d + len(x) - len(y)) & (not linked), linked and own != leader))
+            sizes = [len(r[0]) for r in rows]
+            whole = lambda k: np.repeat(np.array([r[k] for r in rows], np.int64), sizes)
+            if sum(sizes):
+                columns = [np.concatenate([r[0] for r in rows]), whole(2), whole(1), whole(3), whole(4), np.concatenate([r[5] for r in rows]), np.concatenate([r[6] for r in rows])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+            links = [r for r in rows if r[7]]
+            m = len(links)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array([r[2] for r in links], pa.int64()), pa.array([r[1] for r in links], pa.int64()), *(pa.nulls(m, pa.int64()) for _ in range(3)), pa.nulls(m, pa.bool_())], names)
+
+    both = led.join(sets.select("class", F.col("tokens").alias("x")), "class").join(sets.select(F.col("class").alias("leader"), F.col("tokens").alias("y")), "leader")
+    return keep(both.select("leader", "class", "x", "y").mapInArrow(run, "sig long, leader long, class long, n long, d long, place long, late boolean"), "narrowed")
+
+
+def still_open(rows: DataFrame, labels: DataFrame, rare: DataFrame | None = None) -> DataFrame:
+    """The rows of lists that hold several components and a place that isn't late, with each one's component, the list's length and its leader, which has the fewest rare tokens. rows: sig, class, n, d, place, late; rare: class, rare."""
+    by_sig = W.partitionBy("sig")
+    known = rows.select("sig", "class", "n", "d", "place", "late").join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    known = known.join(rare.select("class", "rare"), "class") if rare else known.withColumn("rare", F.lit(0))
+    known = known.withColumns({"leader": F.min(F.struct("rare", "class", "comp")).over(by_sig), "low": F.min("comp").over(by_sig), "high": F.max("comp").over(by_sig), "length": F.count("*").over(by_sig), "early": F.min("late").over(by_sig)})
+    return keep(known.where("low <> high AND NOT early").drop("low", "high", "early", "rare"), "open-lists")
+
+
+def across(lists: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of a list and of different components that have room for enough common tokens after the place of the first."""
+    x, y = (lists.select("sig", F.col("class").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("comp", "n", "d", "place", "late"))) for k in "ab")
+    room = f"18 * least(d_a - place_a, d_b - place_b) >= 9 * (d_a + d_b) - (n_a + n_b) AND 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
+    return x.join(y, "sig").where(f"a < b AND comp_a <> comp_b AND NOT (late_a AND late_b) AND {room}").select("a", "b").distinct()
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id. docs: doc_id, text; read two to five times."""
+    """doc_id, n_shingles, component_id. docs: doc_id, text; read three to four times."""
     measured = keep(profiles(docs), "profiles")
     members = measured.where("chunk IS NULL").select("doc_id", "n", "class", "buckets")
     by_sig = W.partitionBy("sig")
-    lists = index(docs, levels(measured.where("chunk IS NOT NULL").select("chunk", "counts")))
-    lists = lists.withColumns({"leader": F.min("class").over(by_sig), "last": F.max("class").over(by_sig)}).where("leader <> last").select("sig", "class", "at", "leader")
+    level = levels(measured.where("chunk IS NOT NULL").select("chunk", "counts"))
+    lists = index(docs, level).withColumns({"leader": F.min("class").over(by_sig), "last": F.max("class").over(by_sig)}).where("leader <> last").select("sig", "class", "at", "leader")
     lists = keep(lists, "lists")
     listed = members.where("n > 0").join(lists.select("class").distinct(), "class", "left_semi").select("class", "n", "buckets")
     listed = keep(listed.groupBy("class").agg(F.max("n").alias("n"), F.max("buckets").alias("buckets")), "listed")
 
-    def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """The rows of lists that hold several components, with each one's component and the list's leader of the smallest."""
-        known = rows.select("sig", "class", "at").join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        known = known.withColumns({"leader": F.min(F.struct("comp", "class")).over(by_sig), "high": F.max("comp").over(by_sig)}).where("leader.comp <> high").drop("high")
-        return keep(known, "open-lists")
-
     one = lists.groupBy("class").agg(F.min("leader").alias("a")).where("a <> class").select("a", F.col("class").alias("b"))
-    labels = components(links_of(possible(one, listed), docs))
-    open_lists = still_open(lists, labels)
-    led = open_lists.where("leader.comp <> comp").select(F.col("leader.class").alias("a"), F.col("class").alias("b")).distinct()
-    labels = components(links_of(possible(led, listed), docs), labels)
-    open_lists = still_open(open_lists, labels).select("sig", "class", "comp", F.shiftright("at", 32).alias("n"), (F.col("at") % (1 << 32)).alias("place"))
-    x, y = (open_lists.select("sig", F.col("class").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("comp", "n", "place"))) for k in "ab")
-    # what is left after the place of the first common token, in either set, has to hold the other common ones
-    room = f"(100 + {PERCENT}) * least(n_a - place_a, n_b - place_b) >= {PERCENT} * (n_a + n_b)"
-    across = x.join(y, "sig").where(f"a < b AND comp_a <> comp_b AND 100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b) AND {room}").select("a", "b").distinct()
-    labels = components(links_of(possible(across, listed), docs), labels)
+    labels = components(links_of(possible(one, listed), docs, level))
+    size = F.shiftright("at", 32)
+    lists = still_open(lists.select("sig", "class", size.alias("n"), size.alias("d"), (F.col("at") % (1 << 32)).alias("place"), F.lit(False).alias("late")), labels)
+    sets = keep(fetch_sets(docs, lists.select("class").distinct(), level).dropDuplicates(["class"]), "sets")
+    lists = still_open(lists, labels, sets)
+    led = lists.where("leader.comp <> comp").select(F.col("leader.class").alias("a"), F.col("class").alias("b")).distinct()
+    labels = components(verified(possible(led, listed), sets), labels)
+    lists, rest = still_open(lists, labels, sets), []
+    for _ in range(ROUNDS):
+        long = lists.where(f"length > {LONG}")
+        if long.isEmpty():
+            break
+        rest.append(lists.where(f"length <= {LONG}"))
+        rows = narrowed(long.select(F.col("leader.class").alias("leader"), "class").distinct(), sets, level)
+        labels = components(rows.where("sig IS NULL").select(F.col("leader").alias("a"), F.col("class").alias("b")), labels)
+        lists = still_open(rows.where("sig IS NOT NULL"), labels, sets)
+    for part in rest:
+        lists = lists.unionByName(part)
+    labels = components(verified(possible(across(still_open(lists, labels)), listed), sets), labels)
 
     labels = labels.select(F.col("node").alias("class"), "comp")
     grouped = members.where("n > 0").join(labels, "class", "left").select("doc_id", "n", F.coalesce("comp", "class").alias("comp"))
@@ -323,7 +423,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one row of each group of similar ones: the first in the order of its files. Numbers are written down with the rows, as another reading could split the files otherwise."""
-    numbered = keep(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.struct(*docs.columns).alias("row")), "numbered")
+    numbered = keep(docs.select(F.monotonically_increasing_id().alias("doc_id"), F.struct(*quoted(docs.columns)).alias("row")), "numbered")
     firsts = similar_groups(numbered.select("doc_id", F.col("row.text").alias("text"))).where("doc_id = component_id").select("doc_id")
     return numbered.join(firsts, "doc_id", "left_semi").select("row.*")
 

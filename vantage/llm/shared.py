@@ -15,11 +15,13 @@ BATCH_ROWS = 2000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where unset, as in tests, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share (spark.checkpoint.dir); where unset, one of our own if all runs on this machine, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="vantage-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="vantage-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -51,9 +53,9 @@ def crc_rest(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def pick_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only these columns, so that extra ones can't clash with what an operator adds."""
-    return df.select(*(F.col(f"`{n}`") for n in names))
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by name, whatever characters a name holds."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
 def bounded_labels(labels: DataFrame, column: str, positive: int, negative: int) -> DataFrame:
