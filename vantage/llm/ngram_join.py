@@ -231,7 +231,7 @@ def levels(sketches: DataFrame) -> np.ndarray:
 
 
 def index(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """(sig, class, at) rows, a class once a task; at is the set's size and, in the low half, the place in its order."""
+    """(sig, class, at) rows, a class once a task; at is the set's size and, in the low half, the place in its order. Each class has one more row, of a sig of its own and ~at, with the number of its rare tokens instead of a place."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +242,10 @@ def index(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 for tokens in shingle_sets(data, offsets):
                     if len(tokens) and (own := class_of(tokens)) not in seen:
                         seen.add(own)
-                        sig, place = signatures(tokens, of[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)])
-                        sigs.append(sig)
-                        at.append((len(tokens) << 32) + place)
+                        level_of = of[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)]
+                        sig, place = signatures(tokens, level_of)
+                        sigs.append(np.append(sig, np.array([own], np.int64).view(np.uint64)))
+                        at.append(np.append((len(tokens) << 32) + place, ~((len(tokens) << 32) + (level_of < PAIRS).sum())))
                         owner.append(own)
                 if sigs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(owner, np.int64), [len(s) for s in sigs])), pa.array(np.concatenate(at))], ["sig", "class", "at"])
@@ -252,20 +253,20 @@ def index(docs: DataFrame, level: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, class long, at long")
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, level: np.ndarray) -> DataFrame:
-    """class, tokens and number of rare tokens of the classes in wanted, and of some others that pass its filter."""
+def fetch_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, tokens of the classes in wanted, and of some others that pass its filter."""
     bit = F.pmod("class", F.lit(FILTER_BITS))
     rows = wanted.select(bit.alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()
     words = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
     for r in rows:
         words[r["k"]] = np.frombuffer(r["bits"], np.uint8)
-    shared, levels_of = docs.sparkSession.sparkContext.broadcast(words), docs.sparkSession.sparkContext.broadcast(level)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, of, seen = shared.value, levels_of.value, set()
+        bits, seen = shared.value, set()
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
-                owner, kept, rare = [], [], []
+                owner, kept = [], []
                 for tokens in shingle_sets(data, offsets):
                     if not len(tokens):
                         continue
@@ -277,10 +278,9 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, level: np.ndarray) -> DataFra
                         seen.add(own)
                         owner.append(own)
                         kept.append(tokens.tobytes())
-                        rare.append(int((of[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)] < PAIRS).sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(kept, pa.binary()), pa.array(rare, pa.int64())], ["class", "tokens", "rare"])
+                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(kept, pa.binary())], ["class", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "class long, tokens binary, rare long")
+    return docs.select("text").mapInArrow(run, "class long, tokens binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -314,12 +314,15 @@ def possible(pairs: DataFrame, listed: DataFrame) -> DataFrame:
     return keep(near.select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long"), "possible")
 
 
-def links_of(pairs: DataFrame, docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """The pairs (a, b) that are similar enough, by their whole sets."""
-    if pairs.isEmpty():
-        return pairs
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
-    return verified(pairs, fetch_sets(docs, wanted, level).dropDuplicates(["class"]))
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, tokens of the classes in wanted, and of few others, each once; written down."""
+    if wanted.isEmpty():
+        return docs.sparkSession.createDataFrame([], "class long, tokens binary")
+    return keep(fetch_sets(docs, wanted).dropDuplicates(["class"]), "sets")
 
 
 def differences(x: np.ndarray, y: np.ndarray, level_x: np.ndarray, level_y: np.ndarray) -> tuple[np.ndarray, int]:
@@ -366,11 +369,11 @@ def narrowed(led: DataFrame, sets: DataFrame, level: np.ndarray) -> DataFrame:
     return keep(both.select("leader", "class", "x", "y").mapInArrow(run, "sig long, leader long, class long, n long, d long, place long, late boolean"), "narrowed")
 
 
-def still_open(rows: DataFrame, labels: DataFrame, rare: DataFrame | None = None) -> DataFrame:
+def still_open(rows: DataFrame, labels: DataFrame, rare: DataFrame) -> DataFrame:
     """The rows of lists that hold several components and a place that isn't late, with each one's component, the list's length and its leader, which has the fewest rare tokens. rows: sig, class, n, d, place, late; rare: class, rare."""
     by_sig = W.partitionBy("sig")
     known = rows.select("sig", "class", "n", "d", "place", "late").join(labels.select(F.col("node").alias("class"), "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    known = known.join(rare.select("class", "rare"), "class") if rare else known.withColumn("rare", F.lit(0))
+    known = known.join(rare, "class")
     known = known.withColumns({"leader": F.min(F.struct("rare", "class", "comp")).over(by_sig), "low": F.min("comp").over(by_sig), "high": F.max("comp").over(by_sig), "length": F.count("*").over(by_sig), "early": F.min("late").over(by_sig)})
     return keep(known.where("low <> high AND NOT early").drop("low", "high", "early", "rare"), "open-lists")
 
@@ -388,20 +391,21 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     members = measured.where("chunk IS NULL").select("doc_id", "n", "class", "buckets")
     by_sig = W.partitionBy("sig")
     level = levels(measured.where("chunk IS NOT NULL").select("chunk", "counts"))
-    lists = index(docs, level).withColumns({"leader": F.min("class").over(by_sig), "last": F.max("class").over(by_sig)}).where("leader <> last").select("sig", "class", "at", "leader")
+    lists = index(docs, level).withColumns({"leader": F.min("class").over(by_sig), "last": F.max("class").over(by_sig)}).where("leader <> last OR at < 0").select("sig", "class", "at", "leader")
     lists = keep(lists, "lists")
+    lists, rare = lists.where("at >= 0"), lists.where("at < 0").groupBy("class").agg(F.max(F.bitwise_not("at") % (1 << 32)).alias("rare"))
     listed = members.where("n > 0").join(lists.select("class").distinct(), "class", "left_semi").select("class", "n", "buckets")
     listed = keep(listed.groupBy("class").agg(F.max("n").alias("n"), F.max("buckets").alias("buckets")), "listed")
+    rare = keep(rare.join(listed.select("class"), "class", "left_semi"), "rare")
 
-    one = lists.groupBy("class").agg(F.min("leader").alias("a")).where("a <> class").select("a", F.col("class").alias("b"))
-    labels = components(links_of(possible(one, listed), docs, level))
+    one = possible(lists.groupBy("class").agg(F.min("leader").alias("a")).where("a <> class").select("a", F.col("class").alias("b")), listed)
+    labels = components(verified(one, sets_of(docs, ends(one))))
     size = F.shiftright("at", 32)
-    lists = still_open(lists.select("sig", "class", size.alias("n"), size.alias("d"), (F.col("at") % (1 << 32)).alias("place"), F.lit(False).alias("late")), labels)
-    sets = keep(fetch_sets(docs, lists.select("class").distinct(), level).dropDuplicates(["class"]), "sets")
-    lists = still_open(lists, labels, sets)
-    led = lists.where("leader.comp <> comp").select(F.col("leader.class").alias("a"), F.col("class").alias("b")).distinct()
-    labels = components(verified(possible(led, listed), sets), labels)
-    lists, rest = still_open(lists, labels, sets), []
+    lists = still_open(lists.select("sig", "class", size.alias("n"), size.alias("d"), (F.col("at") % (1 << 32)).alias("place"), F.lit(False).alias("late")), labels, rare)
+    led = possible(lists.where("leader.comp <> comp").select(F.col("leader.class").alias("a"), F.col("class").alias("b")).distinct(), listed)
+    sets = sets_of(docs, ends(led).union(lists.where(f"length > {LONG}").select("class")))
+    labels = components(verified(led, sets), labels)
+    lists, rest = still_open(lists, labels, rare), []
     for _ in range(ROUNDS):
         long = lists.where(f"length > {LONG}")
         if long.isEmpty():
@@ -409,10 +413,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         rest.append(lists.where(f"length <= {LONG}"))
         rows = narrowed(long.select(F.col("leader.class").alias("leader"), "class").distinct(), sets, level)
         labels = components(rows.where("sig IS NULL").select(F.col("leader").alias("a"), F.col("class").alias("b")), labels)
-        lists = still_open(rows.where("sig IS NOT NULL"), labels, sets)
+        lists = still_open(rows.where("sig IS NOT NULL"), labels, rare)
     for part in rest:
         lists = lists.unionByName(part)
-    labels = components(verified(possible(across(still_open(lists, labels)), listed), sets), labels)
+    last = possible(across(still_open(lists, labels, rare) if rest else lists), listed)
+    labels = components(verified(last, sets_of(docs, ends(last))), labels)
 
     labels = labels.select(F.col("node").alias("class"), "comp")
     grouped = members.where("n > 0").join(labels, "class", "left").select("doc_id", "n", F.coalesce("comp", "class").alias("comp"))
