@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+#: Longer texts are cut into parts of about so many bytes.
+PART_BYTES = 1 << 18
 _LIBC = ctypes.CDLL(None) if os.name == "posix" else None
 #: Odd multipliers and table seeds of the hashes: any fixed values do, as long as all tasks use the same.
 WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -79,6 +81,40 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
     give_back()
 
 
+def cut_before(data: np.ndarray, start: int, end: int) -> int:
+    """The last place in the later half of start..end at which white space begins a part; else end, moved to the start of a character."""
+    half = start + (end - start) // 2
+    blanks = np.flatnonzero(SPACE[data[half:end]])
+    if len(blanks):
+        return half + int(blanks[-1])
+    while end > start + 1 and data[end] & 0xC0 == 0x80:
+        end -= 1
+    return end
+
+
+def text_parts(column: pa.Array, most: int = SLICE_BYTES, part: int = PART_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of each part, UTF-8 bytes, part offsets into them), at most about so many bytes at once. A text is one part unless it is longer than part."""
+    for at, n, data, offsets in text_slices(column, most):
+        if not (np.diff(offsets) > part).any():
+            yield np.arange(at, at + n), data, offsets
+            continue
+        owner, cuts = [], [0]
+        for k in range(n):
+            a, b = int(offsets[k]), int(offsets[k + 1])
+            while b - a > part:
+                a = cut_before(data, a, a + part)
+                owner.append(at + k)
+                cuts.append(a)
+            owner.append(at + k)
+            cuts.append(b)
+        owner, cuts = np.array(owner), np.array(cuts)
+        i = 0
+        while i < len(owner):
+            j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + most, "right")) - 1)
+            yield owner[i:j], data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i]
+            i = j
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs of bytes that aren't ASCII white space), and each row's first word: len(rows) + 1."""
     n = len(data)
@@ -93,12 +129,23 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from running sums."""
-    up, down = power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * up[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, part: int = SLICE_BYTES) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, from running sums over parts of bounded size; a word may reach over several."""
+    total = np.zeros(len(starts), np.uint64)
+    for low in range(0, len(data), part):
+        high = min(low + part, len(data))
+        a, b = np.searchsorted(ends, low, "right"), np.searchsorted(starts, high)
+        if a >= b:
+            continue
+        up, down = power_tables(high - low + 1)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(BYTE_CODES[data[low:high]] * up[:-1], out=sums[1:])
+        first = np.maximum(starts[a:b] - low, 0)
+        own = (sums[np.minimum(ends[a:b], high) - low] - sums[first]) * down[first]
+        if starts[a] < low:  # goes on from the part before
+            own[:1] *= np.uint64(pow(int(WORD_BASE), low - int(starts[a]), 1 << 64))
+        total[a:b] += own
+    return mix64(total + (ends - starts).astype(np.uint64))
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

@@ -11,7 +11,10 @@ packed by one task; a shard leaves a window or two with room, of thousands.
 
 Cases: null text is empty, and an empty document is its closing id alone; null or
 repeated doc_ids are rows of their own; an empty table gives no rows; other columns
-are ignored. Special tokens' strings in a text are ordinary text.
+are ignored, whatever their names; ties in length go by doc_id, then by place. A special
+token's string in a text is that token, as in a plain call of the tokenizer. A very long
+text is tokenized in parts, cut where no token can reach across, so only its ids are held
+whole.
 """
 
 from __future__ import annotations
@@ -27,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import SPACE, as_strings, text_slices
+from .batches import SPACE, as_strings, give_back, text_slices
 from .shared import documents, keep
 
 WINDOW = 2048
 END_ID = 1
 SHARD_ROWS = 16_384
-#: Units of text that a worker remembers the ids of; beyond, it starts afresh. Results don't depend on it.
-CACHE_UNITS = 400_000
+#: Units of text, and their bytes, that a worker remembers the ids of within a task; beyond, it starts afresh. Results don't depend on it.
+CACHE_UNITS, CACHE_BYTES = 200_000, 8 << 20
 #: Bytes of text whose units are told apart together.
 SLICE = 4 << 20
 
@@ -57,11 +60,12 @@ class UnitTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.flat = np.zeros(0, np.uint32)
         self.first = np.zeros(1, np.int64)
 
@@ -70,6 +74,7 @@ class UnitTokenizer:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))))
+        self.held += sum(map(len, names))
         self.known.update(zip(names, range(len(self.known), len(self.known) + len(names))))
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(lengths)))
 
@@ -82,10 +87,47 @@ class UnitTokenizer:
             letter = _LETTER[data] | wide
             seen = (data > 0x20) & (data < 0x7F) | wide
             mark[1:-1] = SPACE[data[1:]] & seen[:-1] | _STOPS[data[1:]] & letter[:-1]
+        for a, b in self.specials(data, offsets):
+            mark[a + 1 : b] = False
+            mark[[a, b]] = True
         mark[offsets] = True
         mark[len(data)] = False
         return np.flatnonzero(mark)
 
+    def specials(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Where special tokens' strings stand, the leftmost first; none reaches over two rows."""
+        raw = data.tobytes() if self.special and len(data) else b""
+        found, at = [], 0
+        while hits := [(k, -len(x)) for x in self.special if (k := raw.find(x, at)) >= 0]:
+            a, n = min(hits)
+            b = a - n
+            if np.searchsorted(offsets, a, "right") == np.searchsorted(offsets, b, "left"):
+                found.append((a, b))
+                at = b
+            else:
+                at = a + 1
+        return found
+
+    def parts(self, data: np.ndarray, most: int) -> Iterator[np.ndarray]:
+        """A text in parts that begin at units' starts; longer ones only where there is no unit to cut at."""
+        reach = max([64, *map(len, self.special)])
+        at = 0
+        while len(data) - at > most:
+            low, high = max(at, at + most - reach), at + most + reach
+            while True:
+                window = data[low : min(high, len(data))]
+                starts = self.units(window, np.array([0, len(window)]))
+                # a special string that the window cuts off could begin or end elsewhere
+                inner = starts[(starts >= min(reach, at + most - low)) & (starts <= len(window) - reach)]
+                if len(inner) or high >= len(data):
+                    break
+                high += most
+            if not len(inner):
+                break
+            yield data[at : low + inner[0]]
+            at = low + int(inner[0])
+        yield data[at:]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and where each row's ids begin: len(rows) + 1."""
         starts = self.units(data, offsets)
@@ -93,7 +135,7 @@ class UnitTokenizer:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         coded = as_strings(data, np.append(starts, len(data))).dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_UNITS:
+        if len(self.known) > CACHE_UNITS or self.held > CACHE_BYTES:
             self.forget()
         if new := [x for x in names if x not in self.known]:
             self.learn(new)
@@ -123,7 +165,11 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
         own = tokenizer(path)
         for batch in batches:
             for at, n, data, offsets in text_slices(batch.column("text"), SLICE):
-                flat, bounds = own.encode(data, offsets)
+                if n == 1:
+                    flat = np.concatenate([own.encode(x, np.array([0, len(x)]))[0] for x in own.parts(data, SLICE)])
+                    bounds = np.array([0, len(flat)])
+                else:
+                    flat, bounds = own.encode(data, offsets)
                 row, start, length, crc, total, kept = [], [], [], [], [], []
                 for k in range(n):
                     ids = np.append(flat[bounds[k] : bounds[k + 1]], np.uint32(end_id)).astype("<u4")
@@ -142,6 +188,8 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
                     columns.append(pa.array(kept, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        own.forget()
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
