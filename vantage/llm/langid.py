@@ -8,11 +8,14 @@ spans; the language with most letters is the text's, and its share of letters th
 
 The model is fitted on at most SAMPLE_DOCS texts of each language.
 
-Cases: a null text, or one without a letter, is 'und' with score 0 and no spans; a
-letter of a script that no learned language uses leaves all candidates; ties go to the
-language first by name; without any labelled text everything is 'und'; repeated rows
-and null ids are rows of their own; other columns are ignored by predict() and kept
-by keep_identified().
+Cases: a null text, or one without a letter (marks and digits are none), is 'und' with
+score 0 and no spans; a letter of a script that no learned language uses leaves all
+candidates; ties go to the language first by name; without any labelled text everything
+is 'und'; repeated rows and null ids are rows of their own; an empty table gives no rows;
+other columns, whatever their names, are ignored by predict() and kept by
+keep_identified(). A very long text is labelled in parts of about PART bytes, cut at
+white space (a word longer than that is cut too), between which a change of language
+costs nothing; all parts count.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import as_strings, text_slices, words_of
+from .batches import as_strings, text_parts, words_of
 from .shared import crc_rest, documents
 
 SAMPLE_DOCS = 1500
@@ -40,8 +43,7 @@ SCRIPT_SHARE = 0.02
 OUT = -60.0
 #: Bytes of text that go through a Viterbi pass together.
 SLICE = 3 << 20
-#: A text is rejected if no language has so much of its letters.
-MIN_SCORE = 0.4
+PART = 1 << 16
 
 
 def prepared(words: pa.Array) -> pa.Array:
@@ -88,9 +90,9 @@ class Model:
     scripts: np.ndarray  # scripts x languages: whether the language is written in the script
 
     def score(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Words x languages, and each word's number of letters (bytes); a word without letters scores 0 everywhere."""
+        """Words x languages, and each word's number of letters; a word without letters scores 0 everywhere."""
         ready = prepared(words)
-        letters = pc.binary_length(pc.replace_substring(ready, " ", "")).to_numpy(zero_copy_only=False).astype(np.int64)
+        letters = pc.utf8_length(pc.replace_substring_regex(ready, r"[^\p{L}]+", "")).to_numpy(zero_copy_only=False).astype(np.int64)
         out = np.zeros((len(words), len(self.langs)))
         for n in GRAMS:
             code, word = gram_codes(ready, n)
@@ -159,13 +161,13 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         for batch in batches:
             lang = np.array([langs.index(x) for x in batch.column("lang").to_pylist()], np.int64)
             total = np.zeros((len(langs), DIMS + len(SCRIPTS)), np.int64)
-            for at, n, data, offsets in text_slices(batch.column("text")):
+            for rows, data, offsets in text_parts(batch.column("text"), part=PART):
                 starts, _, firsts = words_of(data, offsets)
                 if not len(starts):
                     continue
                 coded = as_strings(data[starts[0] :], np.append(starts, len(data)) - starts[0]).dictionary_encode()
                 words = prepared(coded.dictionary)
-                owner = np.repeat(lang[at : at + n], np.diff(firsts))
+                owner = np.repeat(lang[rows], np.diff(firsts))
                 times = np.bincount(coded.indices.to_numpy() * len(langs) + owner, minlength=len(words) * len(langs)).reshape(len(words), len(langs))
                 for g in GRAMS:
                     code, word = gram_codes(words, g)
@@ -185,27 +187,32 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
 def labelled(column: pa.Array, model: Model, with_spans: bool = False) -> tuple[list[str], np.ndarray, list]:
     """Language and score of each text, and its spans if asked for."""
-    langs, scores, spans = [], [np.zeros(0)], []
-    for _, n, data, offsets in text_slices(column, SLICE):
+    wide = max(1, len(model.langs))
+    share, words, spans = np.zeros((len(column), wide)), np.zeros(len(column), np.int64), [[] for _ in range(len(column))]
+    for rows, data, offsets in text_parts(column, SLICE, PART):
         starts, _, firsts = words_of(data, offsets)
-        share = np.zeros((n, max(1, len(model.langs))))
-        labels = np.zeros(len(starts), np.int64)
-        if len(starts) and model.langs:
-            coded = as_strings(data[starts[0] :], np.append(starts, len(data)) - starts[0]).dictionary_encode()
-            by_word, letters = model.score(coded.dictionary)
-            index = coded.indices.to_numpy()
-            labels = viterbi(by_word[index], firsts)
-            text = np.repeat(np.arange(n), np.diff(firsts))
-            share = np.bincount(text * len(model.langs) + labels, letters[index], n * len(model.langs)).reshape(n, -1)
-        total = share.sum(1)
-        langs += [model.langs[k] if t else "und" for k, t in zip(share.argmax(1), total)]
-        scores.append(share.max(1) / np.maximum(total, 1))
+        if not len(starts) or not model.langs:
+            continue
+        coded = as_strings(data[starts[0] :], np.append(starts, len(data)) - starts[0]).dictionary_encode()
+        by_word, letters = model.score(coded.dictionary)
+        index = coded.indices.to_numpy()
+        labels = viterbi(by_word[index], firsts)
+        text = np.repeat(rows, np.diff(firsts))
+        np.add.at(share, (text, labels), letters[index])
         if with_spans:
-            for k in range(n):
-                own = labels[firsts[k] : firsts[k + 1]] if total[k] else labels[:0]
+            for k, row in enumerate(rows):
+                own = labels[firsts[k] : firsts[k + 1]]
                 cuts = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)] if len(own) else [0]
-                spans.append([{"start": int(a), "end": int(b), "lang": model.langs[own[a]]} for a, b in zip(cuts, cuts[1:])])
-    return langs, np.concatenate(scores), spans
+                for a, b in zip(cuts, cuts[1:]):
+                    lang = model.langs[own[a]]
+                    if spans[row] and spans[row][-1]["lang"] == lang:
+                        spans[row][-1]["end"] = int(words[row] + b)
+                    else:
+                        spans[row].append({"start": int(words[row] + a), "end": int(words[row] + b), "lang": lang})
+                words[row] += len(own)
+    total = share.sum(1)
+    langs = [model.langs[k] if t else "und" for k, t in zip(share.argmax(1), total)]
+    return langs, share.max(1) / np.maximum(total, 1), [s if t else [] for s, t in zip(spans, total)]
 
 
 def predict(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
@@ -226,8 +233,8 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(label, schema)
 
 
-def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs, all columns, without those that are 'und' or whose language has less than min_score of the letters; lang is the predicted one."""
+def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
+    """docs, all columns, without those that are 'und' or whose language has less than min_score of the letters; lang is the predicted one. A text of several languages stays by default."""
     at = docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
