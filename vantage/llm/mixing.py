@@ -5,13 +5,14 @@ repeating; together they share the size of all documents. A target stops at CAP
 its source's size, and what is above goes to the other sources by weight until none is
 above.
 
-Within a source each document is to be taken target / size times: the whole part are
-certain copies, and the rest is the inclusion probability p of one more copy. That
-copy is drawn by Pareto order sampling: documents are ranked by random odds over
-inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken from the front until the
-words asked for are there, so that the size of the sample is fixed and not random. The
-document at the end of it is taken if that comes nearer to the target. u is a hash of
-doc_id, so reruns agree.
+Within a source documents are not taken alike: one of a size class (SIZE_WEIGHTS) is to
+be taken min(CAP, level * weight) times, with the level that makes the source's expected
+words its target. The whole part are certain copies, and the rest is the inclusion
+probability p of one more copy. That copy is drawn by Pareto order sampling: documents
+are ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken
+from the front until the words asked for are there, so that the size of the sample is
+fixed and not random. The document at the end of it is taken if that comes nearer to the
+target. u is a hash of doc_id, so reruns agree.
 
 A cumulative sum over a source that holds a third of all rows would be one task's work.
 Instead the rank is cut into BINS x BINS bins; sums by source and bin, made before the
@@ -19,7 +20,8 @@ shuffle, lead to the one bin in which a source's cut lies, and only that bin is
 
 Cases: null text has size 0; null doc_id is hashed as the empty text; rows that repeat a
 doc_id within a source are taken or left together; an empty table, or one without
-words, gives targets 0; other columns are kept by mix().
+words, gives targets 0; other columns, whatever their names, are kept by mix(). Sources
+are ranked in one task and should be few (some million at most).
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import documents, keep, word_count
+from .shared import documents, keep, quoted, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BINS = 4096
+#: Weight of documents with fewer than so many words; the last is of all others.
+SIZE_WEIGHTS = ((40, 1), (150, 2), (1500, 4), (None, 3))
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -63,9 +67,38 @@ def uniform52(doc_id):
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
 
 
-def ranked(rows: DataFrame, per: DataFrame) -> DataFrame:
-    """rows (doc_id, source, ...) with their source's numbers and their place in its order. per is small, and Spark sees its size."""
-    out = rows.alias("d").join(per.drop("source_size", "target").alias("s"), F.expr("d.source <=> s.source")).select("d.*", "s.certain", "s.rest", "s.p")
+def size_weight(size):
+    """The weight of a document's size class."""
+    out = F.lit(SIZE_WEIGHTS[-1][1])
+    for below, weight in SIZE_WEIGHTS[-2::-1]:
+        out = F.when(size < below, weight).otherwise(out)
+    return out
+
+
+def class_rates(sized: DataFrame, per: DataFrame) -> DataFrame:
+    """source, weight, certain, p and rest (the source's words that p has to bring): one row a source and size class. per: source, source_size, target.
+
+    The heaviest classes are held at CAP first, while an equal level for them and all lighter ones would pass it.
+    """
+    words = sized.groupBy("source", size_weight(F.col("size")).alias("weight")).agg(F.sum("size").alias("words"))
+    words = words.alias("d").join(per.alias("s"), F.expr("d.source <=> s.source")).select("d.*", "s.target")
+    heavier = W.partitionBy("source").orderBy(F.desc("weight")).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("source")
+    weighed = F.col("weight") * F.col("words")
+    left = F.col("target") - CAP * F.coalesce(F.sum("words").over(heavier), F.lit(0))
+    light = F.sum(weighed).over(whole) - F.coalesce(F.sum(weighed).over(heavier), F.lit(0))
+    words = words.withColumn("level", F.when(light > 0, left / light).otherwise(0.0))
+    words = words.withColumn("capped", F.col("level") * F.col("weight") >= CAP)
+    level = F.max_by("level", F.when(~F.col("capped"), F.col("weight"))).over(whole)
+    words = words.withColumn("rate", F.when(F.col("capped"), F.lit(float(CAP))).otherwise(level * F.col("weight")))
+    words = words.withColumn("certain", F.floor("rate"))
+    words = words.withColumns({"p": F.col("rate") - F.col("certain"), "rest": F.col("target") - F.sum(F.col("certain") * F.col("words")).over(whole)})
+    return words.select("source", "weight", "certain", "p", "rest")
+
+
+def ranked(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """rows (doc_id, source, size, ...) with the numbers of their class and their place in their source's order. rates is small, and Spark sees its size."""
+    out = rows.alias("d").join(rates.alias("s"), F.expr("d.source <=> s.source") & (size_weight(F.col("d.size")) == F.col("s.weight"))).select("d.*", "s.certain", "s.rest", "s.p")
     r = uniform52(F.col("doc_id"))
     u = (r + 0.5) / F.lit(float(2**52))
     odds = F.col("p") / (1 - F.col("p"))
@@ -74,14 +107,11 @@ def ranked(rows: DataFrame, per: DataFrame) -> DataFrame:
     return out.withColumn("bin", F.least(place, F.lit(BINS * BINS - 1)))
 
 
-def sampling(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per, ends): each source's numbers, and where its sample ends. sized: doc_id, source, size, read more than once."""
-    per = source_targets(sized)
-    has = F.col("source_size") > 0
-    per = per.withColumn("certain", F.when(has, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    per = per.withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
-    per = keep(per.withColumn("p", F.when(has, F.col("rest") / F.col("source_size")).otherwise(0.0)), "mix-sources")
-    drawn = ranked(sized, per).where("rank IS NOT NULL").withColumn("bin1", F.floor(F.col("bin") / BINS))
+def sampling(sized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(per, rates, ends): each source's target, its classes' rates, and where its sample ends. sized: doc_id, source, size, read more than once."""
+    per = keep(source_targets(sized), "mix-sources")
+    rates = keep(class_rates(sized, per), "mix-rates")
+    drawn = ranked(sized, rates).where("rank IS NOT NULL").withColumn("bin1", F.floor(F.col("bin") / BINS))
 
     def cut(sums: DataFrame, key: str, start: str | None) -> DataFrame:
         """Of each source the first bin with which the words reach rest, and the words before it."""
@@ -99,17 +129,17 @@ def sampling(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     short = F.col("rest") - (F.col("upto") - F.col("words"))
     taken = (F.col("upto") <= F.col("rest")) | ((short > 0) & (F.col("upto") - F.col("rest") < short))
     ends = last.groupBy("source", "bin").agg(F.max(F.when(taken, F.struct("rank", "r", "doc_id"))).alias("end"))
-    return per, keep(ends, "mix-ends")
+    return per, rates, keep(ends, "mix-ends")
 
 
-def with_copies(rows: DataFrame, per: DataFrame, ends: DataFrame) -> DataFrame:
-    """rows (doc_id, source, ...) with copies. It depends on the row and its source alone, so nothing large is joined."""
+def with_copies(rows: DataFrame, rates: DataFrame, ends: DataFrame) -> DataFrame:
+    """rows (doc_id, source, size, ...) with copies. It depends on the row and its source alone, so nothing large is joined."""
     names = rows.columns
-    out = ranked(rows, per).alias("d").join(ends.select("source", F.col("bin").alias("end_bin"), "end").alias("e"), F.expr("d.source <=> e.source"), "left")
+    out = ranked(rows, rates).alias("d").join(ends.select("source", F.col("bin").alias("end_bin"), "end").alias("e"), F.expr("d.source <=> e.source"), "left")
     own = F.struct(F.col("rank"), F.col("r"), F.col("d.doc_id"))
     first = (F.col("bin") < F.col("end_bin")) | ((F.col("bin") == F.col("end_bin")) & F.coalesce(own <= F.col("end"), F.lit(False)))
-    more = F.when(F.col("rank").isNull(), False).when(F.col("end_bin").isNull(), True).otherwise(first)
-    return out.select(*(F.col(f"d.`{c}`") for c in names), (F.col("certain") + more.cast("long")).alias("copies"))
+    more = F.when(F.col("rank").isNull(), False).when(F.col("end_bin").isNull(), F.col("rest") > 0).otherwise(first)
+    return out.select(*(F.col(f"d.{c}") for c in names), (F.col("certain") + more.cast("long")).alias("copies"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -119,17 +149,16 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs, all its columns, as often as it is taken."""
-    per, ends = sampling(sizes(docs))
-    whole = docs.select("doc_id", "source", F.struct(*docs.columns).alias("row"))
-    taken = with_copies(whole, per, ends).where("copies > 0")
+    _, rates, ends = sampling(sizes(docs))
+    whole = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*quoted(docs.columns)).alias("row"))
+    taken = with_copies(whole, rates, ends).where("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = sizes(documents(spark, sf_dir))
-    per, ends = sampling(sized)
-    totals = per.select("source", "source_size", "target")
-    out = with_copies(sized, per, ends).alias("d").join(totals.alias("s"), F.expr("d.source <=> s.source"))
+    per, rates, ends = sampling(sized)
+    out = with_copies(sized, rates, ends).alias("d").join(per.alias("s"), F.expr("d.source <=> s.source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -146,16 +175,33 @@ WITH sized AS (
 ), aimed AS (
   SELECT source, source_size, CASE WHEN level * w >= cap THEN cap::DOUBLE
     ELSE (SELECT arg_max(level, w_left) FROM filled WHERE level * w < cap) * w END AS target FROM filled
+), classed AS (
+  SELECT *, CASE WHEN size < 40 THEN 1 WHEN size < 150 THEN 2 WHEN size < 1500 THEN 4 ELSE 3 END AS weight FROM sized
+), class_words AS (
+  SELECT c.source, weight, a.source_size, a.target, CAST(sum(size) AS BIGINT) AS words
+  FROM classed c JOIN aimed a ON c.source IS NOT DISTINCT FROM a.source GROUP BY ALL
+), levelled AS (
+  SELECT *, coalesce(CAST(sum(words) OVER h AS BIGINT), 0) AS words_above, coalesce(CAST(sum(weight * words) OVER h AS BIGINT), 0) AS weighed_above,
+    CAST(sum(weight * words) OVER (PARTITION BY source) AS BIGINT) AS weighed
+  FROM class_words WINDOW h AS (PARTITION BY source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), stepped AS (
+  SELECT *, CASE WHEN weighed > weighed_above THEN (target - 3 * words_above) / CAST(weighed - weighed_above AS DOUBLE) ELSE 0 END AS level FROM levelled
+), rated AS (
+  SELECT *, CASE WHEN level * weight >= 3 THEN 3.0::DOUBLE
+    ELSE arg_max(level, weight) FILTER (WHERE level * weight < 3) OVER (PARTITION BY source) * weight END AS rate FROM stepped
 ), asked AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS certain FROM aimed
+  SELECT source, source_size, target, weight, CAST(floor(rate) AS BIGINT) AS certain, rate - floor(rate) AS p,
+    target - CAST(sum(CAST(floor(rate) AS BIGINT) * words) OVER (PARTITION BY source) AS DOUBLE) AS rest FROM rated
 ), ranked AS (
-  SELECT s.doc_id, s.source, s.size, a.source_size, a.target, a.certain, a.target - a.certain * a.source_size AS rest,
+  SELECT s.doc_id, s.source, s.size, a.source_size, a.target, a.certain, a.rest, a.p,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS r
-  FROM sized s JOIN asked a ON s.source IS NOT DISTINCT FROM a.source
+  FROM classed s JOIN asked a ON s.source IS NOT DISTINCT FROM a.source AND s.weight = a.weight
+), odds AS (
+  SELECT *, (r + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u, CASE WHEN p > 0 THEN p / (1 - p) END AS o FROM ranked
 ), summed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY r, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM ranked
+  SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY (u / (1 - u)) / o NULLS LAST, r, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM odds
 )
 SELECT doc_id, size, source_size, target,
-  CAST((certain + CASE WHEN rest > 0 AND (upto <= rest OR (rest - (upto - size) > 0 AND upto - rest < rest - (upto - size))) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+  CAST((certain + CASE WHEN p > 0 AND rest > 0 AND (upto <= rest OR (rest - (upto - size) > 0 AND upto - rest < rest - (upto - size))) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM summed
 """
