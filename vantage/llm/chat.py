@@ -1,111 +1,113 @@
 """Preference formatting: two conversations, their longest common turn prefix, paired masked completions.
 
 A pair has a chosen and a rejected conversation. The turns that both begin with are
-rendered once, as the prompt; what follows in each becomes its completion, in which
-only assistant turns are trained on.
+rendered once, as the prompt; what follows in each becomes its completion, with a mask:
+the code-point spans of assistant turns, which alone are trained on.
 
-Nothing is gathered per conversation: turns are counted by (pair, turn, role, text),
-so that a conversation or pair that holds a large part of all rows is summed before
-the shuffle, and the first turn that differs is a minimum.
+A row holds a pair's turns of one stretch of CHUNK turn numbers, so it is the whole pair
+unless a conversation is longer than that; then its rows, in order of chunk, follow on
+one another, and no conversation is one row or one task, however long. Texts go through
+one shuffle, by pair and chunk. Whether an earlier chunk has ended the prompt is told
+from hashes that are summed before their own shuffle.
 
 Cases: turns are ordered by (turn, role, text), nulls first, and repeated rows stay
-repeated; null role and text are rendered as empty and equal only null; a pair with
-one side only has an empty prompt; an empty table gives no rows; other columns of the
-input are ignored.
+repeated; null role and text are rendered as empty and equal only null; null turns are
+the first chunk, number null; a pair with one side only has an empty prompt and its other
+completion is empty; rows without a conv_id belong to no pair; a very long text is one
+turn like others; an empty table gives no rows; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .arrays import let, running_totals
+
 TRAINED_ROLE = "assistant"
+CHUNK = 256
+SIDES = ("chosen", "rejected")
 
 
-def render(role, text):
+def render(role: Column, text: Column) -> Column:
     """One turn as text."""
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("\n"))
 
 
-def preference_segments(turns: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Rows of (pair_id, part, turn, role, n, segment, trained), n times the same segment.
-
-    turns: conv_id, turn, role, text. pairs: pair_id, conv_id, side ('chosen' or
-    'rejected'); by default conversations 2k and 2k+1 are the two sides of pair k.
-    part is 'prompt', 'chosen' or 'rejected'.
-    """
+def sided(turns: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """pair_id, is_chosen, chunk, turn, role, text."""
     turns = turns.select("conv_id", "turn", "role", "text")
     if pairs is None:
-        sided = turns.where("conv_id IS NOT NULL").select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), "turn", "role", "text")
+        out = turns.where("conv_id IS NOT NULL").select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("is_chosen"), "turn", "role", "text")
     else:
-        sided = turns.join(pairs.select("pair_id", "conv_id", (F.col("side") == "chosen").alias("is_chosen")), "conv_id").drop("conv_id")
-    counted = sided.groupBy("pair_id", "turn", "role", "text").agg(
-        F.sum(F.when(F.col("is_chosen"), 1).otherwise(0)).alias("n_chosen"), F.sum(F.when(F.col("is_chosen"), 0).otherwise(1)).alias("n_rejected")
-    )
-    at = F.struct("turn", "role", "text")
-    first = counted.where("n_chosen <> n_rejected").groupBy("pair_id").agg(F.min(at).alias("first"))
-    joined = counted.join(first, "pair_id", "left").withColumn("common", F.least("n_chosen", "n_rejected"))
-    in_prompt = F.when(F.col("first").isNull() | (at <= F.col("first")), F.col("common")).otherwise(F.lit(0))
-    parts = F.array(
-        F.struct(F.lit("prompt").alias("part"), in_prompt.alias("n")),
-        F.struct(F.lit("chosen").alias("part"), (F.col("n_chosen") - in_prompt).alias("n")),
-        F.struct(F.lit("rejected").alias("part"), (F.col("n_rejected") - in_prompt).alias("n")),
-    )
-    return (
-        joined.withColumn("p", F.explode(parts))
-        .where("p.n > 0")
-        .select(
-            "pair_id",
-            F.col("p.part").alias("part"),
-            "turn",
-            F.coalesce("role", F.lit("")).alias("role"),
-            F.col("p.n").cast("long").alias("n"),
-            render(F.col("role"), F.col("text")).alias("segment"),
-            ((F.col("p.part") != "prompt") & (F.coalesce("role", F.lit("")) == TRAINED_ROLE)).alias("trained"),
-        )
-    )
-
-
-def assemble(segments: DataFrame) -> DataFrame:
-    """One row a pair: prompt, chosen and rejected as text, and the code-point spans [start, end) to train on.
-
-    For conversations that fit in one row; preference_segments() has no such bound.
+        out = turns.join(pairs.select("pair_id", "conv_id", (F.col("side") == "chosen").alias("is_chosen")), "conv_id").drop("conv_id")
+    return out.withColumn("chunk", F.floor(F.col("turn") / CHUNK))
+
+
+def ended(rows: DataFrame) -> DataFrame:
+    """pair_id, chunk, after: whether the sides differ in an earlier chunk."""
+    sign = F.when(F.col("is_chosen"), 1).otherwise(-1)
+    # two halves of a hash apart, each far from the limits of a sum
+    h = F.xxhash64("turn", F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0")), F.col("role").isNull(), F.col("text").isNull(), F.col("turn").isNull())
+    sums = rows.groupBy("pair_id", "chunk").agg(F.sum(sign * F.shiftright(h, 32)).alias("a"), F.sum(sign * h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("b"), F.sum(sign).alias("n"))
+    before = W.partitionBy("pair_id").orderBy(F.col("chunk").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    return sums.select("pair_id", "chunk", F.coalesce(F.max((F.col("a") != 0) | (F.col("b") != 0) | (F.col("n") != 0)).over(before), F.lit(False)).alias("after"))
+
+
+def preferences(turns: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """One row a pair and chunk: pair_id, chunk, n_prompt, prompt, and of each side its number of turns, text and spans to train on.
+
+    turns: conv_id, turn, role, text. pairs: pair_id, conv_id, side ('chosen' or
+    'rejected'); by default conversations 2k and 2k+1 are the two sides of pair k.
     """
+    rows = sided(turns, pairs)
+    turn = F.struct("turn", "role", "text")
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("is_chosen") == side, turn)), in_order)
+    whole = rows.groupBy("pair_id", "chunk").agg(of(True).alias("x"), of(False).alias("y"))
+    both = whole.alias("d").join(ended(rows).alias("e"), F.expr("d.pair_id = e.pair_id AND d.chunk <=> e.chunk")).select("d.*", "e.after")
+    differ = F.filter(F.sequence(F.lit(0), F.least(F.size("x"), F.size("y"))), lambda i: ~F.get("x", i).eqNullSafe(F.get("y", i)))
+    both = both.withColumn("n_prompt", F.when(F.col("after"), 0).otherwise(F.coalesce(F.get(differ, 0), F.size("x"))))
+    text = lambda part: F.array_join(F.transform(part, lambda t: render(t["role"], t["text"])), "")
+    rest = lambda side: F.slice(side, F.col("n_prompt") + 1, F.size(side))
+    return both.select(
+        "pair_id", "chunk", F.col("n_prompt").cast("long").alias("n_prompt"), text(F.slice("x", 1, F.col("n_prompt"))).alias("prompt"),
+        *(c for name, side in zip(SIDES, ("x", "y")) for c in (F.size(rest(side)).cast("long").alias(f"n_{name}"), text(rest(side)).alias(name), trained(rest(side)).alias(f"{name}_spans"))),
+    )
+
 
-    def joined(part: str):
-        rows = F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct("turn", "role", "segment", "n", "trained"))))
-        return F.flatten(F.transform(rows, lambda r: F.array_repeat(F.struct(r["segment"].alias("segment"), r["trained"].alias("trained")), r["n"].cast("int"))))
+def in_order(a: Column, b: Column) -> Column:
+    """Compares turns by (turn, role, text), nulls first."""
+    out = F.lit(0)
+    for name in ("text", "role", "turn"):
+        x, y = a[name], b[name]
+        out = F.when(x.eqNullSafe(y), out).when(x.isNull() | (x < y), -1).otherwise(1)
+    return out
 
-    def spans(rows):
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
-        def step(acc, r):
-            end = acc["at"] + F.length(r["segment"])
-            own = F.when(r["trained"], F.array(F.struct(acc["at"].alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], own).alias("spans"))
+def trained(part: Column) -> Column:
+    """Spans [start, end) of the turns to train on, in the text that part is rendered as."""
+    lengths = F.transform(part, lambda t: F.length(render(t["role"], t["text"])))
 
-        return F.aggregate(rows, start, step, lambda acc: acc["spans"])
+    def placed(n: Column) -> Column:
+        every = let(running_totals(n), lambda at: F.transform(part, lambda t, k: F.struct(F.get(at, k).alias("start"), (F.get(at, k) + F.get(n, k)).alias("end"), F.coalesce(t["role"] == TRAINED_ROLE, F.lit(False)).alias("own"))))
+        return F.transform(F.filter(every, lambda s: s["own"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    text = lambda rows: F.array_join(F.transform(rows, lambda r: r["segment"]), "")
-    rows = segments.groupBy("pair_id").agg(*(joined(p).alias(p) for p in ("prompt", "chosen", "rejected")))
-    return rows.select(
-        "pair_id",
-        text(F.col("prompt")).alias("prompt"),
-        text(F.col("chosen")).alias("chosen"),
-        text(F.col("rejected")).alias("rejected"),
-        spans(F.col("chosen")).alias("chosen_spans"),
-        spans(F.col("rejected")).alias("rejected_spans"),
-    )
+    return let(lengths, placed)
 
 
 def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, 2k against 2k+1."""
-    return preference_segments(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """All conversations, 2k against 2k+1; spans as start:end, joined by commas."""
+    out = preferences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.withColumns({f"{side}_spans": listed(F.col(f"{side}_spans")) for side in SIDES})
 
 
-OP10_SQL = """
+OP10_SQL = f"""
 WITH sided AS (
-  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, (conv_id % 2 = 0) AS is_chosen, turn, role, text
+  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, (conv_id % 2 = 0) AS is_chosen, turn, role, text, CAST(floor(turn / {CHUNK}.0) AS BIGINT) AS chunk,
+    '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS segment
   FROM conversations WHERE conv_id IS NOT NULL
 ), numbered AS (
   SELECT *, row_number() OVER (PARTITION BY pair_id, is_chosen ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM sided
@@ -118,12 +120,18 @@ WITH sided AS (
 ), prefix AS (
   SELECT pair_id, count(*) AS len FROM ranked WHERE k = r GROUP BY pair_id
 ), parted AS (
-  SELECT n.*, CASE WHEN k <= coalesce(len, 0) THEN 'prompt' WHEN is_chosen THEN 'chosen' ELSE 'rejected' END AS part
-  FROM numbered n LEFT JOIN prefix USING (pair_id)
-  WHERE is_chosen OR k > coalesce(len, 0)
+  SELECT n.*, k <= coalesce(len, 0) AS shared FROM numbered n LEFT JOIN prefix USING (pair_id)
+), placed AS (
+  SELECT *, sum(length(segment)) OVER (PARTITION BY pair_id, is_chosen, chunk, shared ORDER BY k) AS upto FROM parted
 )
-SELECT pair_id, part, turn, coalesce(role, '') AS role, count(*) AS n,
-       '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS segment,
-       (part <> 'prompt' AND coalesce(role, '') = 'assistant') AS trained
-FROM parted GROUP BY pair_id, part, turn, role, text
+SELECT pair_id, chunk,
+  count(*) FILTER (WHERE shared AND is_chosen) AS n_prompt,
+  coalesce(string_agg(segment, '' ORDER BY k) FILTER (WHERE shared AND is_chosen), '') AS prompt,
+  count(*) FILTER (WHERE NOT shared AND is_chosen) AS n_chosen,
+  coalesce(string_agg(segment, '' ORDER BY k) FILTER (WHERE NOT shared AND is_chosen), '') AS chosen,
+  coalesce(string_agg(CAST(upto - length(segment) AS BIGINT) || ':' || CAST(upto AS BIGINT), ',' ORDER BY k) FILTER (WHERE NOT shared AND is_chosen AND role = '{TRAINED_ROLE}'), '') AS chosen_spans,
+  count(*) FILTER (WHERE NOT shared AND NOT is_chosen) AS n_rejected,
+  coalesce(string_agg(segment, '' ORDER BY k) FILTER (WHERE NOT shared AND NOT is_chosen), '') AS rejected,
+  coalesce(string_agg(CAST(upto - length(segment) AS BIGINT) || ':' || CAST(upto AS BIGINT), ',' ORDER BY k) FILTER (WHERE NOT shared AND NOT is_chosen AND role = '{TRAINED_ROLE}'), '') AS rejected_spans
+FROM placed GROUP BY pair_id, chunk
 """
