@@ -58,8 +58,8 @@ def test_one_of_each_group_stays(odd_docs):
 
 def test_mix_takes_what_the_plan_says(odd_docs):
     sized = mixing.sizes(odd_docs)
-    per, ends = mixing.sampling(sized)
-    plan = mixing.with_copies(sized, per, ends).toPandas()
+    per, rates, ends = mixing.sampling(sized)
+    plan = mixing.with_copies(sized, rates, ends).toPandas()
     assert plan["copies"].between(0, 3).all()
     assert abs(per.agg(F.sum("target")).first()[0] - plan["size"].sum()) < 1e-6
     mixed = mixing.mix(odd_docs)
@@ -92,7 +92,6 @@ def test_pieces_round_trip(odd_docs):
 
     path = packing.default_path()
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     texts = {r["doc_id"]: r["text"] or "" for r in odd_docs.where("doc_id IS NOT NULL").collect()}
     packed = packing.pack(keep(packing.pieces(odd_docs, path, with_ids=True), "test"), shard_rows=4)
     for r in packed.where("doc_id IS NOT NULL").collect():
@@ -137,24 +136,29 @@ def test_units_give_the_same_ids():
 
 
 def test_preferences(spark):
-    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (2, 0, None, None), (2, 0, None, None), (3, 0, None, None), (5, None, "user", "alone"), (None, 1, "user", "lost")]
-    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("x"))
-    got = sorted((r["pair_id"], r["part"], r["n"], r["segment"], r["trained"]) for r in chat.preference_segments(df).collect())
-    assert got == [(0, "chosen", 1, "<|assistant|>\nyes\n", True), (0, "prompt", 1, "<|user|>\nhi\n", False), (0, "rejected", 1, "<|assistant|>\nno\n", True), (1, "chosen", 1, "<||>\n\n", False), (1, "prompt", 1, "<||>\n\n", False), (2, "rejected", 1, "<|user|>\nalone\n", False)]
-    one = chat.assemble(chat.preference_segments(df)).where("pair_id = 0").first()
-    assert one["prompt"] == "<|user|>\nhi\n" and [tuple(s) for s in one["chosen_spans"]] == [(0, 18)]
-    assert chat.preference_segments(df.limit(0)).count() == 0
+    turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "yes"), (1, 0, "user", "hi"), (1, 1, "assistant", "no"), (1, 2, "user", "ok"), (1, 3, "assistant", "well"), (2, 0, None, None), (2, 0, None, None), (3, 0, None, None), (5, None, "user", "alone"), (None, 1, "user", "lost")]
+    turns += [(c, t, "user", f"t{t}" + "!" * (c == 7 and t == 300)) for c in (6, 7) for t in range(600)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"part": F.lit("x"), "a.b": F.lit("x")})
+    got = {(r["pair_id"], r["chunk"]): r for r in chat.preferences(df).collect()}
+    one = got[0, 0]
+    assert (one["n_prompt"], one["prompt"], one["chosen"]) == (1, "<|user|>\nhi\n", "<|assistant|>\nyes\n")
+    assert one["rejected"] == "<|assistant|>\nno\n<|user|>\nok\n<|assistant|>\nwell\n"
+    assert [tuple(s) for s in one["chosen_spans"]] == [(0, 18)] and [one["rejected"][a:b] for a, b in one["rejected_spans"]] == ["<|assistant|>\nno\n", "<|assistant|>\nwell\n"]
+    assert (got[1, 0]["n_prompt"], got[1, 0]["chosen"], got[1, 0]["rejected"]) == (1, "<||>\n\n", "")
+    assert (got[2, None]["n_prompt"], got[2, None]["chosen"], got[2, None]["rejected"]) == (0, "", "<|user|>\nalone\n")
+    assert [(got[3, c]["n_prompt"], got[3, c]["n_chosen"], got[3, c]["n_rejected"]) for c in (0, 1, 2)] == [(256, 0, 0), (44, 212, 212), (0, 88, 88)]
+    assert len(got) == 6 and chat.preferences(df.limit(0)).count() == 0
 
 
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(k, [((k * 37 + j * 11) % 17 - 8) / 8.0 for j in range(5)]) for k in range(60)] + [(61, None), (62, [None, 1.0]), (63, [nan]), (64, [inf, 0.0]), (65, []), (66, [1.0]), (60, [0.5] * 5), (60, [0.5] * 5)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))
+    rows = [(k, [((k * 37 + j * 11) % 17 - 8) / 8.0 for j in range(5)]) for k in range(60)] + [(61, None), (62, [None, 1.0]), (63, [nan]), (64, [inf, 0.0]), (65, []), (66, [1.0]), (80, [1e14, 2.0]), (82, [-9.0, 5.0]), (60, [0.5] * 5), (60, [0.5] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
     vectors = topk.whole_vectors(df)
     got = topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 7).collect()
     import math
 
-    own = [(i, [math.floor(64 * x) for x in v] + [0] * (5 - len(v))) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    own = [(i, [math.floor(64 * x) for x in v] + [0] * (5 - len(v))) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     expected = []
     for a, (i, q) in enumerate(own):
         if i % 20 == 0:
@@ -332,3 +336,98 @@ def test_a_large_group_of_edits(spark, monkeypatch):
     assert got == {i: find(i) for i in range(len(texts))}
     assert len(set(got.values())) > 300 and links > 40000
     assert sum(looked) < 60000  # of 1.1 million pairs
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    for rows in ([(20, [1e16]), (21, [1e16])], [(20, [1e300]), (21, [1.0])]):
+        with pytest.raises(Exception, match="64 bits"):
+            vectors = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+            topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 3).count()
+
+
+def test_annuli_are_pruned(spark, monkeypatch):
+    """On clustered vectors a query is held against a small part of all."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 4000)] + 0.05 * rng.normal(size=(4000, 16))).tolist()
+    vectors = topk.whole_vectors(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>"))
+    scored = []
+    kept = topk.keep
+
+    def seen(df, tag):
+        out = kept(df, tag)
+        if tag == "query-asks":
+            scored.append(out.select("cell", (F.length("q_rids") / 8).alias("n")).groupBy("cell").agg(F.sum("n").alias("n")))
+        if tag == "vector-blocks":
+            seen.blocks = out.select("cell", (F.length("rids") / 8).alias("rows")).groupBy("cell").agg(F.sum("rows").alias("rows"))
+        return out
+
+    monkeypatch.setattr(topk, "keep", seen)
+    got = topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 5).collect()
+    pairs = sum(s.join(seen.blocks, "cell").agg(F.sum(F.col("n") * F.col("rows"))).first()[0] or 0 for s in scored)
+    assert pairs < 0.5 * 200 * 4000
+    v = np.floor(64 * np.array(x)).astype(np.int64)
+    s = v[::20] @ v.T
+    expected = set()
+    for q in range(200):
+        best = sorted((-int(s[q, j]), j) for j in range(4000) if j != 20 * q)[:5]
+        expected |= {(20 * q, k + 1, j, -w) for k, (w, j) in enumerate(best)}
+    assert {tuple(r) for r in got} == expected
+
+
+def test_texts_without_a_letter_have_no_language(spark):
+    docs = spark.createDataFrame([(k, "der fluss und die wiese", "de") for k in range(20)] + [(90, "\u0301 12 \u0308", None), (91, "\u00b2 34 \u20ac", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert got[90] == got[91] == ("und", 0.0) and got[0][0] == "de"
+
+
+def test_a_text_of_four_languages_stays(spark):
+    words = {"en": "the river and the meadow with the stones of the valley", "de": "der fluss und die wiese mit den steinen aus dem tal", "fr": "la riviere et le pre avec les pierres de la vallee", "es": "el rio y la pradera con las piedras del valle hermoso"}
+    docs = spark.createDataFrame([(k, " ".join([w] * 5), lang) for k, (lang, w) in enumerate(words.items())] * 10 + [(99, " ".join(" ".join([w] * 4) for w in words.values()), None)], "doc_id long, text string, lang string")
+    assert langid.keep_identified(docs, langid.fit(docs)).where("doc_id = 99").count() == 1
+
+
+def test_long_texts_are_cut_without_a_change(spark, monkeypatch):
+    """Word hashes, ids and counts of a text that goes through many parts equal those of one that doesn't."""
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from vantage.llm import batches
+
+    rng = random.Random(4)
+    text = "".join(rng.choice(["stone ", "river, ", "\u00fc\u00df ", "<|endoftext|>", "\u6771", "x" * 300, "\n\n", "7 "]) for _ in range(4000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = batches.words_of(data, np.array([0, len(data)]))
+    assert (batches.word_hashes(data, starts, ends, 1000) == batches.word_hashes(data, starts, ends)).all()
+    own = packing.tokenizer(packing.default_path())
+    parts = list(own.parts(data, 2000))
+    assert len(parts) > 20 and b"".join(p.tobytes() for p in parts) == text.encode()
+    ids = np.concatenate([own.encode(p, np.array([0, len(p)]))[0] for p in parts])
+    assert ids.tolist() == Tokenizer.from_file(packing.default_path()).encode(text, add_special_tokens=False).ids
+    import pyarrow as pa
+
+    rows, seen = [], b""
+    for owner, part, offsets in batches.text_parts(pa.array(["a b", text, None, "c"]), 5000, 1000):
+        rows += owner.tolist()
+        seen += part.tobytes()
+        assert np.diff(offsets).max() <= 1000
+        for a in offsets[:-1]:
+            part[a:].tobytes()[:4].decode("utf-8", "ignore")
+    assert seen == ("a b" + text + "c").encode() and rows == sorted(rows) and set(rows) == {0, 1, 2, 3}
+
+
+def test_inclusion_differs_within_a_source(spark):
+    """Certain copies and chances follow the size class, and the words taken come near the target."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, "w " * rng.choice((20, 100, 400, 2000)), f"s{k % 5}") for k in range(3000)], "doc_id long, text string, source string")
+    sized = mixing.sizes(docs)
+    per, rates, ends = mixing.sampling(sized)
+    got = mixing.with_copies(sized, rates, ends).toPandas()
+    got["weight"] = got["size"].map({20: 1, 100: 2, 400: 4, 2000: 3})
+    mean = got.groupby(["source", "weight"])["copies"].mean().unstack()
+    assert (mean[4] > mean[2] + 0.05).sum() >= 3 and got["copies"].max() <= 3
+    taken = (got["copies"] * got["size"]).groupby(got["source"]).sum()
+    for r in per.collect():
+        assert abs(taken[r["source"]] - r["target"]) <= 1000

@@ -61,7 +61,6 @@ def test_packing(spark, sf_dir):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(packing.default_path())
-    own.encode_special_tokens = True
     ids = {i: [*own.encode(t, add_special_tokens=False).ids, 1] for i, t in texts_of(spark, sf_dir).items()}
     covered, used = Counter(), defaultdict(list)
     for r in QUERIES["op2_best_fit_packing"](spark, sf_dir).collect():
