@@ -82,13 +82,13 @@ def gradient(dem: DataFrame, step: float = 1.0) -> DataFrame:
     return dem.where("z IS NOT NULL").select("r", "c", "z", slope(down, "r").alias("gr"), slope(across, "c").alias("gc"))
 
 
-def hillshade(dem: DataFrame, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
-    """Lambert shade in [0, 1] of each cell with both gradients."""
+def hillshade(dem: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, step: float = 1.0) -> DataFrame:
+    """Lambert shade in [0, 1] of each cell with both gradients; step: the cells' width."""
     az, alt = F.radians(F.lit(360.0 - azimuth + 90.0)), F.radians(F.lit(altitude))
     slope = F.atan(F.sqrt(F.col("gr") * F.col("gr") + F.col("gc") * F.col("gc")))
-    aspect = F.atan2(-F.col("gr"), F.col("gc"))
+    aspect = F.atan2(-F.col("gc"), F.col("gr"))
     shade = F.sin(alt) * F.cos(slope) + F.cos(alt) * F.sin(slope) * F.cos(az - aspect)
-    return gradient(dem).where("gr IS NOT NULL AND gc IS NOT NULL").select("r", "c", F.greatest(F.lit(0.0), F.least(F.lit(1.0), shade)).alias("shade"))
+    return gradient(dem, step).where("gr IS NOT NULL AND gc IS NOT NULL").select("r", "c", F.greatest(F.lit(0.0), F.least(F.lit(1.0), shade)).alias("shade"))
 
 
 def cells_in_rectangles(dem: DataFrame, rects: DataFrame, grid: Grid, tile: int = 16) -> DataFrame:

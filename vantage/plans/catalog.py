@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import meshes, records, shapes, sights, views
+from . import meshes, rasters, records, shapes, sights, views
 
 FLAGSHIP = "viewshed_count"
-MODULES = (views, records, meshes, sights, shapes)
+MODULES = (views, records, meshes, sights, shapes, rasters)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
