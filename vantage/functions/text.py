@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The eight compass codes and their bearings.
 COMPASS = {"N": 0, "NE": 45, "E": 90, "SE": 135, "S": 180, "SW": 225, "W": 270, "NW": 315}
 #: Number words that stand for a count.
-NUMBER_WORDS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6}
+NUMBER_WORDS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8}
 
 
 def squeeze(text: Column) -> Column:
@@ -37,8 +37,8 @@ def direction_degrees(text: Column) -> Column:
 
 
 def first_count(text: Column, noun: str) -> Column:
-    """The number stated right before a noun, as digits or word; null if there is none."""
-    found = F.regexp_extract(F.lower(text), rf"(?:^|[ \n])([0-9]+|{'|'.join(NUMBER_WORDS)}) {noun}", 1)
+    """The number stated before a noun, as digits or word, with up to three words between; null if there is none."""
+    found = F.regexp_extract(F.lower(text), rf"(?:^|[ \n])([0-9]+|{'|'.join(NUMBER_WORDS)}) (?:[a-z]+ ){{0,3}}?{noun}", 1)
     table = F.create_map(*(F.lit(x) for kv in NUMBER_WORDS.items() for x in kv))
     return F.when(found != "", F.coalesce(F.element_at(table, found).cast("bigint"), found.try_cast("bigint")))
 

@@ -54,6 +54,26 @@ def longest_rising(values: Column) -> Column:
     return F.size(F.aggregate(values, empty, put))
 
 
+def rising_rows(values: Column) -> Column:
+    """Places, from 0, of a longest strictly rising subsequence of an array: back from the last value that ends one, always by the latest that can stand before it."""
+    start = F.struct(F.array().cast("array<bigint>").alias("piles"), F.array().cast("array<int>").alias("pile"))
+
+    def put(acc: Column, x: Column) -> Column:
+        k = F.size(F.filter(acc["piles"], lambda p: p < x))
+        piles = F.concat(F.slice(acc["piles"], 1, k), F.array(x.cast("bigint")), F.slice(acc["piles"], k + 2, F.greatest(F.size(acc["piles"]) - k - 1, F.lit(0))))
+        return F.struct(piles.alias("piles"), F.concat(acc["pile"], F.array(k)).alias("pile"))
+
+    pile_of = F.aggregate(values, start, put, lambda acc: acc["pile"])
+
+    def back(acc: Column, p: Column) -> Column:
+        hit = p["pile"] == acc["want"]
+        return F.struct((acc["want"] - hit.cast("int")).alias("want"), F.when(hit, F.concat(F.array(p["k"]), acc["kept"])).otherwise(acc["kept"]).alias("kept"))
+
+    placed = F.reverse(F.transform(pile_of, lambda p, k: F.struct(p.alias("pile"), k.alias("k"))))
+    first = F.struct(F.coalesce(F.array_max(pile_of), F.lit(-1)).alias("want"), F.array().cast("array<int>").alias("kept"))
+    return F.aggregate(placed, first, back, lambda acc: acc["kept"])
+
+
 def holm(tests: DataFrame, name: str, p: str, alpha: float = 0.05) -> DataFrame:
     """tests with p_holm and reject; equal p by name."""
     order = W.orderBy(p, name)

@@ -206,8 +206,8 @@ def direction_extract(spark, sf_dir):
 
 
 def stated_counts(spark, sf_dir):
-    """Counts stated before the letter run 'the' in documents, and before list items."""
-    d = table(spark, sf_dir, "documents").select("doc_id", t.first_count(F.coalesce("text", F.lit("")), "[a-z]+").alias("n"))
+    """Counts stated in documents before a small word, with up to three words between."""
+    d = table(spark, sf_dir, "documents").select("doc_id", t.first_count(F.coalesce("text", F.lit("")), "(?:of|the|hand)").alias("n"))
     return d.where("n IS NOT NULL")
 
 
@@ -348,8 +348,8 @@ ORACLES = {
       , u AS (SELECT doc_id, unnest(s) AS x FROM s), w AS (SELECT doc_id, x, list_filter(string_split(x, ' '), lambda v: v <> '') AS ws FROM u), k AS (SELECT doc_id, x, len(ws) AS nw, len(list_filter(ws, lambda v: regexp_matches(v, '^[A-Z]'))) AS nc FROM w)
       SELECT d.doc_id, count(x) AS n, CAST(coalesce(max(length(x)), 0) AS BIGINT) AS longest, count(*) FILTER (nw BETWEEN 1 AND 9 AND 2 * nc >= nw) AS n_titles FROM documents d LEFT JOIN k USING (doc_id) GROUP BY 1""",
     "direction_extract": """SELECT p_partkey, ['N', 'NE', 'SW', NULL, NULL, 'W', NULL, 'S'][p_partkey % 8 + 1] AS code, CAST([0, 45, 225, 270, 315, 270, NULL, 180][p_partkey % 8 + 1] AS BIGINT) AS degrees FROM part""",
-    "stated_counts": r"""WITH f AS (SELECT doc_id, regexp_extract(lower(coalesce(text, '')), '(?:^|[ \n])([0-9]+|a|an|one|two|three|four|five|six) [a-z]+', 1) AS w FROM documents)
-      SELECT doc_id, CASE WHEN w IN ('a', 'an', 'one') THEN 1 WHEN w = 'two' THEN 2 WHEN w = 'three' THEN 3 WHEN w = 'four' THEN 4 WHEN w = 'five' THEN 5 WHEN w = 'six' THEN 6 ELSE TRY_CAST(w AS BIGINT) END AS n FROM f WHERE w <> '' AND (NOT regexp_matches(w, '^[0-9]') OR TRY_CAST(w AS BIGINT) IS NOT NULL)""",
+    "stated_counts": r"""WITH f AS (SELECT doc_id, regexp_extract(lower(coalesce(text, '')), '(?:^|[ \n])([0-9]+|a|an|one|two|three|four|five|six|seven|eight) (?:[a-z]+ ){0,3}?(?:of|the|hand)', 1) AS w FROM documents)
+      SELECT doc_id, CASE WHEN w IN ('a', 'an', 'one') THEN 1 WHEN w = 'two' THEN 2 WHEN w = 'three' THEN 3 WHEN w = 'four' THEN 4 WHEN w = 'five' THEN 5 WHEN w = 'six' THEN 6 WHEN w = 'seven' THEN 7 WHEN w = 'eight' THEN 8 ELSE TRY_CAST(w AS BIGINT) END AS n FROM f WHERE w <> '' AND (NOT regexp_matches(w, '^[0-9]') OR TRY_CAST(w AS BIGINT) IS NOT NULL)""",
     "longest_rising_run": """WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k, length(text) AS n FROM conversations),
       chain AS (SELECT conv_id, k, n, 1 AS len FROM c UNION SELECT c.conv_id, c.k, c.n, chain.len + 1 FROM chain JOIN c ON c.conv_id = chain.conv_id AND c.k > chain.k AND c.n > chain.n)
       SELECT conv_id, CAST(max(len) AS BIGINT) AS lis FROM chain GROUP BY 1""",
