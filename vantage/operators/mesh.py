@@ -79,6 +79,13 @@ def hybrid(seen: DataFrame, triangles: DataFrame, keys: list[str]) -> DataFrame:
     return seen.join(cut.withColumn("cut", F.lit(True)), keys, "left").withColumn("visible", F.col("visible") & F.col("cut").isNull()).drop("cut")
 
 
+def hybrid_first_hit(ground: DataFrame, triangles: DataFrame, keys: list[str], max_range: float) -> DataFrame:
+    """ground (keys, ex, ey, ez, ux, uy, slope, hit: metres to the heightfield, null for a miss) with hit the nearer of that and of the first triangle."""
+    far = ground.select(*keys, "ex", "ey", "ez", (F.col("ex") + F.col("ux") * max_range).alias("tx"), (F.col("ey") + F.col("uy") * max_range).alias("ty"), (F.col("ez") + F.col("slope") * max_range).alias("tz"))
+    met = mesh_first_hit(far, triangles, keys).select(*keys, (F.col("t") * max_range).alias("_m"))
+    return ground.join(met, keys, "left").withColumn("hit", F.least("hit", "_m")).drop("_m")
+
+
 def box_triangles(rects: DataFrame, base: Column, top: Column) -> DataFrame:
     """The four walls and the roof of each rectangle (id, x0, y0, x1, y1) as outward triangles."""
     lo, hi = base, top

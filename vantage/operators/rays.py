@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .grid import Grid
 from .scratch import kept
-from .visibility import line_of_sight
+from .visibility import bearing, line_of_sight
 
 STEEPEST = 85.0
 
@@ -66,32 +66,65 @@ def reach(points: DataFrame, four: DataFrame, grid: Grid, keys: list[str], low:
     return line_of_sight(rays, four, grid, [*keys, "rung"]).groupBy(*keys).agg(F.max(F.when(F.col("visible"), F.col("rung"))).alias("top"))
 
 
-def seen_share(lines: DataFrame, four: DataFrame, grid: Grid, keys: list[str], seeds: int = 9, depth: int = 4) -> DataFrame:
-    """The visible share of each line (keys, ex, ey, ez, ax, ay, az, bx, by, bz), to within 1 / ((seeds - 1) * 2^depth) for each change.
+def seen_share(lines: DataFrame, four: DataFrame, grid: Grid, keys: list[str], tol: float = 0.05, seeds: int = 9, max_depth: int = 16) -> DataFrame:
+    """The visible share of each line (keys, ex, ey, ez, ax, ay, az, bx, by, bz), the visible stretches of it (lo, hi in [0, 1]), and how many edges of shadow stay unresolved.
 
-    Probes stand at seeds even places; where two neighbours differ, the place between them
-    is halved depth times. All halvings of a level are one job, whose result is
-    written down, and a pair that still differs counts half.
+    Probes stand at seeds even places. A stretch whose ends differ is halved while it is
+    longer than tol, at most max_depth times; what still differs then is split in its
+    middle. All halvings of a level are one job, whose result is written down. A shadow
+    narrower than the seeds' distance can be missed; a line without length is its first end.
     """
-    fine = (seeds - 1) * 2**depth
-    ends = lines.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(fine), F.lit(2**depth))))
+    fine = (seeds - 1) * 2**max_depth
+    d = [F.col("b" + k) - F.col("a" + k) for k in "xyz"]
+    lines = lines.withColumn("length", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
+    ends = lines.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(fine), F.lit(2**max_depth))))
 
     def probe(at: DataFrame) -> DataFrame:
         t = F.col("at") / fine
-        rays = at.select(*keys, "at", "ex", "ey", "ez", *((F.col("a" + k) + (F.col("b" + k) - F.col("a" + k)) * t).alias("t" + k) for k in "xyz"))
-        return line_of_sight(rays, four, grid, [*keys, "at"]).select(*keys, "at", "visible")
+        rays = at.select(*keys, "length", "at", "ex", "ey", "ez", *((F.col("a" + k) + (F.col("b" + k) - F.col("a" + k)) * t).alias("t" + k) for k in "xyz"))
+        return line_of_sight(rays, four, grid, [*keys, "at"]).select(*keys, "length", "at", "visible")
 
-    known = kept(probe(ends))
     order = W.partitionBy(*keys).orderBy("at")
-    for level in range(depth - 1, -1, -1):
-        split = known.withColumns({"next": F.lead("at").over(order), "other": F.lead("visible").over(order)}).where("visible <> other").select(*keys, F.lit(0).alias("_"), ((F.col("at") + F.col("next")) / 2).cast("int").alias("at")).drop("_")
-        known = known.unionByName(kept(probe(split.join(lines, keys))))
-    spans = known.withColumns({"next": F.lead("at").over(order), "other": F.lead("visible").over(order)}).where("next IS NOT NULL")
-    lit = (F.col("visible").cast("int") + F.col("other").cast("int")) / 2.0 * (F.col("next") - F.col("at"))
-    return spans.groupBy(*keys).agg((F.sum(lit) / fine).alias("share"), F.count_if(F.col("visible") != F.col("other")).alias("n_changes"))
-
-
-def envelope(stands: DataFrame, targets: DataFrame, four: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:
-    """Mean visible share of targets (t, tx, ty, tz) from each standing point (keys, ex, ey, ez), and how many. targets are few and fixed."""
-    rays = stands.join(F.broadcast(targets))
-    return line_of_sight(rays, four, grid, [*keys, "t"]).groupBy(*keys).agg(F.avg(F.col("visible").cast("double")).alias("share"), F.count("*").alias("n"))
+    stretch = lambda known: known.withColumns({"next": F.lead("at").over(order), "other": F.lead("visible").over(order)}).where("next IS NOT NULL")
+    known = kept(probe(ends))
+    for _ in range(max_depth):
+        wide = stretch(known).where((F.col("visible") != F.col("other")) & ((F.col("next") - F.col("at")) / fine * F.col("length") > tol))
+        halves = kept(wide.select(*keys, ((F.col("at") + F.col("next")) / 2).cast("int").alias("at")))
+        if halves.isEmpty():
+            break
+        known = known.unionByName(kept(probe(halves.join(lines, keys))))
+    s = stretch(known)
+    middle = (F.col("at") + F.col("next")) / 2
+    lit = F.struct((F.when(F.col("visible"), F.col("at")).otherwise(middle) / fine).alias("lo"), (F.when(F.col("other"), F.col("next")).otherwise(middle) / fine).alias("hi"))
+    lit = F.when(F.col("visible") | F.col("other"), lit)
+    # stretches of one line that meet are one: a line has few, as only shadows' edges were halved
+    join = lambda out, x: F.when((F.size(out) > 0) & (F.element_at(out, -1)["hi"] >= x["lo"] - 1e-12), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["lo"].alias("lo"), x["hi"].alias("hi"))))).otherwise(F.concat(out, F.array(x)))
+    seen = s.groupBy(*keys).agg(F.array_sort(F.collect_list(lit)).alias("lit"), F.count_if(F.col("visible") != F.col("other")).alias("n_unresolved"))
+    seen = seen.withColumn("stretches", F.aggregate(F.filter("lit", lambda x: x["hi"] > x["lo"]), F.array().cast("array<struct<lo:double,hi:double>>"), lambda out, x: F.when(F.size(out) == 0, F.array(x)).otherwise(join(out, x))))
+    return seen.select(*keys, F.aggregate("stretches", F.lit(0.0), lambda a, x: a + x["hi"] - x["lo"]).alias("share"), "stretches", "n_unresolved")
+
+
+def quad_share(quads: DataFrame, four: DataFrame, grid: Grid, keys: list[str], rows: int = 5, tol: float = 0.05, seeds: int = 9, max_depth: int = 16) -> DataFrame:
+    """The visible share of upright quads (keys, ex, ey, ez, ax, ay, bx, by, z_lo, z_hi): the mean of so many rows at the middles of even heights, and their unresolved edges."""
+    z = F.col("z_lo") + (F.col("z_hi") - F.col("z_lo")) * (F.col("row") + 0.5) / rows
+    lines = quads.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1)))).withColumns({"az": z, "bz": z})
+    return seen_share(lines, four, grid, [*keys, "row"], tol, seeds, max_depth).groupBy(*keys).agg(F.avg("share").alias("share"), F.sum("n_unresolved").alias("n_unresolved"))
+
+
+def envelope(stands: DataFrame, targets: DataFrame, four: DataFrame, grid: Grid, keys: list[str], scene: str) -> DataFrame:
+    """Mean visible share of a scene's targets (scene, t, tx, ty, tz) from each of its standing points (scene, keys, ex, ey, ez), and how many."""
+    rays = stands.join(targets, scene)
+    return line_of_sight(rays, four, grid, [scene, *keys, "t"]).groupBy(scene, *keys).agg(F.avg(F.col("visible").cast("double")).alias("share"), F.count("*").alias("n"))
+
+
+def marks(edges: DataFrame, d_min: float = 1.0) -> DataFrame:
+    """What to mark of other observers: edges (eye, other, ex, ey, ez, tx, ty, tz, visible) with bearing and elevation, those nearer than d_min left out."""
+    dx, dy = F.col("tx") - F.col("ex"), F.col("ty") - F.col("ey")
+    out = edges.withColumn("dist", F.sqrt(dx * dx + dy * dy)).where((F.col("eye") != F.col("other")) & (F.col("dist") >= d_min))
+    return out.select("eye", "other", "visible", "dist", bearing(dx, dy).alias("bearing"), F.degrees(F.atan2(F.col("tz") - F.col("ez"), F.col("dist"))).alias("elevation"))
+
+
+def hit_points(hits: DataFrame) -> DataFrame:
+    """hits (ex, ey, ez, ux, uy, slope, hit) with the slant range, the place hit and the elevation looked at; null for a miss."""
+    d = F.col("hit")
+    return hits.withColumns({"range": d * F.sqrt(1 + F.col("slope") * F.col("slope")), "hx": F.col("ex") + F.col("ux") * d, "hy": F.col("ey") + F.col("uy") * d, "hz": F.col("ez") + F.col("slope") * d, "elevation": F.degrees(F.atan("slope"))})

@@ -107,15 +107,24 @@ def viewgraph(eyes: DataFrame, buildings: DataFrame, four: DataFrame, grid: Grid
     points = F.concat(F.array(F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))), "vertices")
     rays = pairs.select("eye", "id", "ex", "ey", "ez", "tz", F.posexplode(points).alias("v", "at")).select("eye", "id", "v", "ex", "ey", "ez", F.col("at.x").alias("tx"), F.col("at.y").alias("ty"), "tz")
     seen = line_of_sight(rays, four, grid, ["eye", "id", "v"])
-    return seen.groupBy("eye", "id").agg(F.bool_or(F.when(F.col("v") == 0, F.col("visible"))).alias("visible"), F.bool_or("visible").alias("visible_any"), F.max(F.when(F.col("v") == 0, F.col("dist"))).alias("distance"))
+    return seen.groupBy("eye", "id").agg(
+        F.bool_or(F.when(F.col("v") == 0, F.col("visible"))).alias("visible"), F.bool_or("visible").alias("visible_any"), F.max(F.when(F.col("v") == 0, F.col("dist"))).alias("distance"),
+        F.bround(F.max("ez"), 3).alias("eye_z"), F.bround(F.max("tz"), 3).alias("tgt_z"),
+    )
 
 
 def observer_edges(eyes: DataFrame, four: DataFrame, grid: Grid, radius: float) -> DataFrame:
-    """Edges eye -> other between all eyes within radius, met by tiles as wide as it: visible (an eye sees itself) and distance."""
+    """Edges eye -> other between all eyes within radius, met by tiles as wide as it: visible (an eye sees itself), distance, and both heights."""
     around = F.sequence(F.lit(-1), F.lit(1))
     near = eyes.select("eye", "ex", "ey", "ez").withColumn("i", F.explode(around)).withColumn("j", F.explode(around)).withColumns({"bx": F.floor(F.col("ex") / radius) + F.col("i"), "by": F.floor(F.col("ey") / radius) + F.col("j")}).drop("i", "j")
     others = eyes.select(F.col("eye").alias("other"), F.col("ex").alias("tx"), F.col("ey").alias("ty"), F.col("ez").alias("tz")).withColumns({"bx": F.floor(F.col("tx") / radius), "by": F.floor(F.col("ty") / radius)})
     dx, dy = F.col("tx") - F.col("ex"), F.col("ty") - F.col("ey")
     rays = near.join(others, ["bx", "by"]).where(dx * dx + dy * dy <= radius * radius).drop("bx", "by")
     seen = line_of_sight(rays, four, grid, ["eye", "other"])
-    return seen.select("eye", "other", ((F.col("eye") == F.col("other")) | F.col("visible")).alias("visible"), F.col("dist").alias("distance"))
+    return seen.select("eye", "other", ((F.col("eye") == F.col("other")) | F.col("visible")).alias("visible"), F.col("dist").alias("distance"), "ex", "ey", "ez", "tx", "ty", "tz", F.bround("ez", 3).alias("eye_z"), F.bround("tz", 3).alias("tgt_z"))
+
+
+def matrix(edges: DataFrame, size: int) -> DataFrame:
+    """Edges between observers as a dense matrix: one row an eye, a column for each of the first size others; true on the diagonal, false where there is no edge. For few observers."""
+    wide = edges.where(F.col("other").between(1, size) & F.col("eye").between(1, size)).groupBy("eye").pivot("other", list(range(1, size + 1))).agg(F.bool_or("visible"))
+    return wide.select("eye", *(F.coalesce(F.col(f"`{k}`"), F.col("eye") == k).alias(f"sees_{k}") for k in range(1, size + 1)))
