@@ -75,10 +75,10 @@ def test_holm(spark):
     assert {r["name"]: round(r["p_holm"], 6) for r in rows} == {"a": 0.03, "c": 0.06, "b": 0.06}
 
 
-def test_chi2_survival():
-    assert st.chi2_survival(7.0, 7) == pytest.approx(0.428880, abs=1e-6)
-    assert st.chi2_survival(6.0, 6) == pytest.approx(0.423190, abs=1e-6)
-    assert st.chi2_survival(0.0, 3) == 1.0
+def test_chi2_survival(spark):
+    got = spark.range(1).select(*(st.chi2_survival(F.lit(x), df) for x, df in ((7.0, 7), (6.0, 6), (0.0, 3), (366.6, 7)))).first()
+    assert tuple(got)[:3] == (pytest.approx(0.428880, abs=1e-6), pytest.approx(0.423190, abs=1e-6), 1.0)
+    assert got[3] == pytest.approx(3.4e-75, rel=0.02)
 
 
 def test_confusion_of_nothing(spark):
@@ -115,7 +115,6 @@ def test_empty_tables(spark):
 
 
 def test_rings():
-    from vantage.functions.angles import arc_shares, sunrise_arcs
     from vantage.operators import polygons as pg
 
     rough = [(0.0, 0.0), (0.02, 2.0), (0.0, 4.0), (3.0, 4.05), (6.0, 4.0), (6.0, 0.1), (5.9, 0.0)]
@@ -123,10 +122,12 @@ def test_rings():
     shape = [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]
     cut = pg.ears(shape)
     assert len(cut) == 3 and sum(abs(pg._signed([shape[i] for i in t])) for t in cut) == pytest.approx(abs(pg._signed(shape)))
-    assert pg.clear_places(6.0, 2, 0.6, None) == [2.0, 4.0]
-    assert pg.clear_places(6.0, 1, 0.6, (3.1, 1.0)) == pytest.approx([1.95])
-    assert pg.clear_places(1.5, 1, 0.6, (0.75, 1.0)) == []
-    shares = arc_shares(sunrise_arcs(25.5))
+
+
+def test_sun_arcs(spark):
+    from vantage.functions.angles import bin_shares, sun_arcs
+
+    shares = spark.range(1).select(bin_shares(sun_arcs(F.lit(25.5)))).first()[0]
     assert sum(shares) == pytest.approx(1) and shares[0] == 0 and shares[2] == pytest.approx(shares[6])
 
 

@@ -1,9 +1,7 @@
-"""Bearings in classes: the eight compass bins and what share of them an arc covers."""
+"""Bearings in classes: the eight compass bins and what share of them arcs cover."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,16 +11,23 @@ def compass_bin(bearing: Column) -> Column:
     return F.pmod(F.floor((bearing + 22.5) / 45), F.lit(8)).cast("int")
 
 
-def sunrise_arcs(latitude: float, tilt: float = 23.44) -> list[tuple[float, float]]:
-    """Ranges of bearings at which the sun rises and sets over a year; all round beyond the polar circles."""
-    x = math.sin(math.radians(tilt)) / math.cos(math.radians(latitude))
-    if abs(x) > 1:
-        return [(0.0, 360.0)]
-    low = math.degrees(math.acos(x))
-    return [(low, 180 - low), (180 + low, 360 - low)]
+def sun_arcs(latitude: Column, tilt: float = 23.44) -> Column:
+    """Ranges (lo, hi) of bearings at which the sun rises and sets over a year; all round beyond the polar circles."""
+    x = F.sin(F.radians(F.lit(tilt))) / F.cos(F.radians(latitude))
+    low = F.degrees(F.acos(F.least(F.abs(x), F.lit(1.0))))
+    arc = lambda a, b: F.struct(a.cast("double").alias("lo"), b.cast("double").alias("hi"))
+    return F.when(F.abs(x) > 1, F.array(arc(F.lit(0.0), F.lit(360.0)))).otherwise(F.array(arc(low, 180 - low), arc(180 + low, 360 - low)))
+
+
+def overlap(lo: Column, hi: Column, k: int) -> Column:
+    """How much of an arc lies in a compass bin, round the circle."""
+    parts = [F.greatest(F.lit(0.0), F.least(hi + s, F.lit(45.0 * k + 22.5)) - F.greatest(lo + s, F.lit(45.0 * k - 22.5))) for s in (-360.0, 0.0, 360.0)]
+    return parts[0] + parts[1] + parts[2]
 
 
-def arc_shares(arcs: list[tuple[float, float]]) -> list[float]:
-    """Share of the arcs' length in each compass bin."""
-    length = [sum(max(0.0, min(b + s, 45 * k + 22.5) - max(a + s, 45 * k - 22.5)) for a, b in arcs for s in (-360, 0, 360)) for k in range(8)]
-    return [x / sum(length) for x in length]
+def bin_shares(arcs: Column) -> Column:
+    """Share of the arcs' length in each compass bin, an array of eight."""
+    covered = lambda k: F.aggregate(arcs, F.lit(0.0), lambda a, x: a + overlap(x["lo"], x["hi"], k))
+    length = [covered(k) for k in range(8)]
+    total = sum(length[1:], length[0])
+    return F.array(*(F.try_divide(x, total) for x in length))

@@ -15,22 +15,14 @@ def g_statistic(observed: DataFrame, classes: int) -> DataFrame:
     return observed.withColumn("_e", total / float(classes)).agg(F.sum(F.when(F.col("n") > 0, 2 * F.col("n") * F.log(F.col("n") / F.col("_e")))).alias("g"), F.sum("n").alias("n"))
 
 
-def chi2_survival(x: float, df: int) -> float:
-    """P(chi-square with whole df > x), by its finite sums."""
-    if x <= 0:
-        return 1.0
-    half = x / 2
-    if df % 2 == 0:
-        term = total = 1.0
-        for k in range(1, df // 2):
-            term *= half / k
-            total += term
-        return math.exp(-half) * total
-    total, term = math.erfc(math.sqrt(half)), math.sqrt(half) * math.exp(-half) / (math.sqrt(math.pi) / 2)
-    for k in range(1, (df - 1) // 2 + 1):
-        total += term
-        term *= half / (k + 0.5)
-    return total
+def chi2_survival(x: Column, df: int, terms: int = 80) -> Column:
+    """P(chi-square with df degrees > x): one less the lower series up to the bulk, the upper continued fraction beyond it."""
+    a = df / 2
+    h = F.greatest(x.cast("double"), F.lit(0.0)) / 2
+    power = F.exp(a * F.log(F.when(h > 0, h)) - h - math.lgamma(a))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(F.lit(1 / a).alias("t"), F.lit(1 / a).alias("s")), lambda s, n: F.struct((s["t"] * h / (a + n)).alias("t"), (s["s"] + s["t"] * h / (a + n)).alias("s")), lambda s: s["s"])
+    fraction = F.aggregate(F.sequence(F.lit(terms), F.lit(1)), h + (2 * terms + 1 - a), lambda c, n: h + 2 * (n - 1) + 1 - a - n * (n - a) / c)
+    return F.when(h <= 0, 1.0).when(h < a + 1, 1 - power * series).otherwise(power / fraction)
 
 
 def mixture_fit(observed: DataFrame, steps: int) -> DataFrame:
@@ -38,7 +30,7 @@ def mixture_fit(observed: DataFrame, steps: int) -> DataFrame:
     spark = observed.sparkSession
     grid = spark.range(steps + 1).select((F.col("id") / float(steps)).alias("w"), "id")
     mixed = F.col("w") * F.col("p1") + (1 - F.col("w")) * F.col("p0")
-    by_w = grid.join(F.broadcast(observed.select("n", "p1", "p0"))).groupBy("id", "w").agg(F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(mixed)).otherwise(0.0)).alias("ll"))
+    by_w = grid.join(observed.select("n", "p1", "p0")).groupBy("id", "w").agg(F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(mixed)).otherwise(0.0)).alias("ll"))
     return by_w.orderBy(F.desc(F.round("ll", 6)), "id").limit(1)
 
 
@@ -52,16 +44,23 @@ def mix_hash(*parts: Column) -> Column:
     return out
 
 
-def permuted_matches(rows: DataFrame, key: str, label: str, draws: int) -> DataFrame:
-    """For each draw, how many rows meet their own label under a permutation of labels.
+def permuted(rows: DataFrame, key: str, label: str, draws: int, seed: int | None = None) -> DataFrame:
+    """draw, key, own, other: for each draw every row's own label and the one that a permutation gives it.
 
-    Rows are paired by place: their order by key, and by a hash of draw and key.
+    Rows are paired by place: their order by key, and by a hash of (seed,) draw and key.
     """
-    spark = rows.sparkSession
-    drawn = rows.join(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw")))
-    own = drawn.select("draw", F.col(label).alias("a"), F.row_number().over(W.partitionBy("draw").orderBy(key)).alias("k"))
-    other = drawn.select("draw", F.col(label).alias("b"), F.row_number().over(W.partitionBy("draw").orderBy(mix_hash(F.col("draw"), F.col(key)), key)).alias("k"))
-    return own.join(other, ["draw", "k"]).groupBy("draw").agg(F.count_if(F.col("a") == F.col("b")).alias("v"))
+    from .ledger import numbered
+
+    drawn = rows.select(F.col(key).alias("_key"), F.col(label).alias("_label")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("draw", F.col("draw").cast("long"))
+    parts = [] if seed is None else [F.lit(seed)]
+    own = numbered(rows.select(F.col(key).alias("_key"), F.col(label).alias("own")).withColumn("_all", F.lit(0)), ["_all"], ["_key"], "k").drop("_all")
+    other = numbered(drawn.withColumn("_h", mix_hash(*parts, F.col("draw"), F.col("_key"))), ["draw"], ["_h", "_key"], "k").select("draw", "k", F.col("_label").alias("other"))
+    return other.join(own, "k").select("draw", F.col("_key").alias(key), "own", "other")
+
+
+def permuted_matches(rows: DataFrame, key: str, label: str, draws: int) -> DataFrame:
+    """For each draw, how many rows meet their own label under a permutation of labels."""
+    return permuted(rows, key, label, draws).groupBy("draw").agg(F.count_if(F.col("own") == F.col("other")).alias("v"))
 
 
 def empirical_p(draws: DataFrame, observed: Column) -> DataFrame:

@@ -128,3 +128,14 @@ def matrix(edges: DataFrame, size: int) -> DataFrame:
     """Edges between observers as a dense matrix: one row an eye, a column for each of the first size others; true on the diagonal, false where there is no edge. For few observers."""
     wide = edges.where(F.col("other").between(1, size) & F.col("eye").between(1, size)).groupBy("eye").pivot("other", list(range(1, size + 1))).agg(F.bool_or("visible"))
     return wide.select("eye", *(F.coalesce(F.col(f"`{k}`"), F.col("eye") == k).alias(f"sees_{k}") for k in range(1, size + 1)))
+
+
+def observer_sights(stations: DataFrame, four: DataFrame, grid: Grid, radius: float) -> DataFrame:
+    """eye, wall, other, visible: whether the station at each eye's wall (eye, wall, sx, sy, sz) sees the target (tx, ty, tz) of each other eye within radius, met by tiles."""
+    around = F.sequence(F.lit(-1), F.lit(1))
+    near = stations.select("eye", "wall", F.col("sx").alias("ex"), F.col("sy").alias("ey"), F.col("sz").alias("ez")).withColumn("i", F.explode(around)).withColumn("j", F.explode(around))
+    near = near.withColumns({"bx": F.floor(F.col("ex") / radius) + F.col("i"), "by": F.floor(F.col("ey") / radius) + F.col("j")}).drop("i", "j")
+    targets = stations.select(F.col("eye").alias("other"), "tx", "ty", "tz").distinct().withColumns({"bx": F.floor(F.col("tx") / radius), "by": F.floor(F.col("ty") / radius)})
+    dx, dy = F.col("tx") - F.col("ex"), F.col("ty") - F.col("ey")
+    rays = near.join(targets, ["bx", "by"]).where((F.col("eye") != F.col("other")) & (dx * dx + dy * dy <= radius * radius)).drop("bx", "by")
+    return line_of_sight(rays, four, grid, ["eye", "wall", "other"]).select("eye", "wall", "other", "visible")

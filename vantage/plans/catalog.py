@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import meshes, rasters, records, reports, shapes, sights, solids, views
+from . import ledgers, meshes, rasters, records, reports, shapes, sights, solids, views
 
 FLAGSHIP = "viewshed_count"
-MODULES = (views, records, meshes, sights, shapes, rasters, reports, solids)
+MODULES = (views, records, meshes, sights, shapes, rasters, reports, solids, ledgers)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

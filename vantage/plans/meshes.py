@@ -58,12 +58,12 @@ def crosses_opening(spark, sf_dir):
 def mesh_measures(spark, sf_dir):
     """Triangles, area and volume (about their centre) of each building's shell, in thousandths."""
     out = ms.measures(triangles(spark, sf_dir))
-    return out.select("bid", "n", F.rint(F.col("area") * 1000).cast("long").alias("area_e3"))
+    return out.select("bid", "n", *(F.rint(F.col(c) * 1000).cast("long").alias(f"{c}_e3") for c in ("area", "volume")))
 
 
 def edge_parity(spark, sf_dir):
-    """Edges of each building's shell; the open ones are those of the missing floor."""
-    return ms.open_edges(triangles(spark, sf_dir))
+    """Edges of each building's shell; the open ones are those of the missing floor, and of the walls that every third building lacks."""
+    return ms.open_edges(triangles(spark, sf_dir).where("bid % 3 > 0 OR tri >= 2 * (bid % 4)"))
 
 
 def _voxels(spark, sf_dir):
@@ -112,8 +112,10 @@ ORACLES = {
       o AS (SELECT *, (ey - wy) / nullif((ey - wy) - (ty - wy), 0) AS t0, (ey - wy - th) / nullif((ey - wy - th) - (ty - wy - th), 0) AS t1 FROM w)
       SELECT k AS o_orderkey FROM o WHERE t0 > 0 AND t0 < 1 AND ex + t0 * (tx - ex) - wx BETWEEN 0.5 AND 3.0 AND ez + t0 * (tz - ez) BETWEEN 0 AND 2.2::DOUBLE
       AND (th <= 0 OR (t1 > 0 AND t1 < 1 AND ex + t1 * (tx - ex) - wx BETWEEN 0.5 AND 3.0 AND ez + t1 * (tz - ez) BETWEEN 0 AND 2.2::DOUBLE))""",
-    "mesh_measures": f"WITH {B_SQL} SELECT id AS bid, CAST(10 AS BIGINT) AS n, CAST(round_even(((x1 - x0) * (y1 - y0) + 2 * top * (x1 - x0 + y1 - y0)) * 1000, 0) AS BIGINT) AS area_e3 FROM b",
-    "edge_parity": "SELECT p_partkey AS bid, CAST(17 AS BIGINT) AS edges, CAST(4 AS BIGINT) AS open, CAST(4 AS BIGINT) AS odd FROM part",
+    "mesh_measures": f"""WITH {B_SQL} SELECT id AS bid, CAST(10 AS BIGINT) AS n, CAST(round_even(((x1 - x0) * (y1 - y0) + 2 * top * (x1 - x0 + y1 - y0)) * 1000, 0) AS BIGINT) AS area_e3,
+      CAST(round_even((x1 - x0) * (y1 - y0) * top * 0.8::DOUBLE * 1000, 0) AS BIGINT) AS volume_e3 FROM b""",
+    "edge_parity": f"""WITH {B_SQL}, e AS (SELECT bid, unnest([[ax, ay, az], [bx, "by", bz], [cx, cy, cz]]) AS p, unnest([[bx, "by", bz], [cx, cy, cz], [ax, ay, az]]) AS q FROM tri WHERE bid % 3 > 0 OR tri >= 2 * (bid % 4)),
+      n AS (SELECT bid, least(p, q) AS a, greatest(p, q) AS b, count(*) AS n FROM e GROUP BY 1, 2, 3) SELECT bid, count(*) AS edges, count(*) FILTER (n = 1) AS open, count(*) FILTER (n % 2 = 1) AS odd FROM n GROUP BY bid""",
     "voxel_boundary": f"""WITH {DEM_SQL}, v AS (SELECT r, c, unnest(range(1, CAST(z AS BIGINT) + 1)) AS l FROM dem WHERE z IS NOT NULL), d AS (SELECT * FROM (VALUES ('r', -1, -1, 0, 0), ('r', 1, 1, 0, 0), ('c', -1, 0, -1, 0), ('c', 1, 0, 1, 0), ('l', -1, 0, 0, -1), ('l', 1, 0, 0, 1)) d(axis, side, dr, dc, dl))
       SELECT CAST(v.l AS INTEGER) AS l, axis, side, count(*) AS n FROM v CROSS JOIN d LEFT JOIN v o ON o.r = v.r + dr AND o.c = v.c + dc AND o.l = v.l + dl WHERE o.r IS NULL GROUP BY 1, 2, 3""",
     "blob_labels": f"""WITH RECURSIVE {DEM_SQL}, k AS (SELECT r, c, r * 64 + c AS i FROM dem WHERE z >= 7), reach AS (

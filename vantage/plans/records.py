@@ -218,9 +218,10 @@ def longest_rising_run(spark, sf_dir):
 
 
 def g_test_classes(spark, sf_dir):
-    """G of customers over their nations."""
+    """G of customers over the first nine nations, and its p-value."""
     n = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    return st.g_statistic(n, 25).select(F.rint(F.col("g") * 1e6).cast("long").alias("g_e6"), "n")
+    g = st.g_statistic(n.where("c_nationkey < 9"), 9)
+    return g.select(F.rint(F.col("g") * 1e6).cast("long").alias("g_e6"), "n", F.rint(st.chi2_survival(F.col("g"), 8) * 1e9).cast("long").alias("p_e9"))
 
 
 def mixture_fit(spark, sf_dir):
@@ -269,9 +270,11 @@ def cumulative_starts(spark, sf_dir):
 
 
 def robust_line(spark, sf_dir):
-    """Robust line of part prices over sizes: one row, coarse."""
-    slope, icept, n = st.fit_line_mad(table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y")))
-    return spark.createDataFrame([(round(slope, 3), round(icept, 3), n)], "slope double, intercept double, n long")
+    """A line through parts' points, found in spite of every 13th, which is far off."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select((k % 97).cast("double").alias("x"), (3.0 * (k % 97) + 7 + (k % 5 - 2) * 0.25 + F.when(k % 13 == 0, 500.0).otherwise(0.0)).alias("y"))
+    slope, icept, n = st.fit_line_mad(p, 10)
+    return spark.createDataFrame([(round(slope * 1e4), round(icept * 1e4), n)], "slope_e4 long, intercept_e4 long, n long")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -353,7 +356,8 @@ ORACLES = {
     "longest_rising_run": """WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS k, length(text) AS n FROM conversations),
       chain AS (SELECT conv_id, k, n, 1 AS len FROM c UNION SELECT c.conv_id, c.k, c.n, chain.len + 1 FROM chain JOIN c ON c.conv_id = chain.conv_id AND c.k > chain.k AND c.n > chain.n)
       SELECT conv_id, CAST(max(len) AS BIGINT) AS lis FROM chain GROUP BY 1""",
-    "g_test_classes": "WITH c AS (SELECT count(*) AS n FROM customer GROUP BY c_nationkey), t AS (SELECT sum(n) AS n FROM c) SELECT CAST(round_even(sum(2 * c.n * ln(c.n / (t.n / 25.0::DOUBLE))) * 1e6, 0) AS BIGINT) AS g_e6, CAST(any_value(t.n) AS BIGINT) AS n FROM c, t",
+    "g_test_classes": """WITH c AS (SELECT count(*) AS n FROM customer WHERE c_nationkey < 9 GROUP BY c_nationkey), t AS (SELECT sum(n) AS n FROM c), g AS (SELECT sum(2 * c.n * ln(c.n / (t.n / 9.0::DOUBLE))) AS g, CAST(any_value(t.n) AS BIGINT) AS n FROM c, t)
+      SELECT CAST(round_even(g * 1e6, 0) AS BIGINT) AS g_e6, n, CAST(round_even(exp(-g / 2) * (1 + g / 2 + g * g / 8 + g * g * g / 48) * 1e9, 0) AS BIGINT) AS p_e9 FROM g""",
     "mixture_fit": """WITH c AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS k, count(*) AS n FROM orders GROUP BY 1), w AS (SELECT id, id / 200.0::DOUBLE AS w FROM range(201) r(id)),
       l AS (SELECT id, round(sum(n * ln(w * (k / 15.0::DOUBLE) + (1 - w) * 0.2::DOUBLE)), 6) AS ll FROM c, w GROUP BY id) SELECT CAST(round_even(id / 200.0::DOUBLE * 1000, 0) AS BIGINT) AS w_e3 FROM l ORDER BY ll DESC, id LIMIT 1""",
     "holm_adjust": """WITH p AS (SELECT CAST(c_nationkey AS VARCHAR) AS name, (sum(c_custkey) % 997 + 1) / 20000.0::DOUBLE AS p FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, name) - 1 AS i, count(*) OVER () AS m FROM p),
@@ -370,4 +374,6 @@ ORACLES = {
     "file_digest": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
     "cumulative_starts": """WITH l AS (SELECT l_orderkey, l_linenumber, sum(CAST(l_quantity AS BIGINT)) AS len FROM lineitem GROUP BY 1, 2)
       SELECT l_orderkey, l_linenumber, CAST(len AS BIGINT) AS len, CAST(coalesce(sum(len) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM l""",
+    "robust_line": """WITH p AS (SELECT CAST(p_partkey % 97 AS DOUBLE) AS x, 3 * (p_partkey % 97) + 7 + (p_partkey % 5 - 2) * 0.25::DOUBLE AS y FROM part WHERE p_partkey % 13 <> 0)
+      SELECT CAST(round(regr_slope(y, x) * 1e4) AS BIGINT) AS slope_e4, CAST(round(regr_intercept(y, x) * 1e4) AS BIGINT) AS intercept_e4, count(*) AS n FROM p""",
 }
