@@ -92,8 +92,8 @@ def cut_before(data: np.ndarray, start: int, end: int) -> int:
     return end
 
 
-def text_parts(column: pa.Array, most: int = SLICE_BYTES, part: int = PART_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of each part, UTF-8 bytes, part offsets into them), at most about so many bytes at once. A text is one part unless it is longer than part."""
+def text_parts(column: pa.Array, most: int = SLICE_BYTES, part: int = PART_BYTES, seam: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of each part, UTF-8 bytes, part offsets into them), at most about so many bytes at once. A text is one part unless it is longer than part. With seam, so many bytes on both sides of each cut come once more, as a part of their own."""
     for at, n, data, offsets in text_slices(column, most):
         if not (np.diff(offsets) > part).any():
             yield np.arange(at, at + n), data, offsets
@@ -103,6 +103,10 @@ def text_parts(column: pa.Array, most: int = SLICE_BYTES, part: int = PART_BYTES
             a, b = int(offsets[k]), int(offsets[k + 1])
             while b - a > part:
                 a = cut_before(data, a, a + part)
+                if seam:
+                    low, high = max(int(offsets[k]), a - seam), min(b, a + seam)
+                    low += int(np.argmax(data[low:high] & 0xC0 != 0x80))
+                    yield np.array([at + k]), data[low:high], np.array([0, high - low])
                 owner.append(at + k)
                 cuts.append(a)
             owner.append(at + k)
@@ -155,3 +159,16 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 def as_strings(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """The stretches between bounds (ascending, covering data) as an Arrow string array, without a copy of the bytes."""
     return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of UTF-8 bytes, and where each begins; a character that the end cuts off is what is there of it."""
+    starts = np.flatnonzero(data & 0xC0 != 0x80)
+    lead = data[starts].astype(np.uint32)
+    extra = (lead >= 0xC0).astype(np.int8) + (lead >= 0xE0) + (lead >= 0xF0)
+    code = np.where(extra == 0, lead, lead & (0x7F >> (extra + 1)))
+    padded = np.concatenate((data, np.zeros(3, np.uint8)))
+    for k in (1, 2, 3):
+        more = np.flatnonzero(extra >= k)
+        code[more] = code[more] << 6 | (padded[starts[more] + k] & 0x3F)
+    return code.astype(np.uint32), starts

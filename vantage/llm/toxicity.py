@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed n-grams of the lower-case text, present or not. An n-gram's ratio is
+Features are hashed n-grams of characters of the lower-case text, present or not. An n-gram's ratio is
 the log of how much more often toxic documents of the sample hold it than others, with
 add-one counts. Kept are the n-grams whose ratio is at least Z standard errors from 0.
 A logistic regression on the ratios of a document's n-grams then weighs them; its
@@ -14,7 +14,10 @@ table of fixed size, whatever the corpus.
 Cases: null and empty texts score what the intercept alone gives; a text counts as
 labelled if any of its label rows is not null, and as toxic if any says so; null ids
 are rows of their own; without labels of both kinds all scores are the share of toxic
-labels; an empty table gives no rows; other columns are ignored.
+labels; an n-gram counts once a text however often it stands there, so ties and repeats
+make no difference; a very long text is gone through in parts, with what stands over
+their seams, and only its features are held; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import SPACE, lower_ascii, text_slices
+from .batches import SPACE, as_strings, code_points, text_parts
 from .shared import bounded_labels, crc_rest, documents, keep
 
 GRAMS = (4, 5, 6)
@@ -41,40 +45,63 @@ BETA = 0.75
 SLICE = 1 << 20
 #: Features of the sample that a gradient step takes at once.
 STEP = 1 << 20
+#: Bytes on each side of a cut that no n-gram is longer than.
+SEAM = 24
 
 
-def gram_buckets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte n-grams of a slice and the row of each; white space counts as blank."""
-    data = np.where(SPACE[data], 32, lower_ascii(data)).astype(np.uint32)
-    m = max(0, len(data) - n + 1)
-    code = np.full(m, n, np.uint32)
+def gram_buckets(code: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of characters and the place of each; none reaches over two texts."""
+    m = max(0, len(code) - n + 1)
+    hashed = np.full(m, n, np.uint32)
     for k in range(n):
-        code *= np.uint32(0x01000193)
-        code += data[k : k + m]
-    code ^= code >> np.uint32(15)
-    code *= np.uint32(0x2C1B3C6D)
-    code ^= code >> np.uint32(13)
+        hashed *= np.uint32(0x01000193)
+        hashed += code[k : k + m]
+    hashed ^= hashed >> np.uint32(15)
+    hashed *= np.uint32(0x2C1B3C6D)
+    hashed ^= hashed >> np.uint32(13)
     inside = np.ones(m, bool)
     for b in offsets[1:-1]:
         inside[max(0, b - n + 1) : b] = False
     at = np.flatnonzero(inside)
-    return (code[at] & np.uint32(DIMS - 1)).astype(np.int64), at
+    return (hashed[at] & np.uint32(DIMS - 1)).astype(np.int64), at
 
 
 def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) pairs, each once, of the buckets that are wanted."""
+    """(row, bucket) pairs, each once, of the buckets that are wanted. White space counts as blank."""
+    lower = pc.utf8_lower(as_strings(data, offsets))
+    _, bounds, raw = lower.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[: len(offsets)]
+    data = np.frombuffer(raw, np.uint8)[: bounds[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
+    code, starts = code_points(data)
+    code[(code < 33) & SPACE[code & 0xFF]] = 32
+    offsets = np.searchsorted(starts, bounds)
     rows, buckets = [], []
     for n in GRAMS:
-        code, at = gram_buckets(data, offsets, n)
+        found, at = gram_buckets(code, offsets, n)
         if wanted is not None:
-            hit = wanted[code]
-            code, at = code[hit], at[hit]
+            hit = wanted[found]
+            found, at = found[hit], at[hit]
         rows.append(np.searchsorted(offsets, at, "right") - 1)
-        buckets.append(code)
+        buckets.append(found)
     pair = np.unique(np.concatenate(rows) * DIMS + np.concatenate(buckets))
     return pair // DIMS, pair % DIMS
 
 
+def features_of(column: pa.Array, wanted: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) pairs of a column of texts, sorted by row, slice by slice; each pair once. Texts that go through many parts come last."""
+    part = SLICE // 4
+    long = pc.fill_null(pc.greater(pc.binary_length(column), part), False).to_numpy(zero_copy_only=False)
+    held: dict[int, np.ndarray] = {}
+    for owner, data, offsets in text_parts(column, SLICE, part, SEAM):
+        row, bucket = present(data, offsets, wanted)
+        row = owner[row]
+        for k in np.unique(row[long[row]]):
+            held[int(k)] = np.union1d(held.get(int(k), bucket[:0]), bucket[row == k])
+        yield row[~long[row]], bucket[~long[row]]
+    for k, bucket in held.items():
+        yield np.full(len(bucket), k), bucket
+
+
 def logistic(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights of the features and the intercept; x: each document's feature numbers, weight: how many rows it stands for. Full gradient steps with momentum."""
     row = np.repeat(np.arange(len(x), dtype=np.int32), [len(a) for a in x])
@@ -107,10 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[np.n
         for batch in batches:
             y = batch.column("y").to_numpy(zero_copy_only=False)
             total = np.zeros((2, DIMS), np.int64)
-            for at, n, data, offsets in text_slices(batch.column("text"), SLICE):
-                row, bucket = present(data, offsets, None)
+            for row, bucket in features_of(batch.column("text"), None):
                 for k in (0, 1):
-                    total[k] += np.bincount(bucket[y[at + row] == k], minlength=DIMS)
+                    total[k] += np.bincount(bucket[y[row] == k], minlength=DIMS)
             used = np.flatnonzero(total.sum(0))
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[1, used]), pa.array(total[0, used])], ["bucket", "toxic", "other"])
 
@@ -132,11 +158,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[np.n
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for _, rows, data, offsets in text_slices(batch.column("text"), SLICE):
-                row, bucket = present(data, offsets, number >= 0)
-                cuts = np.searchsorted(row, np.arange(rows + 1))
-                found += [number[bucket[a:b]].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])]
+            found = [b""] * batch.num_rows
+            for row, bucket in features_of(batch.column("text"), number >= 0):
+                cuts = np.flatnonzero(np.diff(row, prepend=-1, append=-1))
+                for a, b in zip(cuts, cuts[1:]):
+                    found[row[a]] = number[bucket[a:b]].astype(np.int32).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("y"), batch.column("rate")], ["x", "y", "rate"])
 
     rows = sample.mapInArrow(features, "x binary, y int, rate double").toPandas()
@@ -155,9 +181,8 @@ def score(docs: DataFrame, table: np.ndarray, bias: float) -> DataFrame:
         wanted = weights != 0
         for batch in batches:
             z = np.full(batch.num_rows, bias)
-            for at, n, data, offsets in text_slices(batch.column("text"), SLICE):
-                row, bucket = present(data, offsets, wanted)
-                z[at : at + n] += np.bincount(row, weights[bucket], n)
+            for row, bucket in features_of(batch.column("text"), wanted):
+                z += np.bincount(row, weights[bucket], len(z))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
