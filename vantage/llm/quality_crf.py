@@ -7,16 +7,22 @@ The chain adds a weight for each pair of neighbouring labels. Forward and backwa
 give each line's marginal probability of being good; a document's score is their mean,
 weighted by line length.
 
-Labels are on documents only. Training takes a document's label as that of all its
-lines, maximizes the conditional likelihood of the chain on at most SAMPLE_GOOD and
-SAMPLE_BAD labelled documents, and then sets an intercept on the document's score. A
-document with more than TRAIN_LINES lines is trained on as several chains of that many,
-so no line is left out; scoring runs over the whole document at once.
+Labels are on documents only. Training first takes a document's label as that of all its
+lines and maximizes the conditional likelihood of the chain, with all four pairs of
+neighbouring labels free, on at most SAMPLE_GOOD and SAMPLE_BAD labelled documents. Then,
+RELABELS times, the lines of bad documents that look good by their own make-up alone are
+labelled good, as long as some stay bad, and the chain is fitted anew, so good lines next
+to bad ones are seen (by default none are: where a label holds for a whole document, that
+scores documents better). Last an intercept is set on the document's score. A document with more
+than TRAIN_LINES lines is trained on as several chains of that many, so no line is left
+out; scoring runs over the whole document at once.
 
 Cases: null and empty texts, and texts of white space, are one empty line, scored like
 any other; a document counts as labelled if any of its rows is not null and as good if
 any says so; null ids are rows of their own; without labels of both kinds every score
-is the share of good labels; an empty table gives no rows; other columns are ignored.
+is the share of good labels; lines that repeat are lines of their own, and one equal to
+an earlier one is marked; a very long text is held whole, with some ten numbers a line;
+an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +42,7 @@ SAMPLE_GOOD, SAMPLE_BAD = 2500, 2500
 TRAIN_LINES = 64
 ROUNDS = 150
 RIDGE = 1e-3
+RELABELS = 0
 THRESHOLD = 0.3
 #: Steps of each line count: shares of bytes or words, and lengths.
 STEPS = {
@@ -131,26 +138,30 @@ def side_by_side(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return line, bases
 
 
-def chain_sums(unary: np.ndarray, pair: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals (places x 2) and summed pair expectations (2 x 2) of all chains. unary: log potentials of good and bad by place."""
-    u = np.exp(unary - unary.max(1, keepdims=True))
+def chain_sums(unary: np.ndarray, pair: np.ndarray, bases: np.ndarray, rate: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Marginals (places x 2), summed pair expectations (2 x 2) and summed log partition of all chains, each chain by its rate. unary: log potentials of good and bad by place; rate: by place, alike within a chain."""
+    rate = np.ones(len(unary)) if rate is None else rate
+    peak = unary.max(1, keepdims=True)
+    u = np.exp(unary - peak)
     t = np.exp(pair)
     fwd, bwd = np.empty_like(u), np.ones_like(u)
     steps = len(bases) - 1
+    norm = np.empty(len(u))
     for k in range(steps):
         a, b = bases[k], bases[k + 1]
         now = u[a:b] if not k else u[a:b] * (fwd[bases[k - 1] : bases[k - 1] + b - a] @ t)
-        fwd[a:b] = now / now.sum(1, keepdims=True)
+        norm[a:b] = now.sum(1)
+        fwd[a:b] = now / norm[a:b, None]
     expected = np.zeros((2, 2))
     for k in range(steps - 2, -1, -1):
         a, c, d = bases[k], bases[k + 1], bases[k + 2]
         right = u[c:d] * bwd[c:d]
         back = right @ t.T
         joint = fwd[a : a + d - c, :, None] * t * right[:, None, :]
-        expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+        expected += (joint / joint.sum((1, 2), keepdims=True) * rate[c:d, None, None]).sum(0)
         bwd[a : a + d - c] = back / back.sum(1, keepdims=True)
     marginal = fwd * bwd
-    return marginal / marginal.sum(1, keepdims=True), expected
+    return marginal / marginal.sum(1, keepdims=True), expected, float((rate * (np.log(norm) + peak[:, 0])).sum())
 
 
 @dataclass(frozen=True)
@@ -164,7 +175,7 @@ class Chain:
         """Probability of each line to be good."""
         x = with_neighbours(steps, first) @ self.weights.astype(np.float32)
         line, bases = side_by_side(first)
-        marginal, _ = chain_sums(np.stack((np.zeros(len(x)), x.astype(np.float64)), 1)[line], self.pair, bases)
+        marginal, _, _ = chain_sums(np.stack((np.zeros(len(x)), x.astype(np.float64)), 1)[line], self.pair, bases)
         out = np.empty(len(x))
         out[line] = marginal[:, 1]
         return out
@@ -177,33 +188,44 @@ class Chain:
         return 1 / (1 + np.exp(-np.clip(self.scale * (mean - 0.5) + self.shift, -40, 40)))
 
 
+def loss(theta: np.ndarray, xs: np.ndarray, label: np.ndarray, rate: np.ndarray, bases: np.ndarray) -> tuple[float, np.ndarray]:
+    """Less the chains' weighted conditional log-likelihood, and its gradient. By place: xs, label (0 or 1), rate. theta: FEATURES, then the four pairs."""
+    pair = theta[-4:].reshape(2, 2)
+    logit = (xs @ theta[:-4].astype(xs.dtype)).astype(float)
+    marginal, expected, partition = chain_sums(np.stack((np.zeros(len(logit)), logit), 1), pair, bases, rate)
+    seen, worth = np.zeros((2, 2)), float((rate * label * logit).sum())
+    for k in range(len(bases) - 2):
+        a, c, d = bases[k], bases[k + 1], bases[k + 2]
+        np.add.at(seen, (label[a : a + d - c], label[c:d]), rate[c:d])
+    worth += float((seen * pair).sum())
+    return partition - worth, np.concatenate((((marginal[:, 1] - label) * rate) @ xs, (expected - seen).reshape(-1)))
+
+
+def climb(xs: np.ndarray, label: np.ndarray, rate: np.ndarray, bases: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    m, v = np.zeros(len(theta)), np.zeros(len(theta))
+    for k in range(1, ROUNDS + 1):
+        grad = loss(theta, xs, label, rate, bases)[1] + RIDGE * theta
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        theta = theta - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    return theta
+
+
 def train(steps: np.ndarray, size: np.ndarray, first: np.ndarray, y: np.ndarray) -> Chain:
     """y: each text's label. Texts of both kinds weigh the same in total, and each text the same whatever its lines."""
     lines = np.diff(first)
     label = np.repeat(y, lines)
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     cuts = np.unique(np.concatenate([first, *(np.arange(a, b, TRAIN_LINES) for a, b in zip(first, first[1:]) if b - a > TRAIN_LINES)]))
-    x = with_neighbours(steps, first)
-    # each text's chains in one group of the same weight: chains are weighed by repeating the gradient's rows
-    owner = np.searchsorted(first, np.arange(len(label)), "right") - 1
-    per_line = (share / lines)[owner]
-    line, bases = side_by_side(cuts)
-    xs, target, rate = x[line], np.stack((1 - label, label), 1)[line].astype(float), per_line[line]
-    theta, m, v = np.zeros(FEATURES + 2), np.zeros(FEATURES + 2), np.zeros(FEATURES + 2)
-    inner = len(label) - (len(cuts) - 1)
-    same = float(inner)
-    for k in range(1, ROUNDS + 1):
-        pair = np.diag(theta[-2:])
-        logit = xs @ theta[:FEATURES].astype(np.float32)
-        marginal, expected = chain_sums(np.stack((np.zeros(len(logit)), logit.astype(float)), 1), pair, bases)
-        own = ((marginal[:, 1] - target[:, 1]) * rate) @ xs
-        seen = np.array([(label == 0).sum() - len(np.unique(owner[label == 0])), (label == 1).sum() - len(np.unique(owner[label == 1]))])
-        grad = np.concatenate((own, (np.diag(expected) - seen) / max(1.0, same) * 0.1)) + RIDGE * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        theta = theta - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-        theta[-2:] = np.clip(theta[-2:], -1.0, 1.0)
-    chain = Chain(theta[:FEATURES], np.diag(theta[-2:]), 1.0, 0.0)
     text = np.repeat(np.arange(len(lines)), lines)
+    line, bases = side_by_side(cuts)
+    xs, rate = with_neighbours(steps, first)[line], (share / lines)[text][line]
+    theta = climb(xs, label[line], rate, bases, np.zeros(FEATURES + 4))
+    for _ in range(RELABELS):
+        good = theta[0] + steps @ theta[1 : 1 + BASE] >= 0
+        bad_left = np.bincount(text, ~good, len(lines)) > 0
+        label = np.where((label == 0) & good & bad_left[text], 1, label)
+        theta = climb(xs, label[line], rate, bases, theta)
+    chain = Chain(theta[:-4], theta[-4:].reshape(2, 2), 1.0, 0.0)
     mean = np.bincount(text, (size + 1.0) * chain.marginals(steps, first), len(lines)) / np.bincount(text, size + 1.0, len(lines)) - 0.5
     scale, shift = 4.0, 0.0
     for _ in range(400):
@@ -252,6 +274,21 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def label_lines(docs: DataFrame, chain: Chain) -> DataFrame:
+    """doc_id and lines: of each line its length in bytes, the probability that it is good, and the label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for _, _, data, offsets in text_slices(batch.column("text")):
+                steps, size, first = line_features(data, offsets)
+                good = chain.marginals(steps, first)
+                rows += [[{"length": int(n), "p_good": float(p), "good": bool(p >= 0.5)} for n, p in zip(size[a:b], good[a:b])] for a, b in zip(first, first[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.struct([("length", pa.int32()), ("p_good", pa.float64()), ("good", pa.bool_())])))], ["doc_id", "lines"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lines array<struct<length:int,p_good:double,good:boolean>>")
+
+
 def held_out(doc_id):
     return crc_rest(doc_id, 5) == 0
 
