@@ -17,7 +17,8 @@ Cases: null text counts as empty and has no spans; positions are code points, th
 exclusive; spans of one start are ordered as the kinds are listed, and a 'random' run
 that meets another span is left out; null or repeated doc_ids are rows of their own; an
 empty table gives no rows; without any labelled token the chains are even and find
-nothing; other columns are ignored by scan() and kept by redact().
+nothing; very long texts are scanned whole, in time in proportion to their length; other
+columns, whatever their names, are ignored by scan() and kept by redact().
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import let, running_totals
-from .shared import documents
+from .shared import documents, quoted
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -40,7 +41,7 @@ TRAIN_TOKEN = r"[A-Za-z0-9+/_=-]{8,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 KINDS = ("assign", "access", "hex", "random")
 SAMPLE_DOCS = 4000
-MIN_RATIO, MIN_DISTINCT = 25.0, 8
+MIN_RATIO, MIN_DISTINCT = 16.0, 8
 #: How many transitions the ordinary chain's fall-back is worth: single runs, secrets perhaps, teach it little.
 BACKOFF = 1000
 MASK = "[SECRET]"
@@ -152,7 +153,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """docs, all columns, with every span of text masked; null texts stay null."""
-    found = scan(docs.select(F.struct(*docs.columns).alias("doc_id"), "text"), ratios)
+    found = scan(docs.select(F.struct(*quoted(docs.columns)).alias("doc_id"), "text"), ratios)
     new = F.when(F.col("doc_id.text").isNotNull(), masked(F.col("text"), F.col("spans")))
     return found.select(*(new.alias("text") if c == "text" else F.col("doc_id")[c].alias(c) for c in docs.columns))
 
