@@ -431,3 +431,107 @@ def test_inclusion_differs_within_a_source(spark):
     taken = (got["copies"] * got["size"]).groupby(got["source"]).sum()
     for r in per.collect():
         assert abs(taken[r["source"]] - r["target"]) <= 1000
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """Of all four pairs and the lines' weights, against differences; and the likelihood against enumeration."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    first = np.array([0, 4, 5, 9])
+    x, label = rng.normal(size=(9, 3)), rng.integers(0, 2, 9)
+    rate_of = np.array([0.5, 1.5, 0.7])
+    line, bases = quality_crf.side_by_side(first)
+    rate = np.repeat(rate_of, np.diff(first))
+    theta = rng.normal(size=7)
+
+    def enumerated(theta):
+        total = 0.0
+        for k, (a, b) in enumerate(zip(first, first[1:])):
+            pair = theta[3:].reshape(2, 2)
+            worth = lambda y: sum(y[i] * (x[a + i] @ theta[:3]) for i in range(b - a)) + sum(pair[p, q] for p, q in zip(y, y[1:]))  # noqa: B023, E731
+            total += rate_of[k] * (np.log(sum(np.exp(worth(y)) for y in itertools.product((0, 1), repeat=b - a))) - worth(tuple(label[a:b])))
+        return total
+
+    value, grad = quality_crf.loss(theta, x[line], label[line], rate[line], bases)
+    assert value == pytest.approx(enumerated(theta))
+    for k in range(7):
+        step = np.zeros(7)
+        step[k] = 1e-6
+        assert grad[k] == pytest.approx((enumerated(theta + step) - enumerated(theta - step)) / 2e-6, abs=1e-5)
+
+
+def test_bad_lines_are_told_from_good_ones(spark, monkeypatch):
+    monkeypatch.setattr(quality_crf, "RELABELS", 1)
+    rng = random.Random(14)
+    good = lambda: " ".join(rng.choice("calm river old trees people walk along evening meadow stone".split()) for _ in range(rng.randrange(7, 16))).capitalize() + "."
+    bad = lambda: "CLICK!! | $$$ #### {menu} >>> " + str(rng.randrange(10**6)) + " !!!!"
+    rows = [(k, "\n".join(good() if k % 2 or j in (0, 1, 5) else bad() for j in range(8)), k % 2) for k in range(160)]
+    docs = spark.createDataFrame([(a, b) for a, b, _ in rows], "doc_id long, text string")
+    chain = quality_crf.fit(docs, spark.createDataFrame([(a, c) for a, _, c in rows], "doc_id long, quality int"))
+    got = {r["doc_id"]: [x["good"] for x in r["lines"]] for r in quality_crf.label_lines(docs, chain).collect()}
+    right = sum(x == (k % 2 == 1 or j in (0, 1, 5)) for k, lines in got.items() for j, x in enumerate(lines))
+    assert right >= 0.95 * 160 * 8 and sum(got[0]) < 8
+
+
+def test_characters_outside_ascii_are_one_each():
+    import numpy as np
+
+    from vantage.llm import batches
+
+    for text in ("\u00dcber \u6771\u4eac \U0001f600!", "plain", ""):
+        code, starts = batches.code_points(np.frombuffer(text.encode(), np.uint8))
+        assert code.tolist() == [ord(c) for c in text] and len(starts) == len(text)
+    upper, lower = (toxicity.present(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), None)[1].tolist() for t in ("\u00dcBER \u00c4RGER", "\u00fcber \u00e4rger"))
+    assert upper == lower and len(lower) == sum(len("\u00fcber \u00e4rger") - n + 1 for n in toxicity.GRAMS)
+
+
+def test_a_long_text_has_the_features_of_its_whole(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = ["short one", "".join(rng.choice("abcdefgh\u00e4\u6771 ") for _ in range(30000)), None, "another", "".join(rng.choice("xyz \u00f6") for _ in range(9000)), "end of it"]
+    whole = {(k, b) for k, t in enumerate(texts) if t for b in toxicity.present(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), None)[1].tolist()}
+    monkeypatch.setattr(toxicity, "SLICE", 4000)
+    pairs = [(int(r), int(b)) for row, bucket in toxicity.features_of(pa.array(texts), None) for r, b in zip(row, bucket)]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == whole
+
+
+def test_random_runs_by_brute_force(spark):
+    """Spans of the chains as plain loops find them; and how many made-up secrets they catch, at what price."""
+    import re
+
+    rng = random.Random(13)
+    word = lambda: "-".join(rng.choice("river stone window meadow harbour station garden northern valley bridge".split()) for _ in range(rng.randrange(2, 4)))
+    secret = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randrange(20, 40)))
+    rows, truth = [], set()
+    for k in range(300):
+        parts = [word() for _ in range(5)]
+        if k % 3 == 0:
+            parts.insert(2, secret())
+            truth.add((k, parts[2]))
+        rows.append((k, " ".join(parts) + (f" key: {rng.getrandbits(64):016x}" if k % 2 else "")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratios = secrets.train(docs)
+    got = {(r["doc_id"], s["start"], s["end"]) for r in secrets.scan(docs, ratios).collect() for s in r["spans"] if s["kind"] == 3}
+    texts, size, expected = dict(rows), len(secrets.ALPHABET), set()
+    for k, text in rows:
+        base = [m.span() for m in re.finditer(secrets.HEX, text)]
+        for m in re.finditer(secrets.TOKEN, text):
+            at = [secrets.ALPHABET.index(c) for c in m[0]]
+            if len(set(at)) >= secrets.MIN_DISTINCT and sum(ratios[a * size + b] for a, b in zip(at, at[1:])) >= secrets.MIN_RATIO and not any(a < m.end() and m.start() < b for a, b in base):
+                expected.add((k, *m.span()))
+    assert got == expected
+    caught = {(k, texts[k][a:b]) for k, a, b in got}
+    assert len(caught & truth) >= 0.9 * len(truth) and len(caught - truth) <= 0.05 * len(caught)
+
+
+def test_names_with_dots_are_kept(odd_docs, spark):
+    docs = odd_docs.withColumns({"a.b": F.lit(1), "c`d": F.lit("x")})
+    assert mixing.mix(docs).columns == docs.columns
+    assert quality_rules.clean(docs).columns == docs.columns
+    assert secrets.redact(docs, [0.0] * len(secrets.ALPHABET) ** 2).columns == docs.columns
+    assert ngram_join.first_of_groups(docs).columns == docs.columns
