@@ -58,3 +58,49 @@ def test_report_and_merge(spark, tmp_path):
     assert w.markdown(a) == "| k | v |\n|---|---|\n| 1 | old |"
     with pytest.raises(ValueError):
         w.markdown(spark.range(3), 2)
+
+
+def test_page_marks_follow_the_pen(spark):
+    from vantage.sources import drawings as d
+
+    content = b"q\n2 0 0 2 10 20 cm\n1 1 m\n3 1 l\n3 4 l\nh\nQ\n0 0 m\n5 0 l\nBT\n1 0 0 1 7 8 Tm\n[<00410042> 3 <0043>] TJ\nET\n9 9 xx\nBT\nET\n"
+    streams = spark.createDataFrame([("p", 0, bytearray(content)), ("p", 1, None)], "path string, stream int, content binary")
+    rows = d.page_marks(streams, {0x41: "A", 0x42: "B"}).collect()
+    assert [(r["ax"], r["ay"], r["bx"], r["by"]) for r in rows if r["kind"] == "segment"] == [(12, 22, 16, 22), (16, 22, 16, 28), (16, 28, 12, 22), (0, 0, 5, 0)]
+    assert [(r["text"], r["ax"], r["ay"]) for r in rows if r["kind"] == "label"] == [("AB?", 7, 8)]
+
+
+def test_vector_tables(spark):
+    from vantage.sources import drawings as d
+
+    p = spark.createDataFrame([(7, [(1.0, 2.0), (3.0, 4.0)]), (9, [(5.0, 6.0)])], "Id long, parts array<struct<x:double,y:double>>")
+    assert sorted(map(tuple, d.points(p, "ID", "parts", ["Id"]).collect())) == [(7, 1.0, 2.0), (7, 3.0, 4.0), (9, 5.0, 6.0)]
+    assert sorted(r["id"] for r in d.points(p, None, "parts", ["Id"]).collect()) == [1, 1, 2]
+    ring = spark.createDataFrame([(1, [[(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)], [(0.0, 0.0)]])], "id long, rings array<array<struct<x:double,y:double>>>")
+    assert [(r["x0"], r["y0"], r["x1"], r["y1"]) for r in d.polygon_edges(ring, "id", "rings").orderBy("e").collect()] == [(0, 0, 2, 0), (2, 0, 0, 2), (0, 2, 0, 0)]
+    sheet = spark.createDataFrame([("12", "A "), ("x", "B"), ("3.5", "C"), ("4.0", " ")], "` Chapel # ` string, TYPE string")
+    assert sorted(map(tuple, d.typology(sheet, "chapel #", "type").collect())) == [(4, None), (12, "A")]
+    flags = spark.createDataFrame([(" True",), ("no",), (None,)], "f string")
+    assert [r[0] for r in flags.select(d.is_true(flags.f)).collect()] == [True, False, False]
+
+
+def test_meshes_volumes_and_checkpoints(spark, tmp_path):
+    from vantage.operators import ledger as lg
+
+    grid = spark.createDataFrame([(r, c, None if (r, c) == (0, 0) else float(r + c)) for r in range(3) for c in range(3)], "r int, c int, z double")
+    w.write_lines(w.terrain_obj(grid, 2), str(tmp_path / "t"))
+    lines = [x["value"] for x in spark.read.text(str(tmp_path / "t")).collect()]
+    assert lines == ["v 0.0000 0.0000 2.0000", "v 2.0000 0.0000 2.0000", "v 0.0000 -2.0000 2.0000", "v 2.0000 -2.0000 4.0000", "f 1 3 2", "f 2 3 4"]
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0)], "v long, x double, y double, z double")
+    w.write_lines(w.ply_mesh(v, spark.createDataFrame([(0, 1, 2)], "a int, b int, d int")), str(tmp_path / "p"))
+    lines = [x["value"] for x in spark.read.text(str(tmp_path / "p")).collect()]
+    assert lines[2] == "element vertex 3" and lines[6] == "element face 1" and lines[-1] == "3 0 1 2"
+    w.write_volume(grid.withColumn("l", grid.r), str(tmp_path / "v"), {"x0": 1.5, "crs": "local"})
+    assert spark.read.parquet(str(tmp_path / "v/cells")).count() == 9 and spark.read.text(str(tmp_path / "v/about")).first()[0] == '{"crs":"local","x0":1.5}'
+    mark = lg.fingerprint({"radius": 5, "draws": 9})
+    w.checkpoint(grid, str(tmp_path / "c"), mark)
+    saved = spark.read.parquet(str(tmp_path / "c"))
+    assert lg.resume(saved, lg.fingerprint({"draws": 9, "radius": 5})).count() == 9
+    with pytest.raises(Exception, match="another configuration"):
+        lg.resume(saved, lg.fingerprint({"draws": 8, "radius": 5})).collect()
+    assert w.report([("A", spark.range(1))]) == "## A\n\n| id |\n|---|\n| 0 |"
