@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Longer texts are cut into parts of about so many bytes.
 PART_BYTES = 1 << 18
 _LIBC = ctypes.CDLL(None) if os.name == "posix" else None

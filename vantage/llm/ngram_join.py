@@ -197,7 +197,8 @@ def profiles(docs: DataFrame) -> DataFrame:
                         seen.add(own[-1])
                         new.append(tokens)
                 if new:
-                    total += np.bincount((np.concatenate(new) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                    at, times = np.unique((np.concatenate(new) & np.uint64(SKETCH - 1)).astype(np.int64), return_counts=True)
+                    total[at] += times
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(buckets, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if id_type is not None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII space and \t \n \v \f \r.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
-BATCH_ROWS = 2000
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -34,8 +34,9 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Batches to Python are held to BATCH_ROWS texts, so that one of long texts fits a worker."""
+    """Batches to Python are held to BATCH_ROWS rows and about BATCH_BYTES, so that one of long texts fits a worker. All queries of this subpackage ask for the same."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import keep, small_batches
 
 PIVOTS, RINGS = 48, 16
 SAMPLE = 2048
@@ -223,8 +223,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries: every row whose vec_id is divisible by 20. Blocks go to Python a few at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    """Queries: every row whose vec_id is divisible by 20."""
+    small_batches(spark)
     vectors = whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
