@@ -135,3 +135,16 @@ def test_observers_see_each_other_unless_a_peak_stands_between(spark, flat):
     eyes = spark.createDataFrame([(1, 8.5, -10.5, 1.5), (2, 16.5, -10.5, 1.5), (3, 8.5, -14.5, 1.5)], "eye int, ex double, ey double, ez double")
     got = {(r["eye"], r["other"]): (r["visible"], round(r["distance"], 3)) for r in v.observer_edges(eyes, g.corners(flat), g.Grid(h=24, w=24), 8.0).collect()}
     assert got == {(1, 1): (True, 0), (2, 2): (True, 0), (3, 3): (True, 0), (1, 2): (False, 8), (2, 1): (False, 8), (1, 3): (True, 4), (3, 1): (True, 4)}
+
+
+def test_large_surfaces_are_joined_with_the_same_result(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    cells = spark.createDataFrame([(r, c, None if rng.random() < 0.03 else rng.random() * 6) for r in range(30) for c in range(30)], "r int, c int, z double")
+    rays = spark.createDataFrame([(k, *(v for _ in range(2) for v in (rng.random() * 36 - 3, -rng.random() * 36 + 3, rng.random() * 9))) for k in range(400)] + [(400, 3.0, -3.0, 1.0, 3.0, -3.0, 2.0), (401, 3.0, -3.0, 1.0, 9.0, -9.0, None)], "k int, ex double, ey double, ez double, tx double, ty double, tz double")
+    grid = g.Grid(h=30, w=30)
+    marched = {r["k"]: (r["visible"], r["dist"]) for r in v.line_of_sight(rays, g.corners(cells), grid, ["k"]).collect()}
+    monkeypatch.setattr(v, "small_surface", lambda four: None)
+    joined = {r["k"]: (r["visible"], r["dist"]) for r in v.line_of_sight(rays, g.corners(cells), grid, ["k"]).collect()}
+    assert marched == joined and 50 < sum(x for x, _ in marched.values()) < 350

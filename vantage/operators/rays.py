@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .grid import Grid
 from .scratch import kept
-from .visibility import bearing, line_of_sight
+from .visibility import bearing, line_of_sight, small_surface
 
 STEEPEST = 85.0
 
@@ -75,6 +75,7 @@ def seen_share(lines: DataFrame, four: DataFrame, grid: Grid, keys: list[str], t
     narrower than the seeds' distance can be missed; a line without length is its first end.
     """
     fine = (seeds - 1) * 2**max_depth
+    surface = small_surface(four)
     d = [F.col("b" + k) - F.col("a" + k) for k in "xyz"]
     lines = lines.withColumn("length", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
     ends = lines.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(fine), F.lit(2**max_depth))))
@@ -82,7 +83,7 @@ def seen_share(lines: DataFrame, four: DataFrame, grid: Grid, keys: list[str], t
     def probe(at: DataFrame) -> DataFrame:
         t = F.col("at") / fine
         rays = at.select(*keys, "length", "at", "ex", "ey", "ez", *((F.col("a" + k) + (F.col("b" + k) - F.col("a" + k)) * t).alias("t" + k) for k in "xyz"))
-        return line_of_sight(rays, four, grid, [*keys, "at"]).select(*keys, "length", "at", "visible")
+        return line_of_sight(rays, four, grid, [*keys, "at"], surface=surface).select(*keys, "length", "at", "visible")
 
     order = W.partitionBy(*keys).orderBy("at")
     stretch = lambda known: known.withColumns({"next": F.lead("at").over(order), "other": F.lead("visible").over(order)}).where("next IS NOT NULL")

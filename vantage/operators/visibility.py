@@ -5,22 +5,110 @@ and d_min before the target; the target is visible if it stands as high, seen fr
 eye, as every sample with data, up to a tolerance. Targets nearer than d_min are visible,
 a target straight above or below the eye is not.
 
-Rays are rows keyed by (eye, target); samples are made inside a task, meet the surface
-in an equi-join and are reduced to a maximum before the shuffle.
+Rays are rows keyed by (eye, target). A surface of up to SURFACE_CELLS cells, counted
+first, goes to all executors, and a ray is marched over it inside a task, so nothing but
+rays moves. A larger one stays a table: samples are rows that meet it in an equi-join and
+are then reduced to a maximum a ray. Both ways use the same numbers in the same order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grid import Grid, bilinear
+from .scratch import kept
 
 EPS = 1e-6
-
-
-def line_of_sight(rays: DataFrame, four: DataFrame, grid: Grid, keys: list[str], step: float = 1.0, d_min: float = 1.0) -> DataFrame:
-    """rays (keys, ex, ey, ez, tx, ty, tz) with visible."""
+#: Cells, holes included, of a surface that is sent to executors: 32 MB.
+SURFACE_CELLS = 4_000_000
+#: Samples that a task holds at once.
+SAMPLES = 1 << 20
+
+
+@dataclass(frozen=True)
+class Surface:
+    """Heights by row and column from (r0, c0) on, NaN where there is none."""
+
+    z: np.ndarray
+    r0: int
+    c0: int
+
+    def at(self, rf: np.ndarray, cf: np.ndarray) -> np.ndarray:
+        """Bilinear heights at fractional rows and columns; NaN where a corner is missing."""
+        r, c = np.floor(rf), np.floor(cf)
+        wr, wc = rf - r, cf - c
+        i, j = r.astype(np.int64) - self.r0, c.astype(np.int64) - self.c0
+        inside = (i >= 0) & (j >= 0) & (i + 1 < self.z.shape[0]) & (j + 1 < self.z.shape[1])
+        i, j = np.where(inside, i, 0), np.where(inside, j, 0)
+        z = (self.z[i, j] * (1 - wc) + self.z[i, j + 1] * wc) * (1 - wr) + (self.z[i + 1, j] * (1 - wc) + self.z[i + 1, j + 1] * wc) * wr
+        return np.where(inside, z, np.nan)
+
+
+def small_surface(four: DataFrame, most: int = SURFACE_CELLS) -> Surface | None:
+    """The surface as an array, or None if its bounding rectangle holds more cells than most."""
+    four = kept(four.select("r", "c", "z00", "z01", "z10", "z11"))
+    b = four.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")).first()
+    if b["r0"] is None:
+        return Surface(np.full((2, 2), np.nan), 0, 0)
+    h, w = b["r1"] - b["r0"] + 2, b["c1"] - b["c0"] + 2
+    if h * w > most:
+        return None
+    z, rows = np.full((h, w), np.nan), four.toPandas()
+    i, j = rows["r"].to_numpy() - b["r0"], rows["c"].to_numpy() - b["c0"]
+    for di, dj in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        z[i + di, j + dj] = rows[f"z{di}{dj}"]
+    return Surface(z, b["r0"], b["c0"])
+
+
+def _marched(rays: DataFrame, surface: Surface, grid: Grid, step: float, d_min: float) -> DataFrame:
+    """rays with dist and visible, by a march in each task."""
+    shared = rays.sparkSession.sparkContext.broadcast(surface)
+    first = max(1, -(-int(d_min * 1_000_000) // int(step * 1_000_000)))
+    names = [c for c in rays.columns if c not in ("dist", "visible")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ground = shared.value
+        for batch in batches:
+            ex, ey, ez, tx, ty, tz = (batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("ex", "ey", "ez", "tx", "ty", "tz"))
+            dx, dy = tx - ex, ty - ey
+            dist = np.sqrt(dx * dx + dy * dy)
+            last = np.floor((np.nan_to_num(dist) - d_min) / step).astype(np.int64)
+            n = np.maximum(last - first + 1, 0)
+            horizon = np.full(len(n), -np.inf)
+            upto = np.concatenate(([0], np.cumsum(n)))
+            a = 0
+            while a < len(n):
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + SAMPLES, "right")) - 1)
+                ray = np.repeat(np.arange(a, b), n[a:b])
+                if len(ray):
+                    d = (first + np.arange(upto[a], upto[b]) - upto[ray]) * step
+                    x, y = ex[ray] + dx[ray] / dist[ray] * d, ey[ray] + dy[ray] / dist[ray] * d
+                    angle = (ground.at((y - grid.y0) / grid.e - 0.5, (x - grid.x0) / grid.a - 0.5) - ez[ray]) / d
+                    np.maximum.at(horizon, ray, np.where(np.isnan(angle), -np.inf, angle))
+                a = b
+            with np.errstate(divide="ignore", invalid="ignore"):
+                seen = (dist < d_min) | np.isneginf(horizon) | ((tz - ez) / dist >= horizon - EPS)
+            visible = (dist > 0) & ~np.isnan(tz) & seen
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(dist), pa.array(visible)], [*names, "dist", "visible"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rays.select(*names).schema)
+    return rays.select(*names).mapInArrow(run, f"{kinds}, dist double, visible boolean")
+
+
+def line_of_sight(rays: DataFrame, four: DataFrame, grid: Grid, keys: list[str], step: float = 1.0, d_min: float = 1.0, surface: Surface | None = None) -> DataFrame:
+    """rays (keys, ex, ey, ez, tx, ty, tz) with dist and visible. surface: what small_surface() gave, for several calls on one."""
+    surface = surface or small_surface(four)
+    return _marched(rays, surface, grid, step, d_min) if surface else _joined(rays, four, grid, keys, step, d_min)
+
+
+def _joined(rays: DataFrame, four: DataFrame, grid: Grid, keys: list[str], step: float, d_min: float) -> DataFrame:
+    """rays with dist and visible, by a join of their samples with the surface."""
     dx, dy = F.col("tx") - F.col("ex"), F.col("ty") - F.col("ey")
     rays = rays.withColumn("dist", F.sqrt(dx * dx + dy * dy))
     first = max(1, -(-int(d_min * 1_000_000) // int(step * 1_000_000)))

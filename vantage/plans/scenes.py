@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantage.operators.grid import Grid, nearest
+from vantage.operators.scratch import kept
 from vantage.session import table
 
 GRID = Grid()
@@ -17,10 +18,10 @@ RADIUS = 8.0
 
 
 def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """r, c, z (null: no data) for all cells that lineitem fills."""
+    """r, c, z (null: no data) for all cells that lineitem fills, written down: a scene's eyes, surface and targets all come from it."""
     z = F.sum(F.col("l_quantity").cast("bigint") * 7 + F.col("l_suppkey")) % 9
     filled = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 64).cast("int").alias("r"), (F.col("l_partkey") % 64).cast("int").alias("c")).agg(z.alias("z"))
-    return filled.select("r", "c", F.when(F.col("z") > 0, F.col("z").cast("double")).alias("z"))
+    return kept(filled.select("r", "c", F.when(F.col("z") > 0, F.col("z").cast("double")).alias("z")))
 
 
 def eyes(spark: SparkSession, sf_dir: str, heights: DataFrame, up: float = 1.6) -> DataFrame:
