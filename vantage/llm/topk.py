@@ -44,7 +44,9 @@ PIVOTS, RINGS = 48, 16
 SAMPLE = 2048
 BLOCK_ROWS, QUERY_ROWS = 4096, 512
 #: Annuli that a query has expanded to after each pass; the last takes all that the bounds leave.
-PASSES = (2, 16, 128, PIVOTS * RINGS)
+PASSES = (4, 64, PIVOTS * RINGS)
+#: Rows that an annulus should hold at least: few vectors get fewer pivots and annuli.
+CELL_ROWS = 128
 SCALE = 64
 HIT = "query_rid long, query_id long, vec_id long, score long"
 
@@ -125,7 +127,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     dim, top, most = max(1, stats["dim"]), stats["top"], stats["most"] or 0.0
     store = np.int8 if most < 2**7 else np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64
     sample = vectors.select("rid", "v").orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).toPandas()
-    pivots = farthest_first(lifted(matrix(sample["v"], dim), top), PIVOTS)
+    pivots = farthest_first(lifted(matrix(sample["v"], dim), top), min(PIVOTS, max(8, math.isqrt(stats["n"]) // 2)))
+    n_rings = min(RINGS, max(1, stats["n"] // (len(pivots) * CELL_ROWS)))
     packed = lambda x: pa.array([r.tobytes() for r in x.astype(store)], pa.binary())
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,10 +139,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("vec_id"), packed(x), pa.array(near), pa.array(d[np.arange(len(d)), near])], ["rid", "vec_id", "v", "near", "dist"])
 
     keys = keep(vectors.select("rid", "vec_id", "v").mapInArrow(keyed, "rid long, vec_id long, v binary, near long, dist double"), "pivot-keys")
-    steps = F.array(*(F.lit(i / RINGS) for i in range(1, RINGS)))
-    rings = {r["near"]: r["cuts"] for r in keys.groupBy("near").agg(F.percentile_approx("dist", steps, F.lit(1000)).alias("cuts")).collect()}
-    cuts = F.create_map(*(x for p, c in sorted(rings.items()) for x in (F.lit(p), F.array(*map(F.lit, c)))))
-    cell = F.col("near") * RINGS + F.size(F.filter(cuts[F.col("near")], lambda c: c < F.col("dist")))
+    cell = F.col("near") * RINGS
+    if n_rings > 1:
+        steps = F.array(*(F.lit(i / n_rings) for i in range(1, n_rings)))
+        rings = {r["near"]: r["cuts"] for r in keys.groupBy("near").agg(F.percentile_approx("dist", steps, F.lit(1000)).alias("cuts")).collect()}
+        cuts = F.create_map(*(x for p, c in sorted(rings.items()) for x in (F.lit(p), F.array(*map(F.lit, c)))))
+        cell = cell + F.size(F.filter(cuts[F.col("near")], lambda c: c < F.col("dist")))
     index = keys.withColumn("cell", cell)
     counts = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     cell_of = np.array(sorted(counts), np.int64)
@@ -170,7 +175,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     homes = {r["home"]: r["n"] for r in asked.groupBy("home").agg(F.count("*").alias("n")).collect()}
     if not homes:
         return empty
-    shares = F.create_map(*(x for h, n in sorted(homes.items()) for x in (F.lit(int(h)), F.lit(math.ceil(n / QUERY_ROWS)))))
+    # pivots with few queries share a block, those with many have several
+    block, filled, into = 0, 0, {}
+    for h, n in sorted(homes.items()):
+        if filled and filled + n > QUERY_ROWS:
+            block, filled = block + 1, 0
+        into[h] = block
+        filled += n
+    as_map = lambda found: F.create_map(*(x for h, n in sorted(found.items()) for x in (F.lit(int(h)), F.lit(int(n)))))[F.col("home")]
+    asked = asked.withColumns({"block": as_map(into), "share": F.pmod(F.xxhash64("rid"), as_map({h: math.ceil(n / QUERY_ROWS) for h, n in homes.items()}))})
 
     def wanted(start: int, end: int):
         """Of each block of queries, and each annulus that one of them expands to in this pass, those queries."""
@@ -209,7 +222,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     best, found, start = W.partitionBy("query_rid").orderBy(F.desc("score"), "vec_id"), None, 0
     floors = asked.withColumn("floor", F.lit(-(2**63) + 1))
     for end in PASSES:
-        asks = floors.withColumn("share", F.pmod(F.xxhash64("rid"), shares[F.col("home")])).groupBy("home", "share")
+        asks = floors.groupBy("block", "share")
         asks = keep(asks.applyInPandas(wanted(start, end), "cell long, q_rids binary, q_ids binary, q binary, floors binary"), "query-asks")
         if asks.isEmpty():
             break
