@@ -5,7 +5,7 @@ from __future__ import annotations
 from .chat import OP10_SQL, op10_preference_format
 from .langid import op6_language_id
 from .mixing import OP4_SQL, op4_pareto_mix
-from .ngram_join import op3_ngram_join
+from .ngram_join import OP3_SQL, op3_ngram_join
 from .packing import op2_best_fit_packing
 from .quality_crf import op7_quality_crf
 from .quality_rules import OP5_SQL, op5_line_rules
@@ -26,6 +26,7 @@ QUERIES = {
     "op10_preference_format": op10_preference_format,
 }
 ORACLES = {
+    "op3_ngram_join": OP3_SQL,
     "op4_pareto_mix": OP4_SQL,
     "op5_line_rules": OP5_SQL,
     "op8_pivot_topk": OP8_SQL,
