@@ -7,8 +7,10 @@ from .langid import op6_language_id
 from .mixing import OP4_SQL, op4_pareto_mix
 from .ngram_join import OP3_SQL, op3_ngram_join
 from .packing import op2_best_fit_packing
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_crf import op7_quality_crf
 from .quality_rules import OP5_SQL, op5_line_rules
+from .runs import OP12_SQL, op12_periodic_runs
 from .secrets import op9_secret_scan
 from .topk import OP8_SQL, op8_pivot_topk
 from .toxicity import op1_toxicity
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_pivot_topk": op8_pivot_topk,
     "op9_secret_scan": op9_secret_scan,
     "op10_preference_format": op10_preference_format,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES = {
     "op3_ngram_join": OP3_SQL,
@@ -31,4 +35,6 @@ ORACLES = {
     "op5_line_rules": OP5_SQL,
     "op8_pivot_topk": OP8_SQL,
     "op10_preference_format": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op12_periodic_runs": OP12_SQL,
 }

@@ -54,6 +54,13 @@ def crc_rest(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def crc32_sql(column: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a number's decimal digits; 3988292384 is the checksum's polynomial."""
+    step = "lambda x, y: xor(x >> 1, 3988292384 * (x & 1))"
+    digits = f"list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {step})))"
+
+
 def quoted(names: list[str]) -> list[Column]:
     """Columns by name, whatever characters a name holds."""
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
