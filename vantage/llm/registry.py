@@ -7,6 +7,7 @@ from .langid import op6_language_id
 from .mixing import OP4_SQL, op4_pareto_mix
 from .ngram_join import OP3_SQL, op3_ngram_join
 from .packing import op2_best_fit_packing
+from .pii import op13_personal_data
 from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .quality_crf import op7_quality_crf
 from .quality_rules import OP5_SQL, op5_line_rules
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_preference_format": op10_preference_format,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_personal_data": op13_personal_data,
 }
 ORACLES = {
     "op3_ngram_join": OP3_SQL,
