@@ -215,8 +215,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs, all columns, with every span of text masked; null texts stay null."""
     found = scan(docs.select(F.struct(*quoted(docs.columns)).alias("doc_id"), "text"))
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    new = masked(F.col("doc_id.text"), by_start, MASK)
-    return found.select(*(new.alias("text") if c == "text" else F.col("doc_id")[c].alias(c) for c in docs.columns))
+    found = found.select("doc_id", masked(F.col("doc_id.text"), by_start, MASK).alias("new"))
+    return found.select(*(F.col("new").alias("text") if c == "text" else F.col("doc_id")[c].alias(c) for c in docs.columns))
 
 
 def listed(spans: Column) -> Column:
