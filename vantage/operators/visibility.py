@@ -7,64 +7,24 @@ a target straight above or below the eye is not.
 
 Rays are rows keyed by (eye, target). A surface of up to SURFACE_CELLS cells, counted
 first, goes to all executors, and a ray is marched over it inside a task, so nothing but
-rays moves. A larger one stays a table: samples are rows that meet it in an equi-join and
-are then reduced to a maximum a ray. Both ways use the same numbers in the same order.
+rays moves. A larger one is cut into tiles, and pieces of rays meet the tiles that they
+cross (tiles.py), so the shuffle grows with rays and tiles, not with samples. The plain
+form, samples as rows that meet the surface in an equi-join, is what tests hold both
+against. All ways use the same numbers in the same order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tiles
 from .grid import Grid, bilinear
-from .scratch import kept
-
-EPS = 1e-6
-#: Cells, holes included, of a surface that is sent to executors: 32 MB.
-SURFACE_CELLS = 4_000_000
-#: Samples that a task holds at once.
-SAMPLES = 1 << 20
-
-
-@dataclass(frozen=True)
-class Surface:
-    """Heights by row and column from (r0, c0) on, NaN where there is none."""
-
-    z: np.ndarray
-    r0: int
-    c0: int
-
-    def at(self, rf: np.ndarray, cf: np.ndarray) -> np.ndarray:
-        """Bilinear heights at fractional rows and columns; NaN where a corner is missing."""
-        r, c = np.floor(rf), np.floor(cf)
-        wr, wc = rf - r, cf - c
-        i, j = r.astype(np.int64) - self.r0, c.astype(np.int64) - self.c0
-        inside = (i >= 0) & (j >= 0) & (i + 1 < self.z.shape[0]) & (j + 1 < self.z.shape[1])
-        i, j = np.where(inside, i, 0), np.where(inside, j, 0)
-        z = (self.z[i, j] * (1 - wc) + self.z[i, j + 1] * wc) * (1 - wr) + (self.z[i + 1, j] * (1 - wc) + self.z[i + 1, j + 1] * wc) * wr
-        return np.where(inside, z, np.nan)
-
-
-def small_surface(four: DataFrame, most: int = SURFACE_CELLS) -> Surface | None:
-    """The surface as an array, or None if its bounding rectangle holds more cells than most."""
-    four = kept(four.select("r", "c", "z00", "z01", "z10", "z11"))
-    b = four.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1")).first()
-    if b["r0"] is None:
-        return Surface(np.full((2, 2), np.nan), 0, 0)
-    h, w = b["r1"] - b["r0"] + 2, b["c1"] - b["c0"] + 2
-    if h * w > most:
-        return None
-    z, rows = np.full((h, w), np.nan), four.toPandas()
-    i, j = rows["r"].to_numpy() - b["r0"], rows["c"].to_numpy() - b["c0"]
-    for di, dj in ((0, 0), (0, 1), (1, 0), (1, 1)):
-        z[i + di, j + dj] = rows[f"z{di}{dj}"]
-    return Surface(z, b["r0"], b["c0"])
-
+from .surface import EPS, SAMPLES, Surface, small_surface
 
 def _marched(rays: DataFrame, surface: Surface, grid: Grid, step: float, d_min: float) -> DataFrame:
     """rays with dist and visible, by a march in each task."""
@@ -104,7 +64,7 @@ def _marched(rays: DataFrame, surface: Surface, grid: Grid, step: float, d_min:
 def line_of_sight(rays: DataFrame, four: DataFrame, grid: Grid, keys: list[str], step: float = 1.0, d_min: float = 1.0, surface: Surface | None = None) -> DataFrame:
     """rays (keys, ex, ey, ez, tx, ty, tz) with dist and visible. surface: what small_surface() gave, for several calls on one."""
     surface = surface or small_surface(four)
-    return _marched(rays, surface, grid, step, d_min) if surface else _joined(rays, four, grid, keys, step, d_min)
+    return _marched(rays, surface, grid, step, d_min) if surface else tiles.line_of_sight(rays, tiles.tiled(four), grid, keys, step, d_min)
 
 
 def _joined(rays: DataFrame, four: DataFrame, grid: Grid, keys: list[str], step: float, d_min: float) -> DataFrame:
@@ -165,24 +125,60 @@ def volume(eyes: DataFrame, dem: DataFrame, four: DataFrame, grid: Grid, radius:
     return line_of_sight(rays, four, grid, ["eye", "r", "c", "level"])
 
 
-def first_hit(rays: DataFrame, four: DataFrame, grid: Grid, keys: list[str], max_range: float, step: float = 1.0) -> DataFrame:
+def _hit_between(rays: DataFrame, k: Column, f: Column, before: Column, step: float) -> DataFrame:
+    """rays with hit: between step k - 1 and step k, by the clearances before and at it."""
+    q = (k - 1) * step
+    gap = before - f
+    t = F.when(F.abs(gap) > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), before / gap))).otherwise(1.0)
+    return rays.withColumn("hit", F.when(k.isNotNull(), q + t * (k * step - q)))
+
+
+def first_hit(rays: DataFrame, four: DataFrame, grid: Grid, keys: list[str], max_range: float, step: float = 1.0, surface: Surface | None = None) -> DataFrame:
     """rays (keys, ex, ey, ez, ux, uy, slope, f0) with hit, the distance at which the ray meets the surface, null for a miss.
 
     f0 is the surface minus the eye at the start, -1 where that is unknown. The hit is put between the step before and
     the first step at or under the surface, by the clearances at that step and at the last one with data.
     """
+    surface = surface or small_surface(four)
+    last = int(max_range / step)
+    met = _met(rays, surface, grid, step, last) if surface else tiles.first_hit(rays, tiles.tiled(four), grid, keys, step, last)
+    return _hit_between(met, F.col("_k"), F.col("_f"), F.coalesce("_before", "f0"), step).drop("_k", "_f", "_before")
+
+
+def _met(rays: DataFrame, surface: Surface, grid: Grid, step: float, last: int) -> DataFrame:
+    """rays with the first step at or under the surface, the clearance there and at the last step with data before it, by a march in each task that stops where nothing is left to meet."""
+    shared = rays.sparkSession.sparkContext.broadcast(surface)
+    names = rays.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ground = shared.value
+        for batch in batches:
+            ex, ey, ez, ux, uy, slope = (batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("ex", "ey", "ez", "ux", "uy", "slope"))
+            k, f, before = np.zeros(len(ex), np.int64), np.full(len(ex), np.nan), np.full(len(ex), np.nan)
+            going, at = np.arange(len(ex)), 1
+            while at <= last and len(going):
+                n = max(1, min(last - at + 1, SAMPLES // len(going)))
+                found, clear, tail, _ = tiles.met_in(ground, grid, step, ex[going], ey[going], ez[going], ux[going], uy[going], slope[going], np.full(len(going), at), np.full(len(going), at + n - 1))
+                hit = found > 0
+                k[going], f[going] = found, clear
+                before[going] = np.where(np.isnan(tail), before[going], tail)
+                going, at = going[~hit], at + n
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(k, mask=k == 0), pa.array(f, mask=k == 0), pa.array(before, mask=np.isnan(before))], [*names, "_k", "_f", "_before"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rays.schema)
+    return rays.mapInArrow(run, f"{kinds}, _k long, _f double, _before double")
+
+
+def _joined_hits(rays: DataFrame, four: DataFrame, grid: Grid, keys: list[str], max_range: float, step: float = 1.0) -> DataFrame:
+    """first_hit() by a join of all samples with the surface."""
     samples = rays.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(int(max_range / step)))))
     d = F.col("_k") * step
-    samples = samples.select(*keys, "ez", "slope", "f0", "_k", d.alias("d"), (F.col("ex") + F.col("ux") * d).alias("x"), (F.col("ey") + F.col("uy") * d).alias("y"))
+    samples = samples.select(*keys, "ez", "slope", "_k", d.alias("d"), (F.col("ex") + F.col("ux") * d).alias("x"), (F.col("ey") + F.col("uy") * d).alias("y"))
     f = bilinear(samples, four, grid).where("z IS NOT NULL").withColumn("f", F.col("z") - (F.col("ez") + F.col("slope") * F.col("d")))
-    hit = f.where("f >= 0").groupBy(*keys).agg(F.min(F.struct("_k", "d", "f")).alias("h"))
+    hit = f.where("f >= 0").groupBy(*keys).agg(F.min(F.struct("_k", "f")).alias("h"))
     before = f.alias("s").join(hit, keys).where("s._k < h._k").groupBy(*keys).agg(F.max(F.struct("_k", F.col("s.f").alias("f"))).alias("p"))
     out = rays.join(hit, keys, "left").join(before, keys, "left")
-    p = F.coalesce("p.f", "f0")
-    q = (F.col("h._k") - 1) * step
-    gap = p - F.col("h.f")
-    t = F.when(F.abs(gap) > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), p / gap))).otherwise(1.0)
-    return out.withColumn("hit", F.when(F.col("h").isNotNull(), q + t * (F.col("h.d") - q))).drop("h", "p")
+    return _hit_between(out, F.col("h._k"), F.col("h.f"), F.coalesce("p.f", "f0"), step).drop("h", "p")
 
 
 def viewgraph(eyes: DataFrame, buildings: DataFrame, four: DataFrame, grid: Grid, radius: float) -> DataFrame:
