@@ -40,29 +40,40 @@ def hit_t(origin: tuple, direction: tuple) -> Column:
     return F.when((u >= -EPS_BARY) & (v >= -EPS_BARY) & (u + v <= 1 + EPS_BARY), t)
 
 
-def boxes(triangles: DataFrame) -> DataFrame:
-    """Each building's bounding box."""
+def boxes(triangles: DataFrame, by: list[str] | None = None, *more: Column) -> DataFrame:
+    """Each building's bounding box (or that of each group of its triangles), and more sums."""
     low = lambda k: F.min(F.least(f"a{k}", f"b{k}", f"c{k}")).alias(f"lo_{k}")
     high = lambda k: F.max(F.greatest(f"a{k}", f"b{k}", f"c{k}")).alias(f"hi_{k}")
-    return triangles.groupBy("bid").agg(*(f(k) for k in "xyz" for f in (low, high)))
-
-
-def candidates(segments: DataFrame, triangles: DataFrame, tile: float) -> DataFrame:
-    """Segments (keys, ex..ez, tx..tz) with the triangles of buildings whose box theirs meets; box and segment meet by tiles."""
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / tile), F.floor(F.greatest(a, b) / tile))
+    return triangles.groupBy(*(by or ["bid"])).agg(*(f(k) for k in "xyz" for f in (low, high)), *more)
+
+
+def candidates(segments: DataFrame, triangles: DataFrame, tile: float, within: tuple[str, ...] = ()) -> DataFrame:
+    """Segments (keys, ex..ez, tx..tz) with the triangles whose box theirs meets; both carry the columns within, and only equal ones meet.
+
+    A building's triangles are boxed by the tile of their centre, so a box is small
+    however large the building, and they travel with it. Box and segment meet by tiles,
+    and a pair counts in the first tile that both have: no pair comes twice.
+    """
+    own = list(within)
+    first = lambda a, b: F.floor(F.least(a, b) / tile)
+    span = lambda a, b: F.sequence(first(a, b), F.floor(F.greatest(a, b) / tile))
+    centre = lambda k: F.floor((F.col("a" + k) + F.col("b" + k) + F.col("c" + k)) / (3 * tile))
+    corners = [p + k for p in "abc" for k in "xyz"]
+    box = boxes(triangles.withColumns({"_cx": centre("x"), "_cy": centre("y")}), [*own, "bid", "_cx", "_cy"], F.collect_list(F.struct("tri", *corners)).alias("_tris"))
+    box = box.withColumn("gx", F.explode(span("lo_x", "hi_x"))).withColumn("gy", F.explode(span("lo_y", "hi_y")))
     seg = segments.withColumn("gx", F.explode(span("ex", "tx"))).withColumn("gy", F.explode(span("ey", "ty")))
-    box = boxes(triangles).withColumn("gx", F.explode(span("lo_x", "hi_x"))).withColumn("gy", F.explode(span("lo_y", "hi_y")))
     meets = " AND ".join(f"greatest(e{k}, t{k}) >= lo_{k} AND least(e{k}, t{k}) <= hi_{k}" for k in "xyz")
-    near = seg.join(box, ["gx", "gy"]).where(meets).select(*segments.columns, "bid").distinct()
-    return near.join(triangles, "bid")
+    here = (F.col("gx") == F.greatest(first("ex", "tx"), F.floor(F.col("lo_x") / tile))) & (F.col("gy") == F.greatest(first("ey", "ty"), F.floor(F.col("lo_y") / tile)))
+    near = seg.join(box, [*own, "gx", "gy"]).where(meets).where(here)
+    return near.select(*segments.columns, "bid", F.explode("_tris").alias("_t")).select(*segments.columns, "bid", "_t.*")
 
 
-def blocked(segments: DataFrame, triangles: DataFrame, keys: list[str], tile: float = 8.0, d_min: float = 0.0) -> DataFrame:
+def blocked(segments: DataFrame, triangles: DataFrame, keys: list[str], tile: float = 8.0, d_min: float = 0.0, within: tuple[str, ...] = ()) -> DataFrame:
     """Keys of the segments that a triangle cuts, not counting the last BACK metres."""
     d = tuple(F.col("t" + k) - F.col("e" + k) for k in "xyz")
     length = F.sqrt(_dot(d, d))
     t = hit_t(tuple(F.col("e" + k) for k in "xyz"), d)
-    hits = candidates(segments, triangles, tile).withColumns({"_t": t, "_l": length})
+    hits = candidates(segments, triangles, tile, within).withColumns({"_t": t, "_l": length})
     return hits.where((F.col("_l") > 0) & (F.col("_t") * F.col("_l") > d_min) & (F.col("_t") * F.col("_l") < F.col("_l") - BACK)).select(*keys).distinct()
 
 

@@ -60,10 +60,10 @@ def project(dx: Column, dy: Column, dz: Column, azimuth: float, pitch: float, hf
 
 
 def reach(points: DataFrame, four: DataFrame, grid: Grid, keys: list[str], low: float, high: float, step: float) -> DataFrame:
-    """The highest visible height over each point (keys, ex, ey, ez, tx, ty, base) on a ladder from base + low to base + high; null if none."""
+    """The highest and the lowest visible rung over each point (keys, ex, ey, ez, tx, ty, base) on a ladder from base + low to base + high; null if none."""
     rungs = int(round((high - low) / step)) + 1
     rays = points.withColumn("rung", F.explode(F.sequence(F.lit(0), F.lit(rungs - 1)))).withColumn("tz", F.col("base") + low + F.col("rung") * step)
-    return line_of_sight(rays, four, grid, [*keys, "rung"]).groupBy(*keys).agg(F.max(F.when(F.col("visible"), F.col("rung"))).alias("top"))
+    return line_of_sight(rays, four, grid, [*keys, "rung"]).groupBy(*keys).agg(F.max(F.when(F.col("visible"), F.col("rung"))).alias("top"), F.min(F.when(F.col("visible"), F.col("rung"))).alias("bottom"))
 
 
 def seen_share(lines: DataFrame, four: DataFrame, grid: Grid, keys: list[str], tol: float = 0.05, seeds: int = 9, max_depth: int = 16) -> DataFrame:

@@ -11,7 +11,7 @@ from vantage.operators import stats as st
 from vantage.operators import visibility as v
 from vantage.session import table
 
-from .scenes import DEM_SQL, GRID, dem, eyes, los_sql
+from .scenes import DEM_SQL, GRID, dem, eyes, los_sql, mixed
 
 
 def _part(spark, sf_dir):
@@ -191,17 +191,6 @@ def null_sights(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (ground_metrics, best_mean, coerced_ids, scene_counts, dome_radius, median_shortfall, feature_rollup, kind_totals, pixel_shares, sampled_rows, duplicate_claims, common_ids, captions_near, sweep_grid, page_lines, clustered_boxes, ink_runs, bars_found, check_ledger, run_fingerprints, downhill_null, null_sights)}
 
-MIX = "((({h}) * 48271 + {x} % 2147483647 + 11) % 2147483647 * 16807 + 7) % 2147483647"
-
-
-def mixed(*parts: str) -> str:
-    """The hash of whole numbers in SQL."""
-    out = "17::BIGINT"
-    for p in parts:
-        out = MIX.format(h=out, x=f"CAST({p} AS BIGINT)")
-    return out
-
-
 ROLLUP_SQL = """seen AS (SELECT l_partkey AS target, l_suppkey AS observer, min(CAST(l_quantity AS BIGINT)) AS d FROM lineitem GROUP BY 1, 2),
   t AS (SELECT p_partkey AS target, p_partkey % 7 + 1 AS owner, substr(p_brand, 1, 8) AS kind FROM part),
   r AS (SELECT s.*, owner, row_number() OVER (PARTITION BY s.target, observer <> owner ORDER BY observer) AS k FROM seen s JOIN t USING (target)),
