@@ -148,3 +148,15 @@ def test_large_surfaces_are_joined_with_the_same_result(spark, monkeypatch):
     monkeypatch.setattr(v, "small_surface", lambda four: None)
     joined = {r["k"]: (r["visible"], r["dist"]) for r in v.line_of_sight(rays, g.corners(cells), grid, ["k"]).collect()}
     assert marched == joined and 50 < sum(x for x, _ in marched.values()) < 350
+
+
+def test_permutations_are_not_rotations(spark):
+    """Draws of one seed differ in what stands next to what, and each label is dealt once."""
+    rows = spark.range(60).select(F.col("id"), F.col("id").alias("label"))
+    dealt = {}
+    for r in st.permuted(rows, "id", "label", 6, 3).collect():
+        dealt.setdefault(r["draw"], {})[r["id"]] = r["other"]
+    assert all(sorted(d.values()) == list(range(60)) for d in dealt.values())
+    follows = [{(d[k], d[k + 1]) for k in range(59)} for d in dealt.values()]
+    assert all(len(a & b) < 12 for i, a in enumerate(follows) for b in follows[:i])
+    assert all(sum(d[k + 1] > d[k] for k in range(59)) < 45 for d in dealt.values())

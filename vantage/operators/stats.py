@@ -35,13 +35,13 @@ def mixture_fit(observed: DataFrame, steps: int) -> DataFrame:
 
 
 def mix_hash(*parts: Column) -> Column:
-    """A 31-bit hash of whole numbers by multiplication and remainder, the same in any engine."""
+    """A 31-bit hash of whole numbers, the same in any engine: a sum by powers of one factor, then squared twice, as without that the hashes of neighbours would be in their own order."""
     prime = 2147483647
     out = F.lit(17).cast("bigint")
     for p in parts:
         out = (out * 48271 + p.cast("bigint") % prime + 11) % prime
-        out = (out * 16807 + 7) % prime
-    return out
+    out = (out * out + 7) % prime * 16807 % prime
+    return (out * out + 7) % prime
 
 
 def permuted(rows: DataFrame, key: str, label: str, draws: int, seed: int | None = None) -> DataFrame:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from vantage.operators import grid as g
 from vantage.operators import ledger as lg
 from vantage.operators import metrics as m
+from vantage.operators import nulls as nl
+from vantage.operators import solids as sd
 from vantage.operators import stats as st
 from vantage.operators import visibility as v
+from vantage.operators.scratch import kept
 from vantage.session import table
 
 from .scenes import DEM_SQL, GRID, dem, eyes, los_sql, mixed
@@ -168,28 +171,45 @@ def downhill_null(spark, sf_dir):
     return p.select("seen", "n", "reached", "total", F.rint((F.col("reached") + 1) / (F.col("n") + 1) * 1e9).cast("long").alias("p_e9"))
 
 
-def _stations(spark, sf_dir):
-    """Where one looks from and at for each supplier and wall: eye, wall, sx, sy, sz, and the target's tx, ty, tz."""
+HALF, STAND, INSET, JAMB, HEAD, REACH, DRAWS = 1.13, 0.75, 0.5, 0.31, 2.03, 7.0, 5
+
+
+def _chapels(spark, sf_dir):
+    """Things that face somewhere: a place for each supplier (place, px, py, floor), who stands there (id, wall), stations and targets of every place and wall, shells of every thing and wall about the origin, and the ground."""
     heights = dem(spark, sf_dir)
-    e = eyes(spark, sf_dir, heights)
-    off = F.array(*(F.struct(F.lit(w).alias("wall"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for w, (x, y) in enumerate(((1.25, 0.0), (0.0, 1.25), (-1.25, 0.0), (0.0, -1.25)))))
-    s = e.withColumn("o", F.explode(off)).select("eye", F.col("o.wall").alias("wall"), (F.col("ex") + F.col("o.dx")).alias("sx"), (F.col("ey") + F.col("o.dy")).alias("sy"), (F.col("ez") + 0.5).alias("sz"), F.col("ex").alias("tx"), F.col("ey").alias("ty"), (F.col("ez") + 0.25).alias("tz"))
-    return s, g.corners(heights)
+    places = eyes(spark, sf_dir, heights, 0.0).select(F.col("eye").alias("place"), F.col("ex").alias("px"), F.col("ey").alias("py"), F.col("ez").alias("floor"))
+    out = F.array(*(F.struct(F.lit(w).alias("wall"), F.lit(x).alias("ox"), F.lit(y).alias("oy")) for w, (x, y) in enumerate(((0.0, -1.0), (1.0, 0.0), (0.0, 1.0), (-1.0, 0.0)))))
+    at = places.withColumn("o", F.explode(out))
+    to = lambda far: [(F.col("p" + k) + F.col(f"o.o{k}") * far) for k in "xy"]
+    stations = at.select("place", F.col("o.wall").alias("wall"), *(c.alias(n) for c, n in zip([*to(HALF + STAND), *to(HALF - INSET)], ("sx", "sy", "tx", "ty"))), (F.col("floor") + 1.6).alias("sz"), (F.col("floor") + 1.1).alias("tz"))
+    k = F.col("place")
+    who = places.select(k.alias("id"), (k * 7 % 11 % 4).cast("int").alias("wall"))
+    ring = F.array(*(F.struct(F.lit(w).alias("wall"), *(F.lit(v * HALF).alias(n) for v, n in zip(c, ("x0", "y0", "x1", "y1")))) for w, c in enumerate(((-1, -1, 1, -1), (1, -1, 1, 1), (1, 1, -1, 1), (-1, 1, -1, -1)))))
+    walls = places.select(k.alias("id"), F.explode(F.array(*map(F.lit, range(4)))).alias("front"), F.explode(ring).alias("w")).select("id", "front", "w.*", F.lit(0.0).alias("zb"), (2.57 + F.col("id") % 4 * 0.4).alias("zt"))
+    gap = 0.43 + F.col("id") % 3 * 0.21
+    doors = walls.where("wall = front").select("id", "front", "wall", (HALF - gap).alias("s0"), (HALF + gap).alias("s1"), F.lit(0.0).alias("z0"), F.lit(HEAD).alias("z1"), F.lit(None).cast("double").alias("pocket"))
+    shells = sd.shell(walls, doors, ["id", "front"], JAMB).select("id", F.col("front").alias("wall"), F.lit(0).alias("tri"), *(p + c for p in "abc" for c in "xyz"))
+    return places, who, stations, shells, g.corners(heights)
+
+
+def _null_draws(spark, sf_dir):
+    places, who, stations, shells, four = _chapels(spark, sf_dir)
+    drawn = kept(nl.draws(who, DRAWS))
+    return nl.counted(drawn, kept(nl.ground_sights(stations, four, GRID, REACH)), kept(shells), places)
 
 
 def null_sights(spark, sf_dir):
-    """V, the ordered pairs of suppliers within 5 of which one's station sees the other's target, as observed and under two nulls of three draws: walls drawn freely (n1), walls dealt anew (n2)."""
-    stations, four = _stations(spark, sf_dir)
-    who = stations.select("eye").distinct().withColumn("wall", (F.col("eye") % 4).cast("int"))
-    observed = who.select(F.lit("observed").alias("model"), F.lit(0).cast("long").alias("draw"), "eye", "wall")
-    free = who.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(F.lit("n1").alias("model"), F.col("draw").cast("long").alias("draw"), "eye", (st.mix_hash(F.lit(1), F.col("draw"), F.col("eye")) % 4).cast("int").alias("wall"))
-    dealt = st.permuted(who, "eye", "wall", 3, 2).select(F.lit("n2").alias("model"), "draw", "eye", F.col("other").alias("wall"))
-    sight = v.observer_sights(stations, four, GRID, 5.0)
-    drawn = observed.unionByName(free).unionByName(dealt)
-    return drawn.join(sight, ["eye", "wall"]).groupBy("model", "draw").agg(F.count_if("visible").alias("v"), F.count("*").alias("pairs"))
+    """Of pairs within reach, how many are open over the ground and seen past all shells: as observed, and in draws that deal walls (n1), places (n2) and both (n3) anew."""
+    return _null_draws(spark, sf_dir)
+
 
+def null_tests(spark, sf_dir):
+    """How the observed count stands among each model's draws."""
+    out = nl.against_observed(_null_draws(spark, sf_dir))
+    return out.select("model", "n", "n_ge", F.rint(F.col("p") * 1e9).cast("long").alias("p_e9"), F.rint(F.col("p_holm") * 1e9).cast("long").alias("p_holm_e9"), *(F.rint(F.col(c) * 4).cast("long").alias(f"{c}_x4") for c in ("median", "q1", "q3")), F.rint(F.col("effect") * 1e6).cast("long").alias("effect_e6"), "reject")
 
-QUERIES = {f.__name__: f for f in (ground_metrics, best_mean, coerced_ids, scene_counts, dome_radius, median_shortfall, feature_rollup, kind_totals, pixel_shares, sampled_rows, duplicate_claims, common_ids, captions_near, sweep_grid, page_lines, clustered_boxes, ink_runs, bars_found, check_ledger, run_fingerprints, downhill_null, null_sights)}
+
+QUERIES = {f.__name__: f for f in (ground_metrics, best_mean, coerced_ids, scene_counts, dome_radius, median_shortfall, feature_rollup, kind_totals, pixel_shares, sampled_rows, duplicate_claims, common_ids, captions_near, sweep_grid, page_lines, clustered_boxes, ink_runs, bars_found, check_ledger, run_fingerprints, downhill_null, null_sights, null_tests)}
 
 ROLLUP_SQL = """seen AS (SELECT l_partkey AS target, l_suppkey AS observer, min(CAST(l_quantity AS BIGINT)) AS d FROM lineitem GROUP BY 1, 2),
   t AS (SELECT p_partkey AS target, p_partkey % 7 + 1 AS owner, substr(p_brand, 1, 8) AS kind FROM part),
@@ -236,10 +256,42 @@ ORACLES = {
       d AS (SELECT draw, aspect, row_number() OVER (PARTITION BY draw ORDER BY {mixed('5', 'draw', 'k')}, k) AS i FROM r, range(30) t(draw)),
       v AS (SELECT draw, count(*) FILTER (least((door - d.aspect + 720) % 360, 360 - (door - d.aspect + 720) % 360) <= 45) AS v FROM o JOIN d USING (i) GROUP BY draw), s AS (SELECT count(*) FILTER (least((door - aspect + 720) % 360, 360 - (door - aspect + 720) % 360) <= 45) AS seen FROM r)
       SELECT seen, count(*) AS n, count(*) FILTER (v >= seen) AS reached, CAST(sum(v) AS BIGINT) AS total, CAST(round_even((count(*) FILTER (v >= seen) + 1) / (count(*) + 1.0::DOUBLE) * 1e9, 0) AS BIGINT) AS p_e9 FROM v, s GROUP BY seen""",
-    "null_sights": f"""WITH {DEM_SQL}, st AS (SELECT eye, w AS wall, ex + [1.25::DOUBLE, 0, -1.25::DOUBLE, 0][w + 1] AS sx, ey + [0, 1.25::DOUBLE, 0, -1.25::DOUBLE][w + 1] AS sy, ez + 0.5::DOUBLE AS sz FROM eyes, range(4) t(w)),
-      look AS (SELECT a.eye, a.wall, b.eye AS other, a.sx AS ex, a.sy AS ey, a.sz AS ez, b.ex AS tx, b.ey AS ty, b.ez + 0.25::DOUBLE AS tz FROM st a JOIN eyes b ON a.eye <> b.eye AND (b.ex - a.sx) * (b.ex - a.sx) + (b.ey - a.sy) * (b.ey - a.sy) <= 25), {los_sql('look', 'eye, wall, other')},
-      who AS (SELECT eye, eye % 4 AS wall FROM eyes), o AS (SELECT eye, wall, row_number() OVER (ORDER BY eye) AS i FROM who),
-      p AS (SELECT draw, wall, row_number() OVER (PARTITION BY draw ORDER BY {mixed('2', 'draw', 'eye')}, eye) AS i FROM who, range(3) t(draw)),
-      drawn AS (SELECT 'observed' AS model, 0 AS draw, eye, wall FROM who UNION ALL SELECT 'n1', draw, eye, {mixed('1', 'draw', 'eye')} % 4 FROM who, range(3) t(draw) UNION ALL SELECT 'n2', draw, o.eye, p.wall FROM o JOIN p USING (i))
-      SELECT model, CAST(draw AS BIGINT) AS draw, count(*) FILTER (visible) AS v, count(*) AS pairs FROM drawn JOIN seen USING (eye, wall) GROUP BY 1, 2""",
 }
+
+
+def _dealt_sql(name: str, label: str, seed: int) -> str:
+    return f"""{name} AS (SELECT draw, o.id, p.label FROM (SELECT id, row_number() OVER (ORDER BY id) AS i FROM who) o
+      JOIN (SELECT draw, {label} AS label, row_number() OVER (PARTITION BY draw ORDER BY {mixed(str(seed), 'draw', 'id')}, id) AS i FROM who, range({DRAWS}) t(draw)) p USING (i))"""
+
+
+NULL_SQL = f"""{DEM_SQL}, places AS (SELECT eye AS place, ex AS px, ey AS py, ez - 1.6::DOUBLE AS floor FROM (SELECT eye, pc + 0.5::DOUBLE AS ex, -(pr + 0.5::DOUBLE) AS ey, z + 1.6::DOUBLE AS ez, z FROM spots JOIN dem ON r = pr AND c = pc WHERE z IS NOT NULL)
+), faces AS (SELECT * FROM (VALUES (0, 0, -1), (1, 1, 0), (2, 0, 1), (3, -1, 0)) f(wall, ox, oy)
+), who AS (SELECT place AS id, place * 7 % 11 % 4 AS wall FROM places
+), ground AS (SELECT place, z AS floor FROM (SELECT eye AS place, z FROM spots JOIN dem ON r = pr AND c = pc WHERE z IS NOT NULL)
+), st AS (SELECT place, wall, px + ox * {HALF + STAND}::DOUBLE AS sx, py + oy * {HALF + STAND}::DOUBLE AS sy, g.floor + 1.6::DOUBLE AS sz, px + ox * {HALF - INSET}::DOUBLE AS tx, py + oy * {HALF - INSET}::DOUBLE AS ty, g.floor + 1.1::DOUBLE AS tz FROM places JOIN ground g USING (place), faces
+), look AS (SELECT a.place, a.wall, b.place AS at_, b.wall AS at_wall, a.sx AS ex, a.sy AS ey, a.sz AS ez, b.tx, b.ty, b.tz FROM st a JOIN st b ON a.place <> b.place AND (b.tx - a.sx) * (b.tx - a.sx) + (b.ty - a.sy) * (b.ty - a.sy) <= {REACH * REACH}
+), {los_sql('look', 'place, wall, at_, at_wall')},
+{_dealt_sql('w1', 'wall', 1)}, {_dealt_sql('p2', 'id', 2)}, {_dealt_sql('w3', 'wall', 3)},
+drawn AS (SELECT 'observed' AS model, 0 AS draw, id, wall, id AS place FROM who UNION ALL SELECT 'n1', draw, id, label, id FROM w1 UNION ALL SELECT 'n2', draw, p2.id, wall, label FROM p2 JOIN who USING (id)
+  UNION ALL SELECT 'n3', p2.draw, p2.id, w3.label, p2.label FROM p2 JOIN w3 USING (draw, id)
+), sight AS (SELECT a.model, a.draw, a.id, b.id AS other, s.* FROM drawn a JOIN seen s ON s.place = a.place AND s.wall = a.wall JOIN drawn b ON b.model = a.model AND b.draw = a.draw AND b.place = s.at_ AND b.wall = s.at_wall
+), kinds AS (SELECT id, 2.57::DOUBLE + id % 4 * 0.4::DOUBLE AS h, 0.43::DOUBLE + id % 3 * 0.21::DOUBLE AS w FROM who
+), spans AS (SELECT d.model, d.draw, d.id, d.place, f.*, h, w, unnest(CASE WHEN f.wall = d.wall THEN [{{'a': -{HALF}::DOUBLE, 'b': -w, 'l': 0.0::DOUBLE}}, {{'a': w, 'b': {HALF}::DOUBLE, 'l': 0.0::DOUBLE}}, {{'a': -w, 'b': w, 'l': {HEAD}::DOUBLE}}] ELSE [{{'a': -{HALF}::DOUBLE, 'b': {HALF}::DOUBLE, 'l': 0.0::DOUBLE}}] END) AS s
+  FROM drawn d JOIN kinds USING (id), faces f
+), plates AS (
+  SELECT model, draw, place, CASE WHEN ox <> 0 THEN 'x' ELSE 'y' END AS axis, CASE WHEN ox <> 0 THEN ox * {HALF}::DOUBLE ELSE s.a END AS x0, CASE WHEN ox <> 0 THEN ox * {HALF}::DOUBLE ELSE s.b END AS x1, CASE WHEN oy <> 0 THEN oy * {HALF}::DOUBLE ELSE s.a END AS y0, CASE WHEN oy <> 0 THEN oy * {HALF}::DOUBLE ELSE s.b END AS y1, s.l AS z0, h AS z1 FROM spans
+  UNION ALL SELECT model, draw, place, CASE WHEN side = 0 THEN 'z' WHEN ox <> 0 THEN 'y' ELSE 'x' END,
+    CASE WHEN ox <> 0 THEN least(ox * {HALF}::DOUBLE, ox * {HALF - JAMB}::DOUBLE) WHEN side = 0 THEN -w ELSE side * w END, CASE WHEN ox <> 0 THEN greatest(ox * {HALF}::DOUBLE, ox * {HALF - JAMB}::DOUBLE) WHEN side = 0 THEN w ELSE side * w END,
+    CASE WHEN oy <> 0 THEN least(oy * {HALF}::DOUBLE, oy * {HALF - JAMB}::DOUBLE) WHEN side = 0 THEN -w ELSE side * w END, CASE WHEN oy <> 0 THEN greatest(oy * {HALF}::DOUBLE, oy * {HALF - JAMB}::DOUBLE) WHEN side = 0 THEN w ELSE side * w END,
+    CASE WHEN side = 0 THEN {HEAD}::DOUBLE ELSE 0.0::DOUBLE END, {HEAD}::DOUBLE FROM drawn d JOIN kinds USING (id) JOIN faces f ON f.wall = d.wall, (VALUES (-1), (0), (1)) t(side)
+), placed AS (SELECT model, draw, axis, px + x0 AS x0, px + x1 AS x1, py + y0 AS y0, py + y1 AS y1, g.floor + z0 AS z0, g.floor + z1 AS z1 FROM plates JOIN places USING (place) JOIN ground g USING (place)
+), crossed AS (SELECT s.model, s.draw, id, other, axis, x0, x1, y0, y1, z0, z1, ex, ey, ez, tx, ty, tz, sqrt((tx - ex) * (tx - ex) + (ty - ey) * (ty - ey) + (tz - ez) * (tz - ez)) AS len,
+    CASE axis WHEN 'x' THEN (x0 - ex) / nullif(tx - ex, 0) WHEN 'y' THEN (y0 - ey) / nullif(ty - ey, 0) ELSE (z0 - ez) / nullif(tz - ez, 0) END AS t
+  FROM sight s JOIN placed p ON visible AND p.model = s.model AND p.draw = s.draw AND greatest(ex, tx) >= x0 AND least(ex, tx) <= x1 AND greatest(ey, ty) >= y0 AND least(ey, ty) <= y1
+), cut AS (SELECT DISTINCT model, draw, id, other FROM crossed WHERE t * len > 0 AND t * len < len - 0.05 AND (axis = 'x' OR ex + t * (tx - ex) BETWEEN x0 AND x1) AND (axis = 'y' OR ey + t * (ty - ey) BETWEEN y0 AND y1) AND (axis = 'z' OR ez + t * (tz - ez) BETWEEN z0 AND z1)
+), counted AS (SELECT model, CAST(draw AS BIGINT) AS draw, count(*) AS pairs, count(*) FILTER (visible) AS open, count(*) FILTER (visible AND cut.id IS NULL) AS v FROM sight LEFT JOIN cut USING (model, draw, id, other) GROUP BY ALL)"""
+ORACLES["null_sights"] = f"WITH {NULL_SQL} SELECT * FROM counted"
+ORACLES["null_tests"] = f"""WITH {NULL_SQL}, o AS (SELECT v AS seen FROM counted WHERE model = 'observed'), m AS (SELECT model, seen, count(*) AS n, count(*) FILTER (v >= seen) AS n_ge, median(v) AS md, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM counted, o WHERE model <> 'observed' GROUP BY model, seen),
+  r AS (SELECT *, (n_ge + 1) / (n + 1.0::DOUBLE) AS p FROM m), k AS (SELECT *, max(least(1.0::DOUBLE, (4 - i) * p)) OVER (ORDER BY i) AS ph FROM (SELECT *, row_number() OVER (ORDER BY p, model) AS i FROM r))
+  SELECT model, n, n_ge, CAST(round_even(p * 1e9, 0) AS BIGINT) AS p_e9, CAST(round_even(ph * 1e9, 0) AS BIGINT) AS p_holm_e9, CAST(round_even(md * 4, 0) AS BIGINT) AS median_x4, CAST(round_even(q1 * 4, 0) AS BIGINT) AS q1_x4, CAST(round_even(q3 * 4, 0) AS BIGINT) AS q3_x4,
+    CAST(round_even((seen - md) / nullif(q3 - q1, 0) * 1e6, 0) AS BIGINT) AS effect_e6, ph <= 0.05 AS reject FROM k"""

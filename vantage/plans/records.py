@@ -11,7 +11,7 @@ from vantage.operators import spatial as sp
 from vantage.operators import stats as st
 from vantage.session import table
 
-from .scenes import DEM_SQL, GRID, dem, rectangles
+from .scenes import DEM_SQL, GRID, dem, mixed, rectangles
 
 POINTS_SQL = "pts AS (SELECT c_custkey AS k, c_custkey * 131 % 6007 / 100.0::DOUBLE + 0.003 AS px, -(c_custkey * 293 % 6011 / 100.0::DOUBLE) - 0.003 AS py FROM customer)"
 EDGES_SQL = """edges AS (SELECT id, 0 AS e, x0, y0, x1, y0 AS y1 FROM rects UNION ALL SELECT id, 1, x1, y0, x1, y1 FROM rects
@@ -362,8 +362,7 @@ ORACLES = {
       l AS (SELECT id, round(sum(n * ln(w * (k / 15.0::DOUBLE) + (1 - w) * 0.2::DOUBLE)), 6) AS ll FROM c, w GROUP BY id) SELECT CAST(round_even(id / 200.0::DOUBLE * 1000, 0) AS BIGINT) AS w_e3 FROM l ORDER BY ll DESC, id LIMIT 1""",
     "holm_adjust": """WITH p AS (SELECT CAST(c_nationkey AS VARCHAR) AS name, (sum(c_custkey) % 997 + 1) / 20000.0::DOUBLE AS p FROM customer GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, name) - 1 AS i, count(*) OVER () AS m FROM p),
       a AS (SELECT name, max(least(1.0::DOUBLE, (m - i) * p)) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING) AS h FROM r) SELECT name, CAST(round_even(h * 1e9, 0) AS BIGINT) AS p_holm_e9, h <= 0.05::DOUBLE AS reject FROM a""",
-    "permutation_null": """WITH d AS (SELECT draw, s_suppkey, s_nationkey, ((17 * 48271 + draw + 11) % 2147483647 * 16807 + 7) % 2147483647 AS h FROM supplier, range(40) t(draw)),
-      h AS (SELECT draw, s_suppkey, s_nationkey, ((h * 48271 + s_suppkey % 2147483647 + 11) % 2147483647 * 16807 + 7) % 2147483647 AS h FROM d),
+    "permutation_null": f"""WITH h AS (SELECT draw, s_suppkey, s_nationkey, {mixed('draw', 's_suppkey')} AS h FROM supplier, range(40) t(draw)),
       a AS (SELECT draw, s_nationkey AS a, row_number() OVER (PARTITION BY draw ORDER BY s_suppkey) AS k FROM h), b AS (SELECT draw, s_nationkey AS b, row_number() OVER (PARTITION BY draw ORDER BY h, s_suppkey) AS k FROM h)
       SELECT draw, count(*) FILTER (a = b) AS v FROM a JOIN b USING (draw, k) GROUP BY draw""",
     "sequential_stop": """WITH r AS (SELECT o_custkey, row_number() OVER w AS k, sum(CASE WHEN o_totalprice >= 150000 THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS cum FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),

@@ -41,15 +41,13 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("id"), x0.alias("x0"), y0.alias("y0"), (x0 + 1 + s % 4).alias("x1"), (y0 + 1 + s % 3).alias("y1"), (s % 7 + 1).cast("double").alias("height"))
 
 
-MIX = "((({h}) * 48271 + {x} % 2147483647 + 11) % 2147483647 * 16807 + 7) % 2147483647"
-
-
 def mixed(*parts: str) -> str:
     """mix_hash() of whole numbers in SQL."""
     out = "17::BIGINT"
     for p in parts:
-        out = MIX.format(h=out, x=f"CAST({p} AS BIGINT)")
-    return out
+        out = f"(({out}) * 48271 + CAST({p} AS BIGINT) % 2147483647 + 11) % 2147483647"
+    out = f"(({out}) * ({out}) + 7) % 2147483647 * 16807 % 2147483647"
+    return f"((({out}) * ({out}) + 7) % 2147483647)"
 
 
 DEM_SQL = f"""
