@@ -67,7 +67,17 @@ def test_page_marks_follow_the_pen(spark):
     streams = spark.createDataFrame([("p", 0, bytearray(content)), ("p", 1, None)], "path string, stream int, content binary")
     rows = d.page_marks(streams, {0x41: "A", 0x42: "B"}).collect()
     assert [(r["ax"], r["ay"], r["bx"], r["by"]) for r in rows if r["kind"] == "segment"] == [(12, 22, 16, 22), (16, 22, 16, 28), (16, 28, 12, 22), (0, 0, 5, 0)]
-    assert [(r["text"], r["ax"], r["ay"]) for r in rows if r["kind"] == "label"] == [("AB?", 7, 8)]
+    assert [(r["text"], r["ax"], r["ay"]) for r in rows if r["kind"] == "label"] == [("AB\ufffd", 7, 8)]
+
+
+def test_page_marks_by_tokens():
+    """Several operators in a line, comments, strings with brackets, rectangles, curves' chords, moved text, and what is no number."""
+    from vantage.sources import drawings as d
+
+    content = b"q 1 0 0 1 5 5 cm 0 0 m 1 0 l (a \\) (b) l 9) Tj S Q % 7 7 l\n1 2 3 4 re x.y 4 l 0 0 m 1 1 2 2 9 3 c h\nBT 3 4 Td 1 1 TD <0041>Tj [<00 42> -20 <0043>]TJ ET 5 l"
+    got = list(d.marks_of(content, {0x41: "A", 0x42: "B", 0x43: "C"}))
+    assert [m[2:] for m in got if m[0] == "segment"] == [(5, 5, 6, 5), (1, 2, 4, 2), (4, 2, 4, 6), (4, 6, 1, 6), (1, 6, 1, 2), (0, 0, 9, 3), (9, 3, 0, 0)]
+    assert [m[1:4] for m in got if m[0] == "label"] == [("ABC", 4, 5)]
 
 
 def test_vector_tables(spark):
