@@ -268,3 +268,46 @@ def test_contexts_find_what_no_pattern_does(spark):
     near = {r["doc_id"]: [s for s in r["s"].split(",") if s.startswith("near")] for r in got}
     assert sum(near[i] == [s] for i, s in hidden.items()) >= 0.9 * len(hidden) > 0
     assert not [i for i, s in near.items() if s and i not in hidden]
+
+
+# earlier operators' limits
+
+
+def test_two_hundred_languages_with_switches():
+    """Labels from the 129th on survive a change of language."""
+    from vantage.llm import langid
+
+    scores = np.full((12, 200), -20.0)
+    for word, label in enumerate([150] * 6 + [199] * 6):
+        scores[word, label] = 0.0
+    assert langid.viterbi(scores, np.array([0, 12])).tolist() == [150] * 6 + [199] * 6
+
+
+def test_few_vectors_have_several_annuli(spark, monkeypatch):
+    """2,000 vectors lie in several annuli of each pivot, bounds leave some out, and the result is brute force's."""
+    from vantage.llm import topk
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 6)) * 8
+    x = centres[rng.integers(0, 30, 2000)] + rng.normal(size=(2000, 6)) * 0.3
+    table = spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    kept, real = {}, topk.keep
+
+    def keep(df, tag):
+        kept.setdefault(tag, []).append(real(df, tag))
+        return kept[tag][-1]
+
+    monkeypatch.setattr(topk, "keep", keep)
+    vectors = topk.whole_vectors(table)
+    got = defaultdict(list)
+    for r in topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    whole = np.floor(64 * x).astype(np.int64)
+    for q in range(0, 2000, 20):
+        score = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(2000), -score)) if i != q][:20]
+        assert got[q] == [(i, score[i]) for i in order]
+    cells = kept["vector-blocks"][0].select("cell").distinct().count()
+    sizes = kept["vector-blocks"][0].groupBy("cell").agg(F.sum(F.length("ids") / 8).alias("n"))
+    pairs = sum(a.join(sizes, "cell").agg(F.sum(F.col("n") * F.length("q_rids") / 8)).first()[0] or 0 for a in kept["query-asks"])
+    assert cells > 60 and pairs < 0.8 * 2000 * 100

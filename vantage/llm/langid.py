@@ -122,7 +122,7 @@ def viterbi(scores: np.ndarray, firsts: np.ndarray, switch: float = SWITCH) -> n
     source = np.empty(len(text), np.int64)
     source[place] = begins[text] + step
     s = scores.astype(np.float32)[source]
-    stays, bests = np.ones(s.shape, bool), np.zeros(len(s), np.int8)
+    stays, bests = np.ones(s.shape, bool), np.zeros(len(s), np.min_scalar_type(s.shape[1]))
     value = s[: active[0]].copy()
     for t in range(1, steps):
         a, b = bases[t], bases[t + 1]

@@ -46,7 +46,7 @@ BLOCK_ROWS, QUERY_ROWS = 4096, 512
 #: Annuli that a query has expanded to after each pass; the last takes all that the bounds leave.
 PASSES = (4, 64, PIVOTS * RINGS)
 #: Rows that an annulus should hold at least: few vectors get fewer pivots and annuli.
-CELL_ROWS = 128
+CELL_ROWS = 16
 SCALE = 64
 HIT = "query_rid long, query_id long, vec_id long, score long"
 
