@@ -30,13 +30,12 @@ def crop_to(dem: DataFrame, window: DataFrame, nodata: float | None = None) -> D
     return dem.join(F.broadcast(window.limit(1)), F.col("r").between(F.col("r0"), F.col("r1")) & F.col("c").between(F.col("c0"), F.col("c1"))).select("r", "c", z.alias("z"))
 
 
-def burn_polygons(edges: DataFrame, grid: Grid, value: str = "height") -> DataFrame:
-    """(r, c, id, value): each cell whose centre lies in a polygon, with the tallest polygon over it (smallest id of equals).
+def polygon_cells(edges: DataFrame, grid: Grid, key: list[str], *carried: str) -> DataFrame:
+    """key, carried columns, r, c: each cell whose centre lies in a polygon (key, x0, y0, x1, y1).
 
-    edges: id, x0, y0, x1, y1 and the value. Every edge is cut by the centre lines of the
-    rows it passes; a polygon's cuts of one line, sorted, are where it is entered and
-    left. So a polygon costs its height and area in cells, and no cell is held against a
-    polygon that isn't there.
+    Every edge is cut by the centre lines of the rows it passes; a polygon's cuts of one
+    line, sorted, are where it is entered and left. So a polygon costs its height and area
+    in cells, and no cell is held against a polygon that isn't there.
     """
     rf = lambda y: grid.row(y)
     a, b = F.least(rf(F.col("y0")), rf(F.col("y1"))), F.greatest(rf(F.col("y0")), rf(F.col("y1")))
@@ -44,10 +43,15 @@ def burn_polygons(edges: DataFrame, grid: Grid, value: str = "height") -> DataFr
     first, last = F.greatest(F.lit(0), F.floor(a) + 1).cast("int"), F.least(F.lit(grid.h - 1), F.floor(b)).cast("int")
     cut = edges.where("y0 <> y1").withColumns({"_f": first, "_l": last}).where("_f <= _l").withColumn("r", F.explode(F.sequence("_f", "_l")))
     x = F.col("x0") + (grid.y(F.col("r").cast("double")) - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
-    order = W.partitionBy("id", "r").orderBy("x")
+    order = W.partitionBy(*key, "r").orderBy("x")
     spans = cut.withColumn("x", x).withColumns({"_k": F.row_number().over(order), "out": F.lead("x").over(order)}).where("_k % 2 = 1 AND out IS NOT NULL")
     c0, c1 = F.greatest(F.lit(0), F.ceil(grid.column(F.col("x")))).cast("int"), F.least(F.lit(grid.w - 1), F.ceil(grid.column(F.col("out"))) - 1).cast("int")
-    cells = spans.withColumns({"_a": c0, "_b": c1}).where("_a <= _b").withColumn("c", F.explode(F.sequence("_a", "_b")))
+    return spans.withColumns({"_a": c0, "_b": c1}).where("_a <= _b").select(*key, *carried, "r", F.explode(F.sequence("_a", "_b")).alias("c"))
+
+
+def burn_polygons(edges: DataFrame, grid: Grid, value: str = "height") -> DataFrame:
+    """(r, c, id, value): each cell whose centre lies in a polygon (id, x0, y0, x1, y1, value), with the tallest polygon over it (smallest id of equals)."""
+    cells = polygon_cells(edges, grid, ["id"], value)
     return cells.groupBy("r", "c").agg(F.max_by("id", F.struct(F.col(value), -F.col("id"))).alias("id"), F.max(value).alias(value))
 
 
@@ -77,7 +81,8 @@ def nearest_fill(dem: DataFrame, widest: int = 1 << 20) -> DataFrame:
     """dem with missing heights taken from the nearest cell that has one; of equals the first by row, then column.
 
     Missing cells meet cells with data by tiles as wide as the reach; what is still open
-    goes on with twice the reach, so only the cells of wide holes meet many others.
+    goes on with twice the reach, so only the cells of wide holes meet many others. Cells
+    with no data within widest stay null; none is left out.
     """
     known = kept(dem.where("z IS NOT NULL").select("r", "c", "z"))
     open_cells, filled, reach = dem.where("z IS NULL").select("r", "c"), known, 2
@@ -91,7 +96,7 @@ def nearest_fill(dem: DataFrame, widest: int = 1 << 20) -> DataFrame:
         filled = filled.unionByName(found)
         open_cells = kept(open_cells.join(found, ["r", "c"], "left_anti"))
         reach *= 2
-    return filled
+    return filled.unionByName(open_cells.withColumn("z", F.lit(None).cast(known.schema["z"].dataType)))
 
 
 def slope_aspect(points: DataFrame, dem: DataFrame, grid: Grid, k: int = 5) -> DataFrame:
