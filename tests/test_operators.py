@@ -160,3 +160,49 @@ def test_permutations_are_not_rotations(spark):
     follows = [{(d[k], d[k + 1]) for k in range(59)} for d in dealt.values()]
     assert all(len(a & b) < 12 for i, a in enumerate(follows) for b in follows[:i])
     assert all(sum(d[k + 1] > d[k] for k in range(59)) < 45 for d in dealt.values())
+
+
+def test_closed_buildings_of_any_ring():
+    """Rectangles and bent rings with doors, windows over each other and pockets: no odd edge, and the walls' volume."""
+    from collections import Counter
+
+    import numpy as np
+
+    from vantage.operators import buildings as b
+
+    def volume(t):
+        t = np.array(t)
+        return float((t[:, 0] * np.cross(t[:, 1], t[:, 2])).sum() / 6)
+
+    def odd(t):
+        edges = Counter(frozenset((tri[i], tri[(i + 1) % 3])) for tri in ([tuple(round(v * 1e6) for v in p) for p in x] for x in t) for i in range(3))
+        return sum(n % 2 for n in edges.values())
+
+    holes = [(0, 1, 1.9, 0.05, 2.0, None), (1, 0.8, 1.4, 1, 1.6, None), (1, 1.1, 1.7, 1.8, 2.2, None), (2, 0.7, 1.3, 0.9, 1.3, 0.15), (3, 0.75, 1.25, 0.5, 1.1, 0.1)]
+    cut = 0.3 * (0.9 * 1.95 + 0.36 + 0.24) + 0.24 * 0.15 + 0.3 * 0.1
+    t = b.solid([(0, 0), (5, 0), (5, 4), (0, 4)], holes, 0.3, (3.0, -0.1, 0.05), 0.2)
+    assert not odd(t) and volume(t) == pytest.approx(20 * 2.85 - 4.4 * 3.4 * 2.65 - cut)
+    bent = [(0, 0), (6, 0), (6, 3), (3, 3), (3, 6), (0, 6)]
+    t = b.solid(bent, holes, 0.3, (3.0, 0.0, 0.0), 0.2)
+    inner = 5.4 * 2.4 + 2.4 * 3.0
+    assert not odd(t) and volume(t) == pytest.approx(27 * 3 - inner * 2.8 - cut)
+    d = b.dome(0.0, 0.0, 2.0, 1.5, 48, 24)
+    assert not odd(d) and volume(d) == pytest.approx(2 / 3 * np.pi * 1.5**3, rel=0.01)
+
+
+def test_volume_mesh_goes_to_a_file(spark, tmp_path):
+    """Three voxels as an indexed mesh: numbers without gaps, turned outwards, warped to the ground, written as PLY."""
+    from vantage.operators import raster as ra
+    from vantage.sources import writers as w
+
+    voxels = spark.createDataFrame([(2, 3, 0), (2, 4, 0), (3, 3, 0), (2, 3, 0)], "r int, c int, l int").distinct()
+    vertices, faces = ms.indexed_mesh(voxels)
+    assert sorted(r["v"] for r in vertices.collect()) == list(range(16)) and faces.count() == 28
+    n = ms.mesh_numbers(vertices.select("v", F.col("c").alias("x"), (-F.col("r")).alias("y"), F.col("l").alias("z")), faces).first()
+    assert (n["euler"], n["odd"], n["unpaired"]) == (2, 0, 0) and n["volume"] == pytest.approx(3.0)
+    ground = spark.createDataFrame([(r, c, 10.0 + c) for r in range(8) for c in range(8)], "r int, c int, z double")
+    placed = ra.to_world(vertices.select("v", *(F.col(x).cast("double").alias(x) for x in "rcl")), g.corners(ground), g.Grid(h=8, w=8), 0.5, 2.0)
+    assert {(r["x"], r["z"]) for r in placed.where("l = 0").collect()} == {(3.5, 13.5), (4.5, 14.5), (5.5, 15.5)}
+    w.write_lines(w.ply_mesh(placed.select("v", "x", "y", "z"), faces), str(tmp_path / "mesh"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "mesh")).collect()]
+    assert lines[2] == "element vertex 16" and lines[6] == "element face 28" and len(lines) == 9 + 16 + 28

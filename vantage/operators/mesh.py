@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ledger import numbered
+from .scratch import kept
+
 EPS_DET, EPS_BARY, BACK = 1e-9, 1e-6, 0.05
 
 
@@ -134,6 +137,42 @@ def voxel_faces(voxels: DataFrame) -> DataFrame:
     return beside.join(filled, ["nr", "nc", "nl"], "left_anti").drop("nr", "nc", "nl")
 
 
+#: Corners of a voxel's faces, counter-clockwise from outside, as steps from (r, c, l) on; rows run against y.
+FACE_CORNERS = {("c", 1): ((1, 1, 0), (0, 1, 0), (0, 1, 1), (1, 1, 1)), ("c", -1): ((0, 0, 0), (1, 0, 0), (1, 0, 1), (0, 0, 1)), ("r", -1): ((0, 1, 0), (0, 0, 0), (0, 0, 1), (0, 1, 1)), ("r", 1): ((1, 0, 0), (1, 1, 0), (1, 1, 1), (1, 0, 1)), ("l", 1): ((1, 0, 1), (1, 1, 1), (0, 1, 1), (0, 0, 1)), ("l", -1): ((1, 0, 0), (0, 0, 0), (0, 1, 0), (1, 1, 0))}
+
+
+def indexed_mesh(voxels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The closed surface of voxels (r, c, l): vertices (v, r, c, l), numbered from 0 without gaps in order of their place, and triangles (a, b, d) by vertex number, turned outwards.
+
+    Numbers come from a sort by ranges and the ranges' sizes, so no task sees all vertices.
+    """
+    faces = kept(voxel_faces(voxels).withColumn("face", F.xxhash64("r", "c", "l", "axis", "side")))
+    steps = F.array(*(F.struct(F.lit(a).alias("axis"), F.lit(s).alias("side"), F.array(*(F.struct(*(F.lit(d).alias(k) for d, k in zip(p, "rcl"))) for p in ps)).alias("at")) for (a, s), ps in FACE_CORNERS.items()))
+    own = F.filter(steps, lambda x: (x["axis"] == F.col("axis")) & (x["side"] == F.col("side")))
+    corners = faces.withColumn("_at", F.get(own, 0)["at"]).select(F.struct("r", "c", "l", "axis", "side").alias("face"), "r", "c", "l", F.posexplode("_at").alias("k", "d")).select("face", "k", *((F.col(x) + F.col(f"d.{x}")).cast("int").alias(x) for x in "rcl"))
+    corners = kept(corners)
+    every = numbered(corners.select("r", "c", "l").distinct().withColumn("_all", F.lit(0)), ["_all"], ["r", "c", "l"], "v").drop("_all")
+    vertices = kept(every.withColumn("v", (F.col("v") - 1).cast("long")))
+    quads = corners.join(vertices, ["r", "c", "l"]).groupBy("face").agg(*(F.max(F.when(F.col("k") == k, F.col("v"))).alias(f"v{k}") for k in range(4)))
+    both = F.array(*(F.struct(*(F.col(f"v{x}").alias(n) for x, n in zip(t, "abd"))) for t in ((0, 1, 2), (0, 2, 3))))
+    return vertices, quads.select(F.explode(both).alias("t")).select("t.*")
+
+
+def mesh_numbers(vertices: DataFrame, faces: DataFrame, at: tuple[str, str, str] = ("x", "y", "z")) -> DataFrame:
+    """One row about an indexed mesh: vertices, edges, faces, euler (vertices - edges + faces), odd (edges of an odd number of triangles), unpaired (edges not run through once each way for each pair of triangles) and signed volume."""
+    ends = F.array(*(F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"), F.when(F.col(p) < F.col(q), 1).otherwise(-1).alias("way")) for p, q in (("a", "b"), ("b", "d"), ("d", "a"))))
+    edges = faces.select(F.explode(ends).alias("e")).groupBy("e.p", "e.q").agg(F.count("*").alias("n"), F.sum("e.way").alias("way"))
+    sums = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("n") % 2 == 1).alias("odd"), F.count_if(F.col("way") != 0).alias("unpaired"))
+    low = vertices.agg(*(F.avg(c).alias(f"_m{k}") for k, c in enumerate(at)))
+    place = vertices.join(F.broadcast(low)).select("v", *((F.col(c) - F.col(f"_m{k}")).alias(f"_{k}") for k, c in enumerate(at)))
+    t = faces
+    for n in "abd":
+        t = t.join(place.select(F.col("v").alias(n), *(F.col(f"_{k}").alias(f"{n}{k}") for k in range(3))), n)
+    volume = _dot(tuple(F.col(f"a{k}") for k in range(3)), _cross(tuple(F.col(f"b{k}") for k in range(3)), tuple(F.col(f"d{k}") for k in range(3)))) / 6
+    sized = t.agg(F.count("*").alias("faces"), F.coalesce(F.sum(volume), F.lit(0.0)).alias("volume"))
+    return vertices.agg(F.count("*").alias("vertices")).join(sums).join(sized).withColumn("euler", F.col("vertices") - F.col("edges") + F.col("faces"))
+
+
 def crosses_opening(s0: str = "s0", s1: str = "s1", z0: str = "z0", z1: str = "z1") -> Column:
     """Whether a segment passes a wall's opening: rows hold the wall point (wx, wy), its tangent (ux, uy), thickness, and the opening's span and heights. The plane is tested at the wall's outer face and, if it is thick, at the inner one."""
 
