@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .grid import Grid
+from .grid import Grid, bilinear
 from .scratch import kept
 from .visibility import bearing, line_of_sight, small_surface
 
@@ -118,6 +118,26 @@ def envelope(stands: DataFrame, targets: DataFrame, four: DataFrame, grid: Grid,
     return line_of_sight(rays, four, grid, [scene, *keys, "t"]).groupBy(scene, *keys).agg(F.avg(F.col("visible").cast("double")).alias("share"), F.count("*").alias("n"))
 
 
+def polar_envelope(frames: DataFrame, targets: DataFrame, four: DataFrame, grid: Grid, scene: str, ranges: tuple[float, ...], angles: tuple[float, ...], eye: float) -> DataFrame:
+    """Of standing points at all ranges and angles before each door: scene, range, angle, share of the targets seen, and widest, the largest angle in plan between the door's axis and a ray that is let through; null on unknown ground.
+
+    frames: scene, x, y (the door), nx, ny (its outward normal); targets: scene, t, tx, ty,
+    tz. Angles are degrees from the normal, positive to its left.
+    """
+    polar = F.array(*(F.struct(F.lit(float(r)).alias("range"), F.lit(float(a)).alias("angle")) for r in ranges for a in angles))
+    turn = F.radians("angle")
+    stands = frames.select(scene, "x", "y", "nx", "ny", F.explode(polar).alias("_p")).select(scene, "x", "y", "nx", "ny", "_p.range", "_p.angle")
+    dx, dy = F.col("nx") * F.cos(turn) - F.col("ny") * F.sin(turn), F.col("nx") * F.sin(turn) + F.col("ny") * F.cos(turn)
+    stands = bilinear(stands.withColumns({"ex": F.col("x") + F.col("range") * dx, "ey": F.col("y") + F.col("range") * dy}), four, grid, "ex", "ey", "ground")
+    at = [scene, "range", "angle"]
+    rays = stands.where("ground IS NOT NULL").select(*at, "ex", "ey", (F.col("ground") + eye).alias("ez"), "nx", "ny").join(targets, scene)
+    seen = line_of_sight(rays, four, grid, [*at, "t"])
+    along = (F.col("ex") - F.col("tx")) * F.col("nx") + (F.col("ey") - F.col("ty")) * F.col("ny")
+    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(along, F.col("dist"))))))
+    sums = seen.groupBy(*at).agg(F.avg(F.col("visible").cast("double")).alias("share"), F.max(F.when(F.col("visible"), angle)).alias("widest"))
+    return stands.select(*at).join(sums, at, "left")
+
+
 def marks(edges: DataFrame, d_min: float = 1.0) -> DataFrame:
     """What to mark of other observers: edges (eye, other, ex, ey, ez, tx, ty, tz, visible) with bearing and elevation, those nearer than d_min left out."""
     dx, dy = F.col("tx") - F.col("ex"), F.col("ty") - F.col("ey")

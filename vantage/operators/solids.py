@@ -213,7 +213,7 @@ def shell(walls: DataFrame, holes: DataFrame, key: list[str], thickness: float)
 
 
 def clear_spots(length: Column, n: Column, width: Column, door: Column, door_width: Column, clear: float = 0.3) -> Column:
-    """Spots for n openings of one width along a wall, evenly; a spot too near a door (null: none) goes to the nearer of its sides that has room, and is dropped if there is none, as is one that meets a spot taken."""
+    """Spots for n openings of one width along a wall, evenly. Without a door (null) all that fit between the wall's ends; with one, a spot too near it goes to the nearer of its sides that has room, and is dropped if there is none, as is one that meets a spot taken."""
     half = width / 2 + 0.05
     low, high = door - door_width / 2 - clear - half, door + door_width / 2 + clear + half
     room = lambda s: (s >= half) & (s <= length - half)
@@ -226,7 +226,8 @@ def clear_spots(length: Column, n: Column, width: Column, door: Column, door_wid
     wanted = F.transform(F.sequence(F.lit(1), n), lambda i: beside(length * i / (n + 1)))
     fine = F.filter(wanted, lambda s: s.isNotNull() & room(s))
     take = lambda got, s: F.when(F.forall(got, lambda t: F.abs(s - t) > width + 0.05), F.concat(got, F.array(s))).otherwise(got)
-    return F.when(n > 0, F.aggregate(fine, F.array().cast("array<double>"), take)).otherwise(F.array().cast("array<double>"))
+    apart = F.when(door.isNull(), fine).otherwise(F.aggregate(fine, F.array().cast("array<double>"), take))
+    return F.when(n > 0, apart).otherwise(F.array().cast("array<double>"))
 
 
 def stacked_spots(n: Column, windows: Column, spots: Column, width: Column, sill: Column, height: Column, gap: float = 0.06) -> Column:

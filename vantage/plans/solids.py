@@ -155,8 +155,8 @@ def closed_boxes(spark, sf_dir):
 
 
 def clear_spots(spark, sf_dir):
-    """Where up to two openings go on each part's wall with a door."""
-    length, width = (key() % 5 + 1).cast("double"), (key() % 3 * 0.25 + 0.25).cast("double")
+    """Where up to two openings go on each part's wall, with a door or without; wide ones without a door may overlap."""
+    length, width = (key() % 5 + 1).cast("double"), (key() % 7 % 3 * 0.25 + 0.25).cast("double")
     door = F.when(key() % 4 > 0, key() % 4 * 0.75).cast("double")
     s = so.clear_spots(length, (key() % 3).cast("int"), width, door, F.lit(0.5))
     return table(spark, sf_dir, "part").select(key().alias("id"), F.size(s).alias("n"), _e(F.coalesce(F.array_max(s), F.lit(0.0)), 1000).alias("last_e3"), _e(F.coalesce(F.array_min(s), F.lit(0.0)), 1000).alias("first_e3"))
@@ -257,11 +257,11 @@ ORACLES = {
     "closed_boxes": """WITH p AS (SELECT p_partkey AS bid FROM part WHERE p_partkey % 4 <> 0 OR p_partkey % 8 = 0), c AS (SELECT bid, unnest(['not empty', 'volume', 'even edges']) AS label FROM p)
       SELECT bid, label, CASE label WHEN 'not empty' THEN true WHEN 'even edges' THEN bid % 4 <> 0 ELSE bid % 4 <> 0 AND bid % 10 <> 0 END AS ok FROM c WHERE label <> 'volume' OR bid % 4 <> 0
       UNION ALL SELECT bid, 'volume', false FROM p WHERE bid % 4 = 0""",
-    "clear_spots": """WITH p AS (SELECT p_partkey AS id, p_partkey % 5 + 1 AS len, p_partkey % 3 AS n, p_partkey % 3 * 0.25::DOUBLE + 0.25::DOUBLE AS w, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 4 * 0.75::DOUBLE END AS door FROM part),
+    "clear_spots": """WITH p AS (SELECT p_partkey AS id, p_partkey % 5 + 1 AS len, p_partkey % 3 AS n, p_partkey % 7 % 3 * 0.25::DOUBLE + 0.25::DOUBLE AS w, CASE WHEN p_partkey % 4 > 0 THEN p_partkey % 4 * 0.75::DOUBLE END AS door FROM part),
       b AS (SELECT *, w / 2 + 0.05::DOUBLE AS half, door - 0.25::DOUBLE - 0.3::DOUBLE - (w / 2 + 0.05::DOUBLE) AS lo, door + 0.25::DOUBLE + 0.3::DOUBLE + (w / 2 + 0.05::DOUBLE) AS hi FROM p),
       s AS (SELECT *, i, CAST(len * i AS DOUBLE) / (n + 1) AS s, CASE WHEN lo >= half AND lo <= len - half THEN lo END AS a, CASE WHEN hi >= half AND hi <= len - half THEN hi END AS z FROM b, range(1, 3) t(i) WHERE i <= n),
-      m AS (SELECT id, i, w, len, half, CASE WHEN door IS NOT NULL AND s > lo AND s < hi THEN CASE WHEN a IS NULL OR z - s < s - a THEN z ELSE a END ELSE s END AS s FROM s),
-      f AS (SELECT id, i, w, s FROM m WHERE s >= half AND s <= len - half), k AS (SELECT x.id, x.s FROM f x LEFT JOIN f y ON y.id = x.id AND y.i = 1 AND x.i = 2 WHERE y.s IS NULL OR abs(x.s - y.s) > x.w + 0.05::DOUBLE)
+      m AS (SELECT id, i, w, len, half, door, CASE WHEN door IS NOT NULL AND s > lo AND s < hi THEN CASE WHEN a IS NULL OR z - s < s - a THEN z ELSE a END ELSE s END AS s FROM s),
+      f AS (SELECT id, i, w, s, door FROM m WHERE s >= half AND s <= len - half), k AS (SELECT x.id, x.s FROM f x LEFT JOIN f y ON y.id = x.id AND y.i = 1 AND x.i = 2 WHERE x.door IS NULL OR y.s IS NULL OR abs(x.s - y.s) > x.w + 0.05::DOUBLE)
       SELECT p.id, CAST(count(k.s) AS INTEGER) AS n, CAST(round_even(coalesce(max(k.s), 0) * 1000, 0) AS BIGINT) AS last_e3, CAST(round_even(coalesce(min(k.s), 0) * 1000, 0) AS BIGINT) AS first_e3 FROM p LEFT JOIN k USING (id) GROUP BY p.id""",
     "stacked_spots": """WITH p AS (SELECT p_partkey AS id, p_partkey % 3 + 1 AS n, p_partkey % 4 * 0.5::DOUBLE + 0.5::DOUBLE AS ws, p_partkey % 3 * 0.5::DOUBLE + 0.5::DOUBLE AS sill FROM part),
       st AS (SELECT id, n, ws, least(1.2::DOUBLE, sill - 0.06::DOUBLE) AS head FROM p), ok AS (SELECT *, head - 0.7::DOUBLE >= 0.15 AS up FROM st),
