@@ -70,20 +70,20 @@ dem AS (
 )"""
 
 
-def los_sql(rays: str, keys: str) -> str:
-    """CTEs samples, horizons and seen over a CTE of rays (keys, ex, ey, ez, tx, ty, tz)."""
+def los_sql(rays: str, keys: str, tag: str = "") -> str:
+    """CTEs measured, samples, horizons and seen (with a tag) over a CTE of rays (keys, ex, ey, ez, tx, ty, tz)."""
     return f"""
-measured AS (
+measured{tag} AS (
   SELECT *, sqrt((tx - ex) * (tx - ex) + (ty - ey) * (ty - ey)) AS dist FROM {rays}
-), samples AS (
+), samples{tag} AS (
   SELECT {keys}, ez, CAST(k AS DOUBLE) AS d, -(ey + (ty - ey) / dist * k) - 0.5::DOUBLE AS rf, ex + (tx - ex) / dist * k - 0.5::DOUBLE AS cf
-  FROM (SELECT *, unnest(range(1, CAST(floor(dist - 1) AS BIGINT) + 1)) AS k FROM measured WHERE dist >= 2)
-), horizons AS (
+  FROM (SELECT *, unnest(range(1, CAST(floor(dist - 1) AS BIGINT) + 1)) AS k FROM measured{tag} WHERE dist >= 2)
+), horizons{tag} AS (
   SELECT {keys}, max((((z00 * (1 - (cf - fc)) + z01 * (cf - fc)) * (1 - (rf - fr)) + (z10 * (1 - (cf - fc)) + z11 * (cf - fc)) * (rf - fr)) - ez) / d) AS horizon
-  FROM samples JOIN (SELECT r AS fr, c AS fc, z00, z01, z10, z11 FROM four) ON fr = CAST(floor(rf) AS INTEGER) AND fc = CAST(floor(cf) AS INTEGER) GROUP BY {keys}
-), seen AS (
+  FROM samples{tag} JOIN (SELECT r AS fr, c AS fc, z00, z01, z10, z11 FROM four) ON fr = CAST(floor(rf) AS INTEGER) AND fc = CAST(floor(cf) AS INTEGER) GROUP BY {keys}
+), seen{tag} AS (
   SELECT m.*, (dist > 0 AND tz IS NOT NULL AND (dist < 1 OR horizon IS NULL OR (tz - ez) / nullif(dist, 0) >= horizon - 1e-6)) AS visible
-  FROM measured m LEFT JOIN horizons h USING ({keys})
+  FROM measured{tag} m LEFT JOIN horizons{tag} h USING ({keys})
 )"""
 
 
