@@ -71,9 +71,12 @@ def claims(rows: DataFrame, entity: str, known: DataFrame, place: str, most: int
 
 
 def nearest_caption(marks: DataFrame, captions: DataFrame, page: str, reach: float) -> DataFrame:
-    """Each mark (mark, page, cx, cy) with the caption (line, page, x, y, chapel) within reach on its page: one that names a chapel first, then the nearest."""
+    """Each mark (mark, page, cx, cy) with the caption (line, page, x, y, chapel) within reach on its page: one that names a chapel first, then the nearest. They meet by tiles as wide as the reach."""
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    near = marks.join(captions, page).withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= reach)
+    around = F.sequence(F.lit(-1), F.lit(1))
+    near = marks.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).withColumns({"_tx": F.floor(F.col("cx") / reach) + F.col("_i"), "_ty": F.floor(F.col("cy") / reach) + F.col("_j")}).drop("_i", "_j")
+    there = captions.withColumns({"_tx": F.floor(F.col("x") / reach), "_ty": F.floor(F.col("y") / reach)})
+    near = near.join(there, [page, "_tx", "_ty"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= reach)
     best = near.groupBy("mark").agg(F.min(F.struct(F.col("chapel").isNull().alias("bare"), "d", "line", "chapel")).alias("b"))
     return best.select("mark", "b.line", "b.chapel", F.col("b.d").alias("distance"))
 
@@ -88,13 +91,19 @@ def turned(lines: DataFrame, width: float, height: float) -> DataFrame:
     return lines.withColumns({"x0": width - F.col("x1"), "x1": width - F.col("x0"), "y0": height - F.col("y1"), "y1": height - F.col("y0")})
 
 
-def cluster_around(boxes: DataFrame, seeds: DataFrame, page: str, gap: float) -> DataFrame:
-    """Each page's boxes (page, box, x0, y0, x1, y1) that hang together with its seed boxes over gaps of at most so much. Every round, written down, takes in what lies by the boxes of the round before."""
+def cluster_around(boxes: DataFrame, seeds: DataFrame, page: str, gap: float, tile: float = 16.0) -> DataFrame:
+    """Each page's boxes (page, box, x0, y0, x1, y1) that hang together with its seed boxes over gaps of at most so much. Every round, written down, takes in what lies by the boxes of the round before; boxes meet by tiles."""
+
+    def tiled(rows: DataFrame, wider: float) -> DataFrame:
+        span = lambda k: F.explode(F.sequence(F.floor((F.col(f"{k}0") - wider) / tile), F.floor((F.col(f"{k}1") + wider) / tile)))
+        return rows.withColumn("_tx", span("x")).withColumn("_ty", span("y"))
+
+    placed = kept(tiled(boxes, 0.0))
     edge = kept(boxes.join(seeds.select(page, "box"), [page, "box"], "left_semi"))
     found = edge
     while not edge.isEmpty():
         near = " AND ".join(f"greatest(a.{k}0, b.{k}0) - least(a.{k}1, b.{k}1) <= {gap}" for k in "xy")
-        beside = boxes.alias("a").join(edge.alias("b"), F.expr(f"a.{page} = b.{page} AND {near}")).select("a.*").distinct()
+        beside = placed.alias("a").join(tiled(edge, gap).alias("b"), F.expr(f"a.{page} = b.{page} AND a._tx = b._tx AND a._ty = b._ty AND {near}")).select("a.*").drop("_tx", "_ty").distinct()
         edge = kept(beside.join(found.select(page, "box"), [page, "box"], "left_anti"))
         found = found.unionByName(edge)
     return found.groupBy(page).agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

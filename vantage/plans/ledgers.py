@@ -99,9 +99,9 @@ def captions_near(spark, sf_dir):
     """The caption nearest to each part on its page, those that name a chapel first."""
     k = F.col("k")
     p = _part(spark, sf_dir)
-    marks = p.select(k.alias("mark"), (k % 50).alias("page"), (k * 7 % 101).cast("double").alias("cx"), (k * 11 % 103).cast("double").alias("cy"))
+    marks = p.select(k.alias("mark"), F.floor(k / 40).alias("page"), (k * 7 % 101).cast("double").alias("cx"), (k * 11 % 103).cast("double").alias("cy"))
     o = F.col("o_orderkey")
-    caps = table(spark, sf_dir, "orders").select(o.alias("line"), (o % 50).alias("page"), (o * 5 % 107).cast("double").alias("x"), (o * 13 % 109).cast("double").alias("y"), F.when(o % 3 == 0, o % 200).alias("chapel"))
+    caps = table(spark, sf_dir, "orders").select(o.alias("line"), F.floor(o / 300).alias("page"), (o * 5 % 107).cast("double").alias("x"), (o * 13 % 109).cast("double").alias("y"), F.when(o % 3 == 0, o % 200).alias("chapel"))
     return lg.nearest_caption(marks, caps, "page", 30.0).select("mark", "line", "chapel", F.rint(F.col("distance") * 1e6).cast("long").alias("distance_e6"))
 
 
@@ -123,13 +123,13 @@ def page_lines(spark, sf_dir):
 def clustered_boxes(spark, sf_dir):
     """Boxes of parts on pages that hang together with the page's first."""
     k = F.col("k")
-    b = _part(spark, sf_dir).select((k % 40).alias("page"), k.alias("box"), (k * 7 % 61).cast("double").alias("x0"), (k * 11 % 67).cast("double").alias("y0")).withColumns({"x1": F.col("x0") + 4, "y1": F.col("y0") + F.col("box") % 5})
-    return lg.cluster_around(b, b.where("box < 41"), "page", 3.0).select("page", "n", *(F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    b = _part(spark, sf_dir).select(F.floor(k / 50).alias("page"), k.alias("box"), (k * 7 % 61).cast("double").alias("x0"), (k * 11 % 67).cast("double").alias("y0")).withColumns({"x1": F.col("x0") + 4, "y1": F.col("y0") + F.col("box") % 5})
+    return lg.cluster_around(b, b.where("box % 50 = 7"), "page", 3.0).select("page", "n", *(F.col(c).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
 def _ink(spark, sf_dir):
-    k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select((k % 30).alias("bar"), F.floor(k / 30).alias("at"), ((F.floor(k / 30) % (k % 30 % 5 + 3) < 2) & ((k % 30 < 20) | (k % 7 != 1))).alias("full")).where("at < 24")
+    k, bar, at = F.col("c_custkey"), F.floor(F.col("c_custkey") / 24), F.col("c_custkey") % 24
+    return table(spark, sf_dir, "customer").select(bar.alias("bar"), at.alias("at"), ((at % (bar % 5 + 3) < 2) & ((bar % 30 < 20) | (k % 7 != 1))).alias("full"))
 
 
 def ink_runs(spark, sf_dir):
@@ -216,7 +216,7 @@ ROLLUP_SQL = """seen AS (SELECT l_partkey AS target, l_suppkey AS observer, min(
   r AS (SELECT s.*, owner, row_number() OVER (PARTITION BY s.target, observer <> owner ORDER BY observer) AS k FROM seen s JOIN t USING (target)),
   a AS (SELECT target, bool_or(observer = owner) AS own, count(*) FILTER (observer <> owner) AS n_others, min(d) FILTER (observer <> owner) AS nearest, string_agg(CAST(observer AS VARCHAR), '|' ORDER BY observer) FILTER (observer <> owner AND k <= 8) AS others FROM r GROUP BY target),
   rolled AS (SELECT target, owner, kind, coalesce(own, false) AS own, coalesce(n_others, 0) AS n_others, nearest, coalesce(others, '') AS others FROM t LEFT JOIN a USING (target))"""
-INK_SQL = """ink AS (SELECT c_custkey % 30 AS bar, c_custkey // 30 AS at_, c_custkey // 30 % (c_custkey % 30 % 5 + 3) < 2 AND (c_custkey % 30 < 20 OR c_custkey % 7 <> 1) AS full_ FROM customer WHERE c_custkey // 30 < 24),
+INK_SQL = """ink AS (SELECT c_custkey // 24 AS bar, c_custkey % 24 AS at_, c_custkey % 24 % (c_custkey // 24 % 5 + 3) < 2 AND (c_custkey // 24 % 30 < 20 OR c_custkey % 7 <> 1) AS full_ FROM customer),
   g AS (SELECT bar, at_, at_ - row_number() OVER (PARTITION BY bar ORDER BY at_) AS grp FROM ink WHERE full_), runs AS (SELECT bar, min(at_) AS start, max(at_) AS stop, count(*) AS n FROM g GROUP BY bar, grp)"""
 ORACLES = {
     "ground_metrics": """WITH r AS (SELECT l_linestatus, l_returnflag = 'R' AS a, l_tax > 0.03::DOUBLE AS b, l_quantity < 20 AS gr FROM lineitem), c AS (SELECT l_linestatus, count(*) AS n, count(*) FILTER (a AND b) AS both_, count(*) FILTER (a OR b) AS e, count(*) FILTER (gr) AS gn, count(*) FILTER (gr AND a AND b) AS gboth, count(*) FILTER (gr AND (a OR b)) AS ge FROM r GROUP BY 1)
@@ -236,12 +236,12 @@ ORACLES = {
       SELECT id, n, places, CASE WHEN id NOT IN (SELECT c_custkey FROM customer) THEN 'unknown' ELSE 'shared' END AS fault FROM s WHERE n > 1 OR id NOT IN (SELECT c_custkey FROM customer)""",
     "common_ids": "SELECT s_suppkey AS id FROM supplier INTERSECT SELECT c_custkey FROM customer INTERSECT SELECT p_partkey FROM part WHERE p_partkey % 2 = 0",
     "captions_near": """WITH d AS (SELECT p_partkey AS mark, o_orderkey AS line, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 200 END AS chapel, sqrt(power(CAST(o_orderkey * 5 % 107 - p_partkey * 7 % 101 AS DOUBLE), 2) + power(CAST(o_orderkey * 13 % 109 - p_partkey * 11 % 103 AS DOUBLE), 2)) AS d
-      FROM part JOIN orders ON p_partkey % 50 = o_orderkey % 50)
+      FROM part JOIN orders ON p_partkey // 40 = o_orderkey // 300)
       SELECT mark, line, chapel, CAST(round_even(d * 1e6, 0) AS BIGINT) AS distance_e6 FROM d WHERE d <= 30 QUALIFY row_number() OVER (PARTITION BY mark ORDER BY chapel IS NULL, d, line) = 1""",
     "sweep_grid": "SELECT s_suppkey, variant, domes, height_cm::BIGINT AS height_cm FROM supplier, (VALUES ('bare'), ('doorless'), ('apertured')) a(variant), (VALUES (true), (false)) b(domes), (VALUES (150), (175)) c(height_cm)",
     "page_lines": """WITH w AS (SELECT l_orderkey, l_linenumber AS i, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2) SELECT l_orderkey, CAST(200 - max(i * 20 + 15) AS BIGINT) AS x0, CAST(50 - max(i % 2 + 9) AS BIGINT) AS y0, CAST(200 - min(i * 20) AS BIGINT) AS x1, CAST(50 - min(i % 3) AS BIGINT) AS y1, string_agg('w' || p, ' ' ORDER BY i) AS text FROM w GROUP BY 1""",
-    "clustered_boxes": """WITH RECURSIVE b AS (SELECT p_partkey % 40 AS page, p_partkey AS box, p_partkey * 7 % 61 AS x0, p_partkey * 11 % 67 AS y0, p_partkey * 7 % 61 + 4 AS x1, p_partkey * 11 % 67 + p_partkey % 5 AS y1 FROM part),
-      c AS (SELECT * FROM b WHERE box < 41 UNION SELECT b.* FROM c JOIN b ON b.page = c.page AND greatest(b.x0, c.x0) - least(b.x1, c.x1) <= 3 AND greatest(b.y0, c.y0) - least(b.y1, c.y1) <= 3)
+    "clustered_boxes": """WITH RECURSIVE b AS (SELECT p_partkey // 50 AS page, p_partkey AS box, p_partkey * 7 % 61 AS x0, p_partkey * 11 % 67 AS y0, p_partkey * 7 % 61 + 4 AS x1, p_partkey * 11 % 67 + p_partkey % 5 AS y1 FROM part),
+      c AS (SELECT * FROM b WHERE box % 50 = 7 UNION SELECT b.* FROM c JOIN b ON b.page = c.page AND greatest(b.x0, c.x0) - least(b.x1, c.x1) <= 3 AND greatest(b.y0, c.y0) - least(b.y1, c.y1) <= 3)
       SELECT page, count(*) AS n, CAST(min(x0) AS BIGINT) AS x0, CAST(min(y0) AS BIGINT) AS y0, CAST(max(x1) AS BIGINT) AS x1, CAST(max(y1) AS BIGINT) AS y1 FROM c GROUP BY page""",
     "ink_runs": f"WITH {INK_SQL} SELECT bar, start, stop, n FROM runs",
     "bars_found": f"""WITH {INK_SQL}, gaps AS (SELECT bar, (lead(start) OVER w + lead(stop) OVER w) / 2.0::DOUBLE - (start + stop) / 2.0::DOUBLE AS gap FROM runs WINDOW w AS (PARTITION BY bar ORDER BY start)),

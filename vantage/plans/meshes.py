@@ -50,7 +50,7 @@ def crosses_opening(spark, sf_dir):
     """Orders whose segment passes the door in the south wall of their building."""
     s = segments(spark, sf_dir).select("o_orderkey", "ex", "ey", "ez", "tx", "ty", "tz")
     w = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4 * 0.1).cast("double").alias("thickness"))
-    n = F.pmod(F.col("o_orderkey"), F.lit(50)) + 1
+    n = F.pmod(F.col("o_orderkey") * 37, F.lit(w.count())) + 1
     walls = s.withColumn("id", n).join(w, "id").withColumns({"wx": F.col("ex") - 2.0, "wy": F.col("ey") + 0.4, "ux": F.lit(1.0), "uy": F.lit(0.0), "s0": F.lit(0.5), "s1": F.lit(3.0), "z0": F.lit(0.0), "z1": F.lit(2.2)})
     return walls.where(ms.crosses_opening()).select("o_orderkey")
 
@@ -108,7 +108,7 @@ QUERIES = {f.__name__: f for f in (triangle_blocked, triangle_first_hit, crosses
 ORACLES = {
     "triangle_blocked": f"{HITS_SQL} SELECT DISTINCT k AS o_orderkey FROM hits WHERE t * len > 0 AND t * len < len - 0.05",
     "triangle_first_hit": f"{HITS_SQL} SELECT k AS o_orderkey, CAST(round_even(min(t) * 1e6, 0) AS BIGINT) AS t_e6 FROM hits WHERE t > 0 AND t < 1 GROUP BY k",
-    "crosses_opening": f"""WITH {SEG_SQL}, w AS (SELECT k, ex, ey, ez, tx, ty, tz, ex - 2 AS wx, ey + 0.4::DOUBLE AS wy, p_size % 4 * 0.1::DOUBLE AS th FROM seg JOIN part ON p_partkey = k % 50 + 1),
+    "crosses_opening": f"""WITH {SEG_SQL}, w AS (SELECT k, ex, ey, ez, tx, ty, tz, ex - 2 AS wx, ey + 0.4::DOUBLE AS wy, p_size % 4 * 0.1::DOUBLE AS th FROM seg JOIN part ON p_partkey = k * 37 % (SELECT count(*) FROM part) + 1),
       o AS (SELECT *, (ey - wy) / nullif((ey - wy) - (ty - wy), 0) AS t0, (ey - wy - th) / nullif((ey - wy - th) - (ty - wy - th), 0) AS t1 FROM w)
       SELECT k AS o_orderkey FROM o WHERE t0 > 0 AND t0 < 1 AND ex + t0 * (tx - ex) - wx BETWEEN 0.5 AND 3.0 AND ez + t0 * (tz - ez) BETWEEN 0 AND 2.2::DOUBLE
       AND (th <= 0 OR (t1 > 0 AND t1 < 1 AND ex + t1 * (tx - ex) - wx BETWEEN 0.5 AND 3.0 AND ez + t1 * (tz - ez) BETWEEN 0 AND 2.2::DOUBLE))""",
