@@ -49,6 +49,7 @@ NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 REACH = 80
 MIN_DIGITS, MIN_LENGTH = 4, 6
 MIN_SEEDS, MIN_TRUST, MIN_SCORE, ROUNDS = 5, 0.4, 0.6, 3
+SALTS = 32
 MASK = "[PRIVATE]"
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
 
@@ -205,8 +206,11 @@ def learnt_spans(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end), kind a place in KINDS + NEAR."""
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", base_spans(text).alias("base"), F.sha2(text.cast("binary"), 256).alias("digest"))
-    both = base.join(learnt_spans(docs), "digest", "left")
+    # rows of one text, however many, are dealt to SALTS tasks
+    salt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SALTS))
+    base = docs.select("doc_id", base_spans(text).alias("base"), F.sha2(text.cast("binary"), 256).alias("digest"), salt.alias("salt"))
+    learnt = learnt_spans(docs).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    both = base.join(learnt, ["digest", "salt"], "left")
     apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return both.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", apart)).alias("spans"))
 
