@@ -207,7 +207,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end), kind a place in KINDS + NEAR."""
     text = F.coalesce("text", F.lit(""))
     # rows of one text, however many, are dealt to SALTS tasks
-    salt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
     base = docs.select("doc_id", base_spans(text).alias("base"), F.sha2(text.cast("binary"), 256).alias("digest"), salt.alias("salt"))
     learnt = learnt_spans(docs).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     both = base.join(learnt, ["digest", "salt"], "left")
