@@ -36,7 +36,7 @@ from .shared import documents, keep
 WINDOW = 2048
 END_ID = 1
 SHARD_ROWS = 16_384
-#: Units of text, and their bytes, that a worker remembers the ids of within a task; beyond, it starts afresh. Results don't depend on it.
+#: Units of text, and their bytes, that a worker remembers the ids of, over tasks too; beyond, it starts afresh. Results don't depend on it.
 CACHE_UNITS, CACHE_BYTES = 200_000, 8 << 20
 #: Bytes of text whose units are told apart together.
 SLICE = 4 << 20
@@ -188,7 +188,6 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
                     columns.append(pa.array(kept, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
-        own.forget()
         give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
