@@ -37,7 +37,7 @@ WINDOW = 2048
 END_ID = 1
 SHARD_ROWS = 16_384
 #: Units of text, and their bytes, that a worker remembers the ids of, over tasks too; beyond, it starts afresh. Results don't depend on it.
-CACHE_UNITS, CACHE_BYTES = 200_000, 8 << 20
+CACHE_UNITS, CACHE_BYTES = 600_000, 24 << 20
 #: Bytes of text whose units are told apart together.
 SLICE = 4 << 20
 
