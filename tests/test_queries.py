@@ -25,7 +25,7 @@ def test_every_oracle_has_a_query():
     assert not set(__spark_entry__.oracle_sql()) - set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize(("name", "column"), [("observer_marks", "bearing_e3"), ("viewgraph_observers", "distance_mm"), ("null_sights", "v"), ("reach_ladder", "bottom"), ("permutation_null", "v"), ("wide_sights", "visible"), ("wide_hits", "hit_mm"), ("door_envelopes", "seen"), ("wall_thickness", "thickness_mm")])
+@pytest.mark.parametrize(("name", "column"), [("observer_marks", "bearing_e3"), ("viewgraph_observers", "distance_mm"), ("null_sights", "v"), ("reach_ladder", "bottom"), ("permutation_null", "v"), ("wide_sights", "visible"), ("wide_hits", "hit_mm"), ("door_envelopes", "seen"), ("wall_thickness", "thickness_mm"), ("drawn_curves", "length_mm"), ("plan_thickness", "thickness_mm"), ("stored_tiles", "total"), ("variant_shares", "n_seen")])
 def test_results_say_something(spark, name, column):
     """Queries whose scene could leave nothing to tell: rows, and several values of the main column."""
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.01").select(column).distinct().count() > 1

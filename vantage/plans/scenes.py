@@ -130,10 +130,11 @@ side AS (
   SELECT o_orderkey % n AS r, sum(o_custkey) % 23 AS a FROM orders, side GROUP BY 1
 ), over AS (
   SELECT c_custkey * 7 % n AS c, sum(c_custkey + c_nationkey) % 19 AS b FROM customer, side GROUP BY 1
+), wide_dem AS (
+  SELECT CAST(y AS INTEGER) AS r, CAST(x AS INTEGER) AS c, CASE WHEN (y * 31 + x * 17) % 97 > 0 THEN CAST((coalesce(a, 5) * coalesce(b, 3) + y * 3 + x) % 29 AS DOUBLE) END AS z
+  FROM (SELECT unnest(range(n)) AS y FROM side), (SELECT unnest(range(n)) AS x FROM side) LEFT JOIN up ON r = y LEFT JOIN over ON c = x
 ), four AS (
-  SELECT r, c, z AS z00, lead(z) OVER across AS z01, lead(z) OVER down AS z10, lead(z, 1) OVER slant AS z11 FROM (
-    SELECT CAST(y AS INTEGER) AS r, CAST(x AS INTEGER) AS c, CASE WHEN (y * 31 + x * 17) % 97 > 0 THEN CAST((coalesce(a, 5) * coalesce(b, 3) + y * 3 + x) % 29 AS DOUBLE) END AS z
-    FROM (SELECT unnest(range(n)) AS y FROM side), (SELECT unnest(range(n)) AS x FROM side) LEFT JOIN up ON r = y LEFT JOIN over ON c = x)
+  SELECT r, c, z AS z00, lead(z) OVER across AS z01, lead(z) OVER down AS z10, lead(z, 1) OVER slant AS z11 FROM wide_dem
   WINDOW across AS (PARTITION BY r ORDER BY c), down AS (PARTITION BY c ORDER BY r), slant AS (PARTITION BY c - r ORDER BY r)
   QUALIFY z00 IS NOT NULL AND z01 IS NOT NULL AND z10 IS NOT NULL AND z11 IS NOT NULL
 ), thrown AS (
