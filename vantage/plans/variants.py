@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vantage.operators import variants as vr
 from vantage.operators import visibility as v
+from vantage.operators.scratch import kept
 from vantage.session import table
 
 from .scenes import CELL_RAYS_SQL, DEM_SQL, GRID, dem, eyes, los_sql
@@ -50,14 +51,14 @@ def _parts(houses):
 def scene(spark, sf_dir):
     """rays, surfaces and parts of the variants."""
     heights = dem(spark, sf_dir)
-    houses = _houses(spark, sf_dir)
+    houses = kept(_houses(spark, sf_dir))
     x, y = GRID.x(F.col("c").cast("double")), GRID.y(F.col("r").cast("double"))
     cells = lambda k, n: F.explode(F.sequence(F.floor(n[0]).cast("int"), F.floor(n[1]).cast("int"))).alias(k)
     under = houses.select("*", cells("c", (F.col("x0"), F.col("x1")))).select("*", cells("r", (-F.col("y1"), -F.col("y0"))))
     under = under.where((x >= F.col("x0")) & (x < F.col("x1")) & (y >= F.col("y0")) & (y < F.col("y1"))).select("r", "c", "top")
-    raised = lambda up: heights.join(under, ["r", "c"], "left").select("r", "c", F.when(F.col("z").isNotNull(), F.greatest("z", F.col("top") + up)).alias("z"))
+    raised = lambda up: kept(heights.join(under, ["r", "c"], "left").select("r", "c", F.when(F.col("z").isNotNull(), F.greatest("z", F.col("top") + up)).alias("z")))
     rays = v.eye_cells(eyes(spark, sf_dir, heights), heights.where("z IS NOT NULL"), GRID, 8.0).select("eye", "r", "c", "ex", "ey", "ez", "tx", "ty", "tz")
-    return rays, {"ground": heights, "blocks": raised(0.0), "domed": raised(CAP)}, _parts(houses)
+    return rays, {"ground": heights, "blocks": raised(0.0), "domed": raised(CAP)}, kept(_parts(houses))
 
 
 def variant_shares(spark, sf_dir):
