@@ -8,7 +8,7 @@ from vantage.operators import mesh as ms
 from vantage.plans import catalog
 
 
-@pytest.mark.parametrize(("name", "sent"), [("triangle_blocked", 2), ("triangle_first_hit", 2), ("plan_shift", 0), ("shell_measures", 0), ("closed_boxes", 0), ("ranked_doors", 0), ("dome_meshes", 0), ("mesh_measures", 0)])
+@pytest.mark.parametrize(("name", "sent"), [("triangle_blocked", 2), ("triangle_first_hit", 2), ("nearest_wall", 0), ("plan_shift", 0), ("shell_measures", 0), ("closed_boxes", 0), ("ranked_doors", 0), ("dome_meshes", 0), ("mesh_measures", 0)])
 def test_no_side_that_grows_is_sent_whole(spark, sf_dir, name, sent):
     """The plan, by sizes of files, sends no more tables to all executors than those that are counted first."""
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
@@ -26,3 +26,8 @@ def test_a_tile_of_many_segments_is_dealt_out(spark, monkeypatch):
         monkeypatch.setattr(ms, "PAIRS", pairs)
         assert {r["k"]: round(r["t"], 9) for r in ms.mesh_first_hit(seg, tris, ["k"], tile).collect()} == want
         assert {r["k"] for r in ms.blocked(seg, tris, ["k"], tile).collect()} == set(want)
+
+
+def test_pictures_march_no_rays(spark, sf_dir):
+    """Where observers fall in a picture needs their places only."""
+    assert "MapInArrow" not in catalog.QUERIES["marks_in_frame"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
