@@ -31,3 +31,41 @@ def test_a_tile_of_many_segments_is_dealt_out(spark, monkeypatch):
 def test_pictures_march_no_rays(spark, sf_dir):
     """Where observers fall in a picture needs their places only."""
     assert "MapInArrow" not in catalog.QUERIES["marks_in_frame"](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_eyes_at_one_place_are_tried_once(spark, sf_dir, monkeypatch):
+    """Checks of the engine try places, and count eyes: three eyes at two places, of which one pair stands together."""
+    from vantage.operators import checks as ck
+    from vantage.operators import grid as g
+
+    tried = []
+    monkeypatch.setattr(ck, "eye_cells", lambda eyes, *more: tried.append(eyes.count()) or eye_cells(eyes, *more))
+    eye_cells = __import__("vantage.operators.visibility", fromlist=["eye_cells"]).eye_cells
+    dem = spark.range(64).selectExpr("CAST(id % 8 AS INT) AS r", "CAST(id DIV 8 AS INT) AS c", "1.0D AS z")
+    eyes = spark.sql("SELECT * FROM VALUES (1, 2.5D, -2.5D, 2.6D), (2, 2.5D, -2.5D, 2.6D), (3, 5.5D, -2.5D, 2.6D) AS t(eye, ex, ey, ez)")
+    got = {r["label"]: (r["n"], r["of"]) for r in ck.engine_checks(eyes, dem, g.corners(dem), g.Grid(h=8, w=8), 1.0, 12.0, 1.6).collect()}
+    assert tried == [2]
+    assert got["pairs seen from one end only"] == (0, 3)
+    assert got["cells lost by a higher eye"] == (0, 15)
+
+
+def test_wide_rays_need_no_table_of_corners(spark, sf_dir, monkeypatch):
+    """Cells go straight to tiles, the same as by way of the table of their four corners."""
+    from vantage.operators import grid as g
+    from vantage.operators import tiles
+    from vantage.operators import visibility as v
+    from vantage.plans import scenes
+
+    grid = scenes.wide_grid(spark, sf_dir)
+    dem = scenes.wide_dem(spark, sf_dir, grid)
+    rays = scenes.wide_rays(spark, sf_dir, grid)
+    seen = lambda surface: {(r["ray"], r["visible"]) for r in tiles.line_of_sight(rays, surface, grid, ["ray"]).collect()}
+    assert seen(tiles.tiled_cells(dem, grid, 16)) == seen(tiles.tiled(g.corners(dem), 16))
+
+    def none(*_):
+        raise AssertionError("corners made")
+
+    monkeypatch.setattr(g, "corners", none)
+    monkeypatch.setattr(v, "small_surface", none)
+    assert catalog.QUERIES["wide_hits"](spark, sf_dir).count() > 0
+    assert catalog.QUERIES["wide_sights"](spark, sf_dir).count() > 0

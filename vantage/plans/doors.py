@@ -63,9 +63,9 @@ def facing_walls(spark, sf_dir):
 def marks_in_frame(spark, sf_dir):
     """Where the observers round each one fall in the picture of a camera to the north-east, in thousandths of a pixel."""
     heights = dem(spark, sf_dir)
-    edges = v.observer_edges(eyes(spark, sf_dir, heights), g.corners(heights), GRID, 12.0).where("eye <> other")
+    pairs = v.observer_pairs(eyes(spark, sf_dir, heights), 12.0).where("eye <> other")
     d = [F.col(f"t{k}") - F.col(f"e{k}") for k in "xyz"]
-    return edges.withColumn("at", ry.project(*d, *VIEW)).where("at IS NOT NULL").select("eye", "other", _e(F.col("at.x")).alias("x_e3"), _e(F.col("at.y")).alias("y_e3"))
+    return pairs.withColumn("at", ry.project(*d, *VIEW)).where("at IS NOT NULL").select("eye", "other", _e(F.col("at.x")).alias("x_e3"), _e(F.col("at.y")).alias("y_e3"))
 
 
 def _hits(spark, sf_dir, picture):
