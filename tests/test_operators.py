@@ -206,3 +206,12 @@ def test_volume_mesh_goes_to_a_file(spark, tmp_path):
     w.write_lines(w.ply_mesh(placed.select("v", "x", "y", "z"), faces), str(tmp_path / "mesh"))
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "mesh")).collect()]
     assert lines[2] == "element vertex 16" and lines[6] == "element face 28" and len(lines) == 9 + 16 + 28
+
+
+def test_planes_of_whole_numbers_round_as_they_are(spark, tmp_path):
+    """The plane through these three orders has a constant of -11.90625 exactly, so half a ten thousandth goes to the even one."""
+    from vantage.plans import catalog
+
+    spark.createDataFrame([(k, 1) for k in (7818671, 7851647, 7915351)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    r = catalog.QUERIES["roof_planes"](spark, str(tmp_path)).first()
+    assert (r["n"], r["a"], r["b"], r["c"]) == (3, 8438, 4531, -119062)
