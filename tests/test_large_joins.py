@@ -69,3 +69,18 @@ def test_wide_rays_need_no_table_of_corners(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(v, "small_surface", none)
     assert catalog.QUERIES["wide_hits"](spark, sf_dir).count() > 0
     assert catalog.QUERIES["wide_sights"](spark, sf_dir).count() > 0
+
+
+def test_things_at_one_spot_see_as_one(spark):
+    """Three things, two of them at one point: each of six pairs counts, none with itself, from rays of two spots."""
+    from vantage.operators import nulls as nl
+
+    places = spark.sql("SELECT * FROM VALUES (1L, 1.0D, -1.0D, 0.0D), (2L, 1.0D, -1.0D, 0.0D), (3L, 5.0D, -1.0D, 0.0D) AS t(place, px, py, floor)")
+    places = places.join(nl.spots(places), "place")
+    assert {r["spot"] for r in places.collect()} == {1, 3}
+    drawn = spark.sql("SELECT 'n1' AS model, 0L AS draw, * FROM VALUES (1L, 0, 1L), (2L, 0, 2L), (3L, 1, 3L) AS t(id, wall, place)")
+    ends = spark.sql("SELECT * FROM VALUES (1L, 1.0D), (3L, 5.0D) AS t(spot, x)").crossJoin(spark.sql("SELECT explode(array(0, 1)) AS wall"))
+    sights = ends.crossJoin(ends.selectExpr("spot AS at", "x AS tx", "wall AS at_wall")).selectExpr("spot", "wall", "at", "at_wall", "x AS ex", "-1.0D AS ey", "1.0D AS ez", "tx + 0.5 AS tx", "-1.0D AS ty", "1.0D AS tz", "spot <> 3 AS visible")
+    shells = spark.sql("SELECT id, wall, 0 AS tri, 0.2D AS ax, -1.0D AS ay, -9.0D AS az, 0.2D AS bx, 1.0D AS by, -9.0D AS bz, 0.2D AS cx, 0.0D AS cy, 9.0D AS cz FROM VALUES (1L, 0), (2L, 0), (3L, 1) AS t(id, wall)")
+    r = nl.counted(drawn, sights, shells, places).first()
+    assert (r["pairs"], r["open"], r["v"]) == (6, 4, 0)
