@@ -8,7 +8,7 @@ from vantage.operators import mesh as ms
 from vantage.plans import catalog
 
 
-@pytest.mark.parametrize(("name", "sent"), [("triangle_blocked", 2), ("triangle_first_hit", 2), ("ring_triangles", 0), ("wall_rings", 0), ("within_polygon", 0), ("nearest_wall", 0), ("plan_shift", 0), ("shell_measures", 0), ("closed_boxes", 0), ("ranked_doors", 0), ("dome_meshes", 0), ("mesh_measures", 0)])
+@pytest.mark.parametrize(("name", "sent"), [("triangle_blocked", 2), ("triangle_first_hit", 2), ("ring_triangles", 0), ("wall_rings", 0), ("wall_thickness", 0), ("within_polygon", 0), ("nearest_wall", 0), ("plan_shift", 0), ("shell_measures", 0), ("closed_boxes", 0), ("ranked_doors", 0), ("dome_meshes", 0), ("mesh_measures", 0)])
 def test_no_side_that_grows_is_sent_whole(spark, sf_dir, name, sent):
     """The plan, by sizes of files, sends no more tables to all executors than those that are counted first."""
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
